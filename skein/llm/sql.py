@@ -59,5 +59,30 @@ FROM v JOIN comp ON comp.a = v.vec_id
 """
 
 
+_LINES = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM d WHERE text IS NOT NULL),
+nb AS (
+  SELECT doc_id, ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w,
+         row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS i
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+win AS (
+  SELECT doc_id, i, w, line, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2, lead(line, 3) OVER o AS l3
+  FROM nb WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+unit AS (
+  SELECT doc_id, i, 1 AS n, [line] AS k FROM win WHERE w >= 10
+  UNION ALL SELECT doc_id, i, 4, [line, l1, l2, l3] FROM win WHERE l3 IS NOT NULL),
+later AS (SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, i) AS c FROM unit) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
+goneln AS (SELECT nb.doc_id, nb.ln FROM nb JOIN gone USING (doc_id, i)),
+per AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.ln) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (WHERE g.ln IS NULL), '') AS text
+  FROM l LEFT JOIN goneln g ON l.doc_id = g.doc_id AND l.ln = g.ln GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, per.text AS text
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS}
+    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op6_line_dedup": _LINES}
