@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, embeddings, langid, line_dedup, mixing, simhash
+from skein.llm import bpe, chat, embeddings, html_extract, langid, line_dedup, media, mixing, simhash, warc
 from skein.plans.runtime import table
 
 
@@ -22,6 +22,14 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, text without later copies of repeated line runs."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
@@ -31,11 +39,25 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+#: The conversation that op8 adds: texts full of control strings.
+TRICKY_ID, TRICKY = -7, r"\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(TRICKY_ID, k, role, TRICKY) for k, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat.round_trip(turns.unionByName(more))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_simhash, op3_embeddings, op6_line_dedup, op7_bpe, op9_language_id]
+    found = [op1_mixing, op2_simhash, op3_embeddings, op4_html, op5_warc, op6_line_dedup, op7_bpe, op8_chat, op9_language_id, op10_media]
     return {f.__name__: f for f in found}

@@ -84,5 +84,30 @@ FROM d LEFT JOIN per USING (doc_id)
 """
 
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, strlen(html) AS n, sha1(html) AS digest FROM p),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n >= 1000) ELSE page_id END AS kept FROM d)
+SELECT page_id, url, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM k
+"""
+
+_CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + length(role) + len(regexp_extract_all(role, '\\|</turn>|###|:'))
+                + length(text) + len(regexp_extract_all(text, '\\|</turn>|###'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op6_line_dedup": _LINES}
+    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op8_chat": _CHAT}
