@@ -80,13 +80,14 @@ def sibling_merge(hits: DataFrame, q: str) -> DataFrame:
     )
     alone = hits.where("parent = ''").select(q, "parent", "chunk_id", "confidence", F.col("rank").alias("first_rank"), F.lit(1).cast("long").alias("n_merged"), "text")
     both = merged.withColumn("kind", F.lit(0)).unionByName(alone.withColumn("kind", F.lit(1)))
-    return both.withColumn("position", F.row_number().over(W.partitionBy(q).orderBy("kind", "first_rank"))).drop("kind", "first_rank")
+    return both.withColumn("position", F.row_number().over(W.partitionBy(q).orderBy("kind", "first_rank")).cast("long")).drop("kind", "first_rank")
 
 
 def sibling_rejoin(hits: DataFrame, chunks: DataFrame, q: str, parents: int = 3, cap: int = 4000) -> DataFrame:
     """DDP10: the best parents of each question by confidence, with the text of all their chunks in order, cut at cap characters."""
     best = hits.where("parent <> ''").groupBy(q, "parent").agg(F.max("confidence").alias("confidence"))
     best = best.withColumn("place", F.row_number().over(W.partitionBy(q).orderBy(F.col("confidence").desc(), "parent"))).where(F.col("place") <= parents)
+    best = best.withColumn("place", F.col("place").cast("long"))
     own = chunks.join(best.select("parent").distinct(), "parent", "left_semi").groupBy("parent")
     text = own.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment", "text"))), lambda s: s["text"]), "\n").alias("text"), F.count("*").alias("n_siblings"))
     return best.join(text, "parent").withColumn("text", F.substring("text", 1, cap))

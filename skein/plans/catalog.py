@@ -77,7 +77,7 @@ def bm25_topk(spark, d):
     return _hits(spark, d).select("item_id", "doc_id", "score", "rank")
 
 
-@query(f"WITH {_posts('posts', 'doc_id', 'documents')} SELECT token, count(*) AS df, sum(n) AS n FROM posts GROUP BY token")
+@query(f"WITH {_posts('posts', 'doc_id', 'documents')} SELECT token, count(*) AS df, CAST(sum(n) AS BIGINT) AS n FROM posts GROUP BY token")
 def bm25_vocab_stats(spark, d):
     """AGG1."""
     return search.postings(table(spark, d, "documents"), "doc_id").groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
