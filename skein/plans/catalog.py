@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import vectors as V
-from skein.operators import chunking, crawl, dedup, metrics, pages, ranking, search, series
+from skein.operators import answers, chunking, crawl, dedup, metrics, pages, ranking, search, series
 from skein.plans.runtime import prepare, table
 from skein.sources import files
 
@@ -852,3 +852,98 @@ def embedding_validation(spark, d):
 def grouped_load(spark, d):
     """A load test of grouping sets and exact percentiles, as AGG5 and AGG12 use them."""
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.percentile("l_quantity", 0.5), 4).alias("median"))
+
+
+# --- answers --------------------------------------------------------------------------------------------------------------
+@query()
+def sub_questions(spark, d):
+    """FN12: of every turn, by its intent."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.sub_questions(F.col("text"), T.intent("text")), "\n").alias("sub_questions"))
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, text, {_INTENT_SQL} AS intent FROM conversations)
+SELECT conv_id, turn, CASE WHEN intent NOT IN ('factual', 'how_to') THEN 'intent:' || intent WHEN regexp_matches(text, '{T.DOTTED}') OR regexp_matches(text, '{T.VERSION}') THEN 'identifier_query'
+ WHEN regexp_matches(text, '{answers.FENCES}') THEN 'code_query' WHEN regexp_matches(text, '{answers.STACK_TRACE}') THEN 'debugging_query' ELSE 'none' END AS reason FROM s"""
+)
+def hyde_policy(spark, d):
+    """FN13."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(answers.hyde_suppression(F.col("text"), T.intent("text")), F.lit("none")).alias("reason"))
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b(pyspark(?:\.\w+)+)', 1), lambda x: lower(x))), ',') AS modules,
+ CASE WHEN contains(lower(text), 'latest') THEN 0 ELSE len(list_distinct(regexp_extract_all(text, '\b(\d+\.\d+(?:\.\d+)?)\b', 1))) END AS n_versions FROM documents""".replace("len(list_distinct", "CAST(len(list_distinct").replace(", 1))) END", ", 1))) AS INT) END")
+)
+def inferred_filters(spark, d):
+    """FLT5."""
+    f = answers.inferred_filters(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(f["modules"], ",").alias("modules"), F.size(f["versions"]).alias("n_versions"))
+
+
+@query(
+    "WITH n AS (SELECT doc_id, "
+    + "coalesce("
+    + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in answers.SIGNATURES)
+    + ") AS name FROM documents) SELECT doc_id, CASE WHEN contains(name, '.') THEN regexp_extract(name, '\\.([^.]*)$', 1) ELSE name END AS method FROM n"
+)
+def api_methods(spark, d):
+    """FLT11."""
+    return table(spark, d, "documents").select("doc_id", answers.api_heading(F.col("text"))["method"].alias("method"))
+
+
+@query("SELECT doc_id, CASE WHEN len(t) > 0 THEN round(1.0 - len(list_distinct(t)) / len(t), 6) ELSE 0.0 END AS rate FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents)")
+def duplicate_token_rate(spark, d):
+    """AGG8."""
+    return table(spark, d, "documents").select("doc_id", answers.duplicate_token_rate("text").alias("rate"))
+
+
+@query(
+    f"""WITH {_bm25(10)} SELECT item_id, coalesce(round(1 / min(rank) FILTER (WHERE score >= 0.45), 6), 0.0) AS mrr, round(count(*) FILTER (WHERE score >= 0.45 AND rank <= 5) / (CASE WHEN count(*) >= 3 THEN 3 ELSE count(*) END), 6) AS precision_at_3,
+ round(count(*) FILTER (WHERE score >= 0.45 AND rank <= 5) / (CASE WHEN count(*) >= 5 THEN 5 ELSE count(*) END), 6) AS precision_at_5 FROM hits GROUP BY item_id"""
+)
+def proxy_retrieval_metrics(spark, d):
+    """AGG25."""
+    return answers.proxy_metrics(_hits(spark, d), "item_id", "score")
+
+
+_MODEL_SQL = "CASE user_id % 4 WHEN 0 THEN 'groq/a' WHEN 1 THEN 'llama3' WHEN 2 THEN 'gemini/b' ELSE 'unknown' END"
+
+
+@query(
+    f"""WITH c AS (SELECT {_MODEL_SQL} AS model, event_id % 900 AS p, event_id % 300 AS k FROM events), s AS (SELECT model, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(k) AS BIGINT) AS completion_tokens FROM c GROUP BY model)
+SELECT *, round(CASE model WHEN 'groq/a' THEN prompt_tokens * 0.00000005::DOUBLE + completion_tokens * 0.00000008::DOUBLE WHEN 'gemini/b' THEN prompt_tokens * 0.000000125::DOUBLE + completion_tokens * 0.000000375::DOUBLE ELSE 0.0 END, 9) AS cost FROM s"""
+)
+def token_usage(spark, d):
+    """AGG15 over events dressed as calls."""
+    m = F.col("user_id") % 4
+    model = F.when(m == 0, "groq/a").when(m == 1, "llama3").when(m == 2, "gemini/b").otherwise("unknown")
+    return answers.usage(table(spark, d, "events").select(model.alias("model"), (F.col("event_id") % 900).alias("prompt_tokens"), (F.col("event_id") % 300).alias("completion_tokens")))
+
+
+@query("SELECT 'p' || (user_id % 3) AS provider, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS refused, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS saturation FROM events GROUP BY 1")
+def provider_saturation(spark, d):
+    """AGG33: error events stand for refusals."""
+    calls = table(spark, d, "events").select(F.concat(F.lit("p"), F.col("user_id") % 3).alias("provider"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status"), F.lit(None).cast("double").alias("remaining"), F.lit(None).cast("double").alias("quota"))
+    return answers.saturation(calls)
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS words, contains(text, 'Answer:') OR contains(text, 'Key Points:') OR contains(text, 'Important Notes:') OR contains(text, 'Not Covered:') OR contains(text, '##') AS has_sections, " + " OR ".join(f"contains(lower(text), '{m}')" for m in answers.UNCERTAIN) + " AS uncertain FROM conversations")
+def answer_flags(spark, d):
+    """FN16."""
+    return table(spark, d, "conversations").select("conv_id", "turn", *[c.cast("long").alias(k) if k == "words" else c.alias(k) for k, c in answers.answer_flags("text").items()])
+
+
+@query()
+def follow_up_suggestions(spark, d):
+    """TOP15: page titles as titles, hosts as questions."""
+    p = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), pages.title("html", "url").alias("title"), "page_id", F.lit("factual").alias("intent"))
+    return answers.suggestions(p, "host", "title", "page_id", "intent").select("host", F.array_join("suggestions", "\n").alias("suggestions"))
+
+
+@query()
+def context_enriched(spark, d):
+    """FLT12, MDL10: windows with the first sentence of their document in front."""
+    docs = table(spark, d, "documents")
+    c = chunking.windows(docs, "doc_id").withColumn("url", F.col("doc_id").cast("string"))
+    return answers.enriched(c, docs.select("doc_id", answers.first_sentence("text").alias("summary")), "doc_id", []).select("doc_id", "chunk_index", "text")
