@@ -18,11 +18,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A run of so many lines (a power of two) is enough, or one line of so many words.
 MIN_LINES, MIN_WORDS = 4, 10
-WORD = r"[^\x20\x09-\x0D]+"
+BLANK, BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
 def _doubled(names: Column, step: int) -> Column:
@@ -31,27 +32,40 @@ def _doubled(names: Column, step: int) -> Column:
     return F.when(F.size(names) > step, F.transform(F.sequence(F.lit(0), F.size(names) - step - 1), pair)).otherwise(F.filter(names, lambda x: F.lit(False)))
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), seq: an array of line number, words and name of the non-blank lines."""
-    line = lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["words"] > 0).alias("seq")).where("text is not null")
+def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th (the text's hash), seq: line number, whether it has min_words words, and name of each non-blank line."""
+    long = rf"^{BLANK}*+(?:{BLACK}++{BLANK}++){{{min_words - 1}}}{BLACK}"
+    line = lambda x, i: F.when(x.rlike(BLACK), F.struct(i.alias("line"), x.rlike(long).alias("long"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x.isNotNull()).alias("seq"))
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, at, n: n lines from the at-th non-blank one on are a later copy of a run (or of one long line)."""
+    """doc_id, th, at, n, first, last: the n lines from the at-th non-blank one on, which are lines first to last of the
+    text, are a later copy of a run (or of one long line)."""
     depth = round(math.log2(min_lines))
     if 1 << depth != min_lines:
         raise ValueError("min_lines is a power of two")
     names = F.transform("seq", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    rows = _sequences(docs).withColumn("names", names)
+    rows = _sequences(docs, min_words).withColumn("names", names)
     for k in range(depth):
         rows = rows.withColumn("names", _doubled(F.col("names"), 1 << k))
-    unit = lambda i, x, n: F.struct(i.alias("at"), F.lit(n).alias("n"), x["a"].alias("a"), x["b"].alias("b"))
-    long = F.filter(F.transform("seq", lambda x, i: F.when(x["words"] >= min_words, unit(i, x, 1))), lambda x: x.isNotNull())
+    seq = F.col("seq")
+    unit = lambda i, x, n: F.struct(i.alias("at"), F.lit(n).alias("n"), x["a"].alias("a"), x["b"].alias("b"), seq[i]["line"].alias("first"), seq[i + n - 1]["line"].alias("last"))
+    long = F.filter(F.transform("seq", lambda x, i: F.when(x["long"], unit(i, x, 1))), lambda x: x.isNotNull())
     rows = rows.select("doc_id", "th", F.explode(F.concat(long, F.transform("names", lambda x, i: unit(i, x, min_lines)))).alias("u")).select("doc_id", "th", "u.*")
     where = F.struct("doc_id", "th", "at")
-    first = rows.groupBy("n", "a", "b").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(first, ["n", "a", "b"]).where(~where.eqNullSafe(F.col("first"))).select("doc_id", "th", "at", "n")
+    earliest = rows.groupBy("n", "a", "b").agg(F.min(where).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return rows.join(earliest, ["n", "a", "b"]).where(~where.eqNullSafe(F.col("earliest"))).select("doc_id", "th", "at", "n", "first", "last")
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """_id, _th, gaps (array of first and last line), n_removed: the windows of runs() merged where they touch or overlap."""
+    inside = W.partitionBy("doc_id", "th").orderBy("at", "n")
+    reach = F.max(F.col("at") + F.col("n")).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    marked = found.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1))
+    marked = marked.withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    merged = marked.groupBy("doc_id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("lines"))
+    return merged.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("_gaps"), F.sum("lines").alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -62,14 +76,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     equal in doc_id and text are one document: they share its fate, and are no copies of each other. Further columns
     stay as they are, n_chars among them; columns named n_lines or n_removed are replaced.
     """
-    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    found = maximal(runs(docs, min_lines, min_words)).hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*keep, F.xxhash64("text").alias("_h")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    lines = F.split("text", "\n", -1)
-    full = F.filter(F.transform("_lines", lambda x, i: F.when(F.regexp_count(x, F.lit(WORD)) > 0, i)), lambda i: i.isNotNull())
-    gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.slice("_full", r["at"] + 1, r["n"]))))
-    out = out.withColumn("_lines", lines).withColumn("_full", F.when(F.col("_runs").isNotNull(), full)).withColumn("_gone", gone)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n"))
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], size("_lines").alias("n_lines"), size("_gone").alias("n_removed"))
+    in_gap = lambda i: F.exists("_gaps", lambda g: (g["first"] <= i) & (i <= g["last"]))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
+    text = F.when(F.col("_gaps").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], n_lines.alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"))
