@@ -43,16 +43,17 @@ def snapshot_status(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float, block: list[Column]) -> DataFrame:
     """DDP4's pairs within blocks: a, b, jaccard of token sets at or over the threshold.
 
-    Prefix filtering: sets that reach the threshold share one of the first tokens of each in a fixed order, so pairs meet
-    on those only and are verified once, whole.
+    Prefix filtering: sets that reach the threshold share one of the first tokens of each, rare tokens first. So pairs meet
+    on rare tokens only and are verified once, whole.
     """
-    sets = docs.select(F.col(key), *[b.alias(f"_b{k}") for k, b in enumerate(block)], F.array_sort(T.token_set(text)).alias("t")).where(F.size("t") > 0)
-    by_hash = F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
-    length = F.size("t") - F.ceil(F.size("t") * F.lit(threshold)).cast("int") + 1
-    keys = sets.select("*", F.explode(F.transform(F.slice(by_hash, F.lit(1), length), lambda x: x["h"])).alias("h"))
+    sets = docs.select(F.col(key), *[b.alias(f"_b{k}") for k, b in enumerate(block)], T.token_set(text).alias("t")).where(F.size("t") > 0)
+    tokens = sets.select(key, *[f"_b{k}" for k in range(len(block))], F.size("t").alias("n"), F.explode("t").alias("h"))
+    seen = tokens.groupBy("h").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("df", "h"))
+    keys = tokens.join(seen, "h").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
     blocks = [f"_b{k}" for k in range(len(block))]
-    a = keys.select(F.col(key).alias("a"), F.size("t").alias("na"), "h", *blocks)
-    b = keys.select(F.col(key).alias("b"), F.size("t").alias("nb"), "h", *blocks)
+    a = keys.select(F.col(key).alias("a"), F.col("n").alias("na"), "h", *blocks)
+    b = keys.select(F.col(key).alias("b"), F.col("n").alias("nb"), "h", *blocks)
     found = a.join(b, ["h", *blocks]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))).select("a", "b").distinct()
     ta, tb = sets.select(F.col(key).alias("a"), F.col("t").alias("ta")), sets.select(F.col(key).alias("b"), F.col("t").alias("tb"))
     exact = found.join(ta, "a").join(tb, "b").select("a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
