@@ -7,8 +7,8 @@ it they differ in at most 2r bits: a shared variant is itself the verification
 (and is checked again on the pair).
 
 The shuffle is by the leading bits of the variant, so that one row stands for all
-variants of a fingerprint with the same leading bits (137 rows instead of 2081 at
-16 leading bits); the receiving task unfolds the remaining flips in numpy, sorts
+variants of a fingerprint with the same leading bits (79 rows instead of 2081 at
+12 leading bits); the receiving task unfolds the remaining flips in numpy, sorts
 and links. No task holds more than a bounded share of the variant space, no pairs
 of a group are emitted: a group yields a star, each task one link per member.
 """
@@ -30,8 +30,9 @@ from skein.plans.runtime import prepare, stage
 SEED = 42
 RADIUS = 4
 SHINGLE = 4
-#: Fingerprints a leading-bit pattern holds on average, and rows of a task.
-PER_PREFIX, PER_TASK = 8, 1_000_000
+#: Fingerprints a leading-bit pattern holds on average, from LEAST_BITS leading bits on, and rows of a task. The number of
+#: rows a fingerprint is shuffled as grows with the square of the bits: 79 at 12 bits (8 million fingerprints), 326 at 25.
+PER_PREFIX, LEAST_BITS, PER_TASK = 2048, 12, 1_000_000
 #: Variants unfolded at once in a task.
 UNFOLD = 4_000_000
 #: Shingles whose bits are counted at once.
@@ -159,7 +160,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark, r = distinct.sparkSession, radius // 2
     col = distinct.columns[0]
     n = distinct.count()
-    bits = min(32, max(8, math.ceil(math.log2(max(2, n / PER_PREFIX)))))
+    bits = min(32, max(LEAST_BITS, math.ceil(math.log2(max(2, n / PER_PREFIX)))))
     masks = F.array(*[F.lit(int(m)) for m in _ball(bits, r)])
     rows = distinct.select(F.shiftrightunsigned(F.col(col), 64 - bits).alias("k"), F.col(col).alias("fp")).select(F.explode(masks).alias("m"), "k", "fp").select(F.col("k").bitwiseXOR(F.col("m")).alias("k"), "fp")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(_ball(bits, r)) / PER_TASK))
