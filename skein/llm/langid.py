@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from skein.plans.runtime import prepare
 
 ORDER = 4
-SAMPLE, SAMPLE_CHARS = 400, 20_000
+SAMPLE, SAMPLE_CHARS = 250, 10_000
 #: Of the sample, this share calibrates rejection; a text goes beyond the worst of it by more than MARGIN (nats a character).
 CALIBRATION, MARGIN = 5, 1.0
 #: The characters that the score's evidence counts for at most.
@@ -231,7 +231,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
 
 
 #: Characters that are scored at once.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 def _batches(texts: list[str | None]):
