@@ -34,7 +34,7 @@ SHINGLE = 4
 #: rows a fingerprint is shuffled as grows with the square of the bits: 79 at 12 bits (8 million fingerprints), 326 at 25.
 PER_PREFIX, LEAST_BITS, PER_TASK = 2048, 12, 1_000_000
 #: Variants unfolded at once in a task.
-UNFOLD = 4_000_000
+UNFOLD = 1_000_000
 #: Shingles whose bits are counted at once.
 WINDOW = 1 << 15
 

@@ -70,6 +70,21 @@ def test_simhash_matches_brute_force(spark, odd):
     assert {(g.doc_id, g.fingerprint, g.component_id) for g in got} == {(d, f"{fps[d]:016x}", ids[root[k]]) for k, d in enumerate(ids)}
 
 
+def test_slices_of_a_crowded_prefix_find_the_same_links(monkeypatch):
+    """A group beyond UNFOLD is unfolded in slices."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    seeds = r.integers(0, 1 << 52, 30, np.uint64)
+    fps = np.unique([int(s) ^ sum(1 << int(b) for b in r.choice(52, k, replace=False)) for s in seeds for k in range(6)]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fps), np.int64)), pa.array(fps)], ["k", "fp"])
+    found = []
+    for size in (1 << 30, 3000):
+        monkeypatch.setattr(simhash, "UNFOLD", size)
+        found.append(sorted((a, b) for x in simhash._linker(12, 2)([batch]) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)))
+    assert found[0] == found[1] and len(found[0]) > 30
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_ball_links_find_every_pair(spark, seed):
     r = np.random.default_rng(seed)
