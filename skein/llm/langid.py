@@ -1,7 +1,7 @@
 """Language ID by interpolated Kneser-Ney character models, one per language.
 
-The models are fitted on a bounded sample of labelled documents (SAMPLE a language, of
-at most SAMPLE_CHARS characters each). Every n-gram that some language has seen gets
+The models are fitted on a bounded sample of labelled documents (SAMPLE a language, a
+window of at most SAMPLE_CHARS characters of each). Every n-gram that some language has seen gets
 its interpolated log probability in all languages ahead of time, so scoring a character
 is one look-up in a sorted array of n-gram hashes; n-grams that no language has seen
 fall back to the next lower order with the back-off weights of their history.
@@ -195,15 +195,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHAR
     """A model of the labelled documents that are not held out; None where there are none.
 
     The sample is the same for the same rows: the smallest hashes of doc_id, thinned before they are ranked, so that a
-    language with a third of all rows is no large window.
+    language with a third of all rows is no large window. A longer document is fitted on by a window of it, placed by a
+    hash; where that holds no letter, the window begins at the first one.
     """
     h = F.xxhash64(F.lit("langid"), F.col("doc_id"))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", h.alias("h"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", h.alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 3 * sample / n)))])
     thin = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    start = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.length("text") - sample_chars + 1) + 1
+    window = F.substring("text", start, F.lit(sample_chars))
+    lettered = F.substring(F.regexp_substr("text", F.lit(r"(?s)\p{L}.*")), 1, sample_chars)
+    long = F.length("text") > sample_chars
+    thin = thin.withColumn("text", F.when(long & window.rlike(r"\p{L}"), window).when(long, lettered).otherwise(F.col("text")))
     best = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= sample)
     fold: tuple[dict, dict] = ({}, {})
     for r in sorted(best.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
@@ -216,8 +222,8 @@ def held_out():
 
 
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score, cross-entropy and whether it is rejected, of each text."""
-    pred, score, entropy, gone = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+    """Language, score, cross-entropy and whether it is rejected, of each text; without a model nothing is rejected."""
+    pred, score, entropy, gone = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), model is not None)
     if model is None or not texts:
         return pred, score, entropy, gone
     e, n = model.entropies([t or "" for t in texts])
@@ -247,8 +253,8 @@ def _batches(texts: list[str | None]):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every row, from the whole text.
 
-    lang_pred is a language of the model, und for a null text, one without a letter, or without a model (score 0,
-    rejected). rejected: und, or a cross-entropy beyond the calibrated limit of its language. Ties go to the first
+    lang_pred is a language of the model, und for a null text or one without a letter (score 0, rejected), or without a
+    model (score 0, not rejected). rejected: und, or a cross-entropy beyond the limit of its language. Ties go to the first
     language by code point. Repeated rows each keep a row; a null doc_id stays. No rows give no rows.
     """
     spark = prepare(docs.sparkSession)
@@ -266,7 +272,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is not rejected."""
+    """The rows of docs, all columns as they are, whose text is not rejected; all rows without a model."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")

@@ -413,6 +413,23 @@ def test_language_id(spark):
     assert [g.lang_pred for g in langid.identify(docs_of(spark, [(1, "abc", None, None)]), None).collect()] == ["und"]
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    """Documents longer than SAMPLE_CHARS are fitted on by a window, also where their letters stand at one end."""
+    rows = [(k, (t + " ") * 120, lang, s) for k, t, lang, s in lang_rows(60)]
+    assert all(len(r[1]) > langid.SAMPLE_CHARS for r in rows)
+    rows += [(k, "1 " * 40_000 + "qrs tqr sst " * 9, "dd", "s") for k in range(100, 112)]
+    model = langid.train(docs_of(spark, rows))
+    assert model.langs == ["aa", "bb", "cc", "dd"]
+    by = {g.doc_id: g for g in langid.identify(docs_of(spark, rows), model).collect()}
+    assert all(by[r[0]].lang_pred == r[2] and not by[r[0]].rejected for r in rows)
+
+
+def test_no_model_rejects_nothing(spark):
+    docs = docs_of(spark, [(1, "abc", None, None), (2, None, None, None)])
+    assert langid.train(docs) is None and langid.accepted(docs, None).count() == 2
+    assert [(g.lang_pred, g.rejected) for g in langid.identify(docs, None).collect()] == [("und", False)] * 2
+
+
 def test_kneser_ney_is_a_distribution():
     """The probabilities that follow a history sum to one over the alphabet and the unknown character."""
     model = langid.fit({"aa": ["abracadabra abba cab " * 3], "bb": ["xyz zyx yxz " * 3]})
