@@ -24,6 +24,8 @@ ORDER = 4
 SAMPLE, SAMPLE_CHARS = 250, 10_000
 #: Of the sample, this share calibrates rejection; a text goes beyond the worst of it by more than MARGIN (nats a character).
 CALIBRATION, MARGIN = 5, 1.0
+#: Characters of a text that calibrates.
+LEAST = 20
 #: The characters that the score's evidence counts for at most.
 EVIDENCE = 50
 UND = "und"
@@ -151,15 +153,38 @@ def _language(x: np.ndarray, counts: np.ndarray):
     return tables[::-1]
 
 
-def fit(samples: dict[str, list[str]], calibrate: dict[str, list[str]] | None = None) -> Model:
-    """Models of the sampled texts by language; calibrate: other texts by language, which set the limits of rejection."""
+def _left_out(texts: list[str], alphabet: int) -> float:
+    """The worst cross-entropy of a language's texts under models of its other texts (of a lone text: of its other half); nan if none can be fitted."""
+    if len(texts) == 1:
+        words = texts[0].split()
+        cut = len(words) // 2
+        texts = [" ".join(words[:cut]), " ".join(words[cut:])] if cut else [texts[0][: len(texts[0]) // 2], texts[0][len(texts[0]) // 2 :]]
+    worst = []
+    for k in range(min(CALIBRATION, len(texts))):
+        out, rest = texts[k::CALIBRATION], [t for i, t in enumerate(texts) if i % CALIBRATION != k]
+        if not _stream(rest)[2].any():
+            continue
+        model = fit({"": rest}, alphabet=alphabet)
+        e, n = model.entropies(out)
+        if not (n >= LEAST).any():
+            e, n = model.entropies([" ".join(out)])
+        worst += e[n >= min(LEAST, max(1, n.max())), 0].tolist()
+    return max(worst, default=np.nan)
+
+
+def fit(samples: dict[str, list[str]], calibrate: dict[str, list[str]] | None = None, alphabet: int | None = None) -> Model:
+    """Models of the sampled texts by language; calibrate: other texts by language, which set the limits of rejection.
+
+    Where calibrate is given, a language without a usable text in it gets its limit from its own texts, each under a
+    model of the others, or else the highest limit of the other languages; never beyond that of a uniform alphabet.
+    """
     langs = sorted(samples)
     streams = [_stream(samples[lang]) for lang in langs]
     per = [_language(x, counts) for x, _, counts in streams]
     x = np.concatenate([s[0] for s in streams])
     at = np.flatnonzero(np.concatenate([s[2] for s in streams]))
     h = _hashes(x)
-    alphabet = len(np.unique(x)) + 1
+    alphabet = alphabet or len(np.unique(x)) + 1
     grams, logp, contexts, backoff = [], [], [], []
     for k in range(ORDER):
         keys, first = np.unique(h[k][at], return_index=True)
@@ -186,8 +211,13 @@ def fit(samples: dict[str, list[str]], calibrate: dict[str, list[str]] | None =
     for m, lang in enumerate(langs):
         if calibrate and calibrate.get(lang):
             e, n = model.entropies(calibrate[lang])
-            if (n >= 20).any():
-                model.limit[m] = e[n >= 20, m].max() + MARGIN
+            if (n >= LEAST).any():
+                model.limit[m] = e[n >= LEAST, m].max() + MARGIN
+    if calibrate is not None:
+        pooled = max(model.limit[np.isfinite(model.limit)], default=np.inf)
+        for m in np.flatnonzero(np.isinf(model.limit)):
+            own = _left_out(samples[langs[m]], alphabet)
+            model.limit[m] = min(pooled if np.isnan(own) else own + MARGIN, np.log(alphabet))
     return model
 
 

@@ -424,6 +424,22 @@ def test_languages_of_long_documents_are_learned(spark):
     assert all(by[r[0]].lang_pred == r[2] and not by[r[0]].rejected for r in rows)
 
 
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_a_rare_language_rejects_foreign_text(spark, n):
+    """A language with too few documents for a calibration set has a finite limit: it keeps its own texts, not all else."""
+    say = lambda letters, seed: " ".join("".join(random.Random(seed * 1000 + w).choices(letters, k=2 + w % 6)) for w in range(40))
+    ids = [k for k in range(2000, 2100) if zlib.crc32(str(k).encode()) % 4 != 2][:n]
+    docs = docs_of(spark, lang_rows(120) + [(k, say("mnoprk", k), "dd", "s") for k in ids])
+    model = langid.train(docs)
+    assert "dd" in model.langs and np.isfinite(model.limit).all()
+    foreign = ["жизнь это долгая дорога " * 5, say("abcdefghijklmnopqrstuvwxyz", 1), say("fhijlqst", 2), say("ßäöüéèñç", 3)]
+    assert langid.predict(model, foreign)[3].all()
+    own = langid.predict(model, [say("mnoprk", k) for k in range(3000, 3020)])
+    assert own[0] == ["dd"] * 20 and not own[3].any()
+    few = langid.train(docs_of(spark, [(k, "ab", "dd", "s") for k in ids]))  # nothing to calibrate with
+    assert np.isfinite(few.limit).all()
+
+
 def test_no_model_rejects_nothing(spark):
     docs = docs_of(spark, [(1, "abc", None, None), (2, None, None, None)])
     assert langid.train(docs) is None and langid.accepted(docs, None).count() == 2
