@@ -5,14 +5,19 @@ its bits reversed) falls into one source's stretch of the cumulative targets; th
 slots of a source are ranked, and rank k takes block k mod n of the source's n blocks
 of equal token counts, cut from the source's documents in shuffled order. Since the
 points of a full period are a permutation, a source gets its target to within one slot.
+A source whose target is less than LEAST_SLOTS such slots halves them until it holds as
+many, or until a slot is no longer than a word: its slots have a longer van der Corput
+number, whose leading bits say in which of the others' slots they stand.
 
 Blocks cut through documents, so a source meets its target whatever the length of its
-documents. Sources of any size spread over buckets of the shuffle order; blocks and
-slots are bounded in number by SLOT_BITS, not by the input.
+documents. Sources of any size spread over buckets of the shuffle order; slots are
+bounded in number by SLOT_BITS and some LEAST_SLOTS a source, not by the words.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from skein.plans.runtime import prepare, stage
 
 #: 131,072 slots: at 100 TB a slot is about 2e8 words, at the smallest test size 3.
 SLOT_BITS = 17
+#: A source's target is at least so many slots, or its slots are words.
+LEAST_SLOTS = 64
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1:"
@@ -57,23 +64,39 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     return src.select("sid", "source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _levels(goal: DataFrame, slot_bits: int) -> tuple[DataFrame, int, str]:
+    """goal with n, the number of slots the whole mix has at the source's level; all words; the type that holds products of the two."""
+    total = goal.agg(F.sum("source_size")).first()[0] or 0
+    most = max(slot_bits, math.ceil(math.log2(max(1, total))))
+    halvings = F.ceil(F.log2(F.lit(float(LEAST_SLOTS * total)) / (F.col("target") * F.lit(1 << slot_bits)))).cast("int")
+    bits = F.when(F.col("target") > 0, F.greatest(F.lit(slot_bits), F.least(F.lit(most), halvings + slot_bits))).otherwise(slot_bits)
+    goal = goal.withColumn("bits", bits).withColumn("n", F.expr("shiftleft(1L, bits)"))
+    wide = total << most >= 1 << 61 and goal.agg(F.max(F.col("source_size").cast("double") * F.col("n"))).first()[0] + total >= 1 << 61
+    return goal, total, "decimal(38,0)" if wide else "bigint"
+
+
 def schedule(goal: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """slot, sid, block, epoch for every slot of the mix; goal as targets() returns it."""
-    n, total = 1 << slot_bits, goal.agg(F.sum("source_size")).first()[0] or 0
+    """slot, sid, block, epoch, at for every slot of the mix; goal as targets() returns it.
+
+    at: the position in the mix, in slots of slot_bits; slot: its whole part, which slots of finer levels share.
+    """
+    goal, total, big = _levels(goal, slot_bits)
     if not total:
-        return goal.sparkSession.createDataFrame([], "slot long, sid long, block long, epoch long")
+        return goal.sparkSession.createDataFrame([], "slot long, sid long, block long, epoch long, at double")
     lay = running_start(goal.withColumn("all", F.lit(1)).withColumn("part", F.floor(F.col("sid") / 4096)), "all", "part", ["sid"], "target", "lo")
-    at = lambda c: F.least(F.lit(n), F.round(c * F.lit(n) / F.lit(total)).cast("long"))
-    lay = lay.select("sid", "source_size", at(F.col("lo")).alias("a"), at(F.col("lo") + F.col("target")).alias("b")).where("a < b")
-    points = lay.select("sid", "source_size", F.explode(F.sequence("a", F.col("b") - 1)).alias("point"))
-    slots = points.select("sid", "source_size", F.conv(F.reverse(F.lpad(F.bin("point"), slot_bits, "0")), 2, 10).cast("long").alias("slot"), F.lit(1).alias("one"))
-    slots = running_start(slots.withColumn("bucket", F.shiftright("slot", 10)), "sid", "bucket", ["slot"], "one", "k")
-    slots = slots.withColumn("n", F.expr(f"(source_size - 1) * {n} div {total} + 1"))
-    return slots.select("slot", "sid", (F.col("k") % F.col("n")).alias("block"), F.expr("k div n").alias("epoch")).where(F.col("epoch") < MAX_EPOCHS)
+    at = lambda c: F.least(F.col("n"), F.round(c * F.col("n") / F.lit(total)).cast("long"))
+    lay = lay.select("sid", "source_size", "bits", "n", at(F.col("lo")).alias("a"), at(F.col("lo") + F.col("target")).alias("b")).where("a < b")
+    points = lay.select("sid", "source_size", "bits", "n", F.explode(F.sequence("a", F.col("b") - 1)).alias("point"))
+    turned = points.withColumn("turned", F.expr("cast(conv(reverse(lpad(bin(point), bits, '0')), 2, 10) as bigint)"))
+    slots = turned.withColumn("slot", F.expr(f"shiftright(turned, bits - {slot_bits})")).withColumn("one", F.lit(1))
+    slots = running_start(slots.withColumn("bucket", F.shiftright("slot", 10)), "sid", "bucket", ["turned"], "one", "k")
+    slots = slots.withColumn("blocks", F.expr(f"cast(source_size - 1 as {big}) * n div {total} + 1"))
+    place = F.col("turned") / F.col("n") * F.lit(1 << slot_bits)
+    return slots.select("slot", "sid", (F.col("k") % F.col("blocks")).alias("block"), F.expr("k div blocks").alias("epoch"), place.alias("at")).where(F.col("epoch") < MAX_EPOCHS)
 
 
 def laid_out(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """rows with sid, source_size, target and start, the words of the source before it in shuffled order."""
+    """rows with the columns of goal and start, the words of the source before it in shuffled order."""
     placed = rows.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return running_start(placed, "sid", "bucket", ["h", "doc_id", "size"], "size", "start")
 
@@ -91,15 +114,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slot_bits: int = SLOT_BITS) -
     """
     rows = sized(docs)
     goal = targets(rows, weights)
-    n, total = 1 << slot_bits, goal.agg(F.sum("source_size")).first()[0] or 0
+    goal, total, big = _levels(goal, slot_bits)
     out = stage(laid_out(rows, goal), "mix-laid")
     keep = ["doc_id", "source", "size", "source_size", "target"]
     none = out.where("size = 0").select(*keep, F.lit(0).cast("long").alias("taken"))
     if not total:
         return none
     cut = out.where("size > 0").withColumn("end", F.col("start") + F.col("size"))
-    cut = cut.withColumn("block", F.explode(F.expr(f"sequence(start * {n} div {total}, (end - 1) * {n} div {total})")))
-    first = lambda b: f"(({b}) * {total} + {n - 1}) div {n}"
+    cut = cut.withColumn("block", F.explode(F.expr(f"sequence(cast(start as {big}) * n div {total}, cast(end - 1 as {big}) * n div {total})")))
+    first = lambda b: f"(cast({b} as {big}) * {total} + n - 1) div n"
     cut = cut.withColumn("part", F.expr(f"least(end, {first('block + 1')}) - greatest(start, {first('block')})"))
     got = cut.join(_by_block(goal, slot_bits), ["sid", "block"], "left")
     # start tells documents of a source apart, as each of them has words
@@ -115,10 +138,10 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, slot_bits: int =
     """
     rows = sized(docs)
     goal = targets(rows, weights)
-    n, total = 1 << slot_bits, goal.agg(F.sum("source_size")).first()[0] or 0
+    goal, total, big = _levels(goal, slot_bits)
     if not total:
         return docs
-    placed = laid_out(rows, goal).withColumn("block", F.when(F.col("size") > 0, F.expr(f"start * {n} div {total}")))
+    placed = laid_out(rows, goal).withColumn("block", F.when(F.col("size") > 0, F.expr(f"cast(start as {big}) * n div {total}")))
     got = placed.join(_by_block(goal, slot_bits), ["sid", "block"], "left")
     times = got.select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.coalesce(F.col("times"), F.lit(0))).alias("_times"))
     times = stage(times.groupBy("_id").agg(F.max("_times").alias("_times")), "mix-times")

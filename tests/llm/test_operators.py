@@ -142,6 +142,36 @@ def test_mix_schedule_is_even(spark):
     assert max(e for _, _, e in slots) <= 1
 
 
+@pytest.mark.parametrize("big", ["bigint", "decimal(38,0)"])
+def test_mix_keeps_sources_far_below_a_slot(spark, monkeypatch, big):
+    """Sources below half a slot of 2^17 get their words too; with more sources than slots all of them do."""
+    levels = mixing._levels
+    monkeypatch.setattr(mixing, "_levels", lambda *a: (*levels(*a)[:2], big))
+    rows = [(k, "w " * 40_000, "en", "big") for k in range(30)] + [(100, "one", "en", "a"), (101, "two words", "en", "z"), (102, "more", "en", "z"), (103, "w " * 9, "en", None)]
+    got = {g.doc_id: g for g in mixing.mix(docs_of(spark, rows)).collect()}
+    assert {k: got[k].taken for k in range(100, 104)} == {k: 3 * got[k].size for k in range(100, 104)}
+    kept = [r.doc_id for r in mixing.mixed_documents(docs_of(spark, rows)).collect()]
+    assert all(kept.count(k) == 3 for k in range(100, 104))
+    many = [(k, prose(k, 200), "en", f"s{k % 40}") for k in range(400)]
+    taken, target = defaultdict(int), {}
+    for g in mixing.mix(docs_of(spark, many), slot_bits=4).collect():
+        taken[g.source] += g.taken
+        target[g.source] = g.target
+    assert all(abs(taken[s] - t) <= t / mixing.LEAST_SLOTS + 1 for s, t in target.items()) and len(target) == 40
+    words = defaultdict(int)
+    for r in mixing.mixed_documents(docs_of(spark, many), slot_bits=4).collect():
+        words[r.source] += 200
+    assert all(abs(words[s] - t) < 200 + t / mixing.LEAST_SLOTS for s, t in target.items())
+
+
+def test_mix_schedule_spreads_fine_slots(spark):
+    goal = spark.createDataFrame([(0, "a", 1_000_000, 999_000.0), (1, "b", 1000, 1000.0)], "sid long, source string, source_size long, target double")
+    got = mixing.schedule(goal, 8).collect()
+    fine = sorted(r["at"] for r in got if r.sid == 1)
+    assert mixing.LEAST_SLOTS <= len(fine) <= 2 * mixing.LEAST_SLOTS + 1 and all(r.slot == int(r["at"]) for r in got)
+    assert max(abs(x - 256 * k / len(fine)) for k, x in enumerate(fine)) < 256 / 16 and {r.epoch for r in got if r.sid == 1} <= {0, 1}
+
+
 def test_mix_without_words(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert [g.taken for g in mixing.mix(docs_of(spark, [(1, None, None, None), (2, " ", "en", "a")])).collect()] == [0, 0]
