@@ -58,11 +58,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, kept: tuple[str, ...]):
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fps, pa.int64())], [*kept, "fp"])
 
     return run
 
@@ -70,7 +70,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle, ("doc_id",)), "doc_id long, fp long")
 
 
 def _ball(bits: int, r: int) -> np.ndarray:
@@ -186,7 +186,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each near-duplicate group (its smallest doc_id), all columns; one row for a repeated doc_id."""
-    found = near_duplicates(docs, radius, shingle)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with exactly one row of each near-duplicate group, all columns: its smallest doc_id, null last.
+
+    Ties go by a hash of the text, then of the other columns, so the same rows survive whatever their order; rows that
+    share a doc_id, or have none, are told apart by these hashes.
+    """
+    prepare(docs.sparkSession)
+    # maps can't be hashed
+    rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
+    flat = [x for c in rest for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keys = docs.withColumns({"_keep_id": F.col("doc_id").cast("long"), "_keep_th": F.xxhash64("text"), "_keep_rh": F.xxhash64(F.lit(0), F.col("doc_id"), *flat)})
+    rows = keys.select("_keep_id", "_keep_th", "_keep_rh", "text").mapInArrow(_fingerprints(shingle, ("_keep_id", "_keep_th", "_keep_rh")), "_keep_id long, _keep_th long, _keep_rh long, fp long")
+    first = F.min(F.struct(F.col("_keep_id").isNull().alias("none"), "_keep_id", "_keep_th", "_keep_rh")).alias("first")
+    least = stage(rows.groupBy("fp").agg(first), "simhash-least")
+    comp = components(links(least.select("fp"), radius))
+    groups = least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = groups.agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"_kept{c[5:]}") for c in ("_keep_id", "_keep_th", "_keep_rh")])
+    kept = stage(kept, "simhash-kept")
+    same = keys["_keep_id"].eqNullSafe(kept["_kept_id"]) & (keys["_keep_th"] == kept["_kept_th"]) & (keys["_keep_rh"] == kept["_kept_rh"])
+    return keys.join(kept, same, "left_semi").dropDuplicates(["_keep_id", "_keep_th", "_keep_rh"]).drop("_keep_id", "_keep_th", "_keep_rh")

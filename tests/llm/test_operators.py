@@ -109,6 +109,16 @@ def test_simhash_null_id_and_empty_table(spark, odd):
     assert sorted(k.doc_id for k in kept if k.doc_id in (1, 2, 8)) == [1, 8]
 
 
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    """Null and repeated doc_ids with different texts are different groups, each of which keeps a row."""
+    rows = [(None, prose(1), "en", "s0"), (None, prose(2), "en", "s0"), (None, prose(2), "en", "s1"), (5, prose(3), "en", "s0"), (5, prose(4), "en", "s0"), (5, prose(4), "en", "s0")]
+    rows += [(7, prose(5), "en", "s0"), (None, prose(5), "en", "s0"), (6, prose(5), None, "s2"), (6, prose(5), "s2", None), (None, None, "en", "s0")]
+    got = [sorted(map(str, simhash.keep_one(docs_of(spark, x)).collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows).repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, prose(1)), (None, prose(2)), (5, prose(3)), (5, prose(4)), (6, prose(5)), (None, None)], key=str)
+
+
 def test_components_long_path(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
