@@ -3,14 +3,16 @@
 A page is cut into blocks of text. Blocks in menus, headers, footers, sidebars, forms,
 notices, adverts, comments, scripts and styles are never main text. Blocks inside an
 article (or main) element are, unless they stand in one of those. Blocks that no element
-vouches for are concatenated, host by host, as token streams; a suffix array over them
-finds runs of at least MIN_TOKENS tokens that MIN_PAGES distinct pages share, the runs
-are deleted where they stand, and the unique runs between them are kept. On pages with
+vouches for are concatenated, host by host, as token streams; suffix arrays over them
+find runs of at least MIN_TOKENS tokens that MIN_PAGES pages of different text share, the
+runs are deleted where they stand, and the unique runs between them are kept. On pages with
 an article the rest of the page is no main text, so the array decides about pages
 without one. It never deletes inside an article: the same article under two addresses
 of a host would otherwise lose its text.
 
-Hosts are dealt over shards of about SHARD_PAGES pages, whatever their size.
+Hosts are dealt over shards of about SHARD_PAGES pages, whatever their size. A shard's array
+names its runs and counts their pages; the counts are added over all shards of the host
+before anything is deleted. A page's text has one shard, so equal pages count once.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,38 +191,86 @@ def boilerplate(pages: list[list[str]], min_tokens: int = MIN_TOKENS, min_pages:
     return covered
 
 
+def _name(tokens: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def shared_runs(pages: list[list[str]], min_tokens: int = MIN_TOKENS) -> dict[int, int]:
+    """Name of each run of min_tokens tokens -> on how many of the pages it stands, from their suffix array."""
+    names: dict[str, int] = {}
+    ids, owner, offset = [], [], []
+    for k, p in enumerate(pages):
+        ids += [names.setdefault(t, len(names)) for t in p]
+        ids.append(-1 - k)  # no run crosses pages
+        owner += [k] * (len(p) + 1)
+        offset += range(len(p) + 1)
+    x, owner, offset = np.array(ids, np.int64), np.array(owner), np.array(offset)
+    if len(x) <= min_tokens:
+        return {}
+    sa, lcp = suffix_array(x)
+    group = np.cumsum(lcp < min_tokens)  # intervals of the array whose common prefix is long enough
+    whole = offset[sa] + min_tokens <= np.array([len(p) for p in pages])[owner[sa]]
+    pairs = np.unique(np.stack((group[whole], owner[sa][whole])), axis=1)
+    count = np.bincount(pairs[0], minlength=group[-1] + 1)
+    first = np.flatnonzero(whole & np.r_[True, group[1:] != group[:-1]])
+    return {_name(pages[owner[i]][offset[i] : offset[i] + min_tokens]): int(n) for i, n in zip(sa[first], count[group[first]], strict=True)}
+
+
+def without(tokens: list[str], gone: set[int], min_tokens: int = MIN_TOKENS) -> list[str]:
+    """The tokens that stand in none of the named runs."""
+    end, out = 0, []
+    for i, t in enumerate(tokens):
+        if i + min_tokens <= len(tokens) and _name(tokens[i : i + min_tokens]) in gone:
+            end = i + min_tokens
+        if i >= end:
+            out.append(t)
+    return out
+
+
 def _parse(batches):
     for b in batches:
         found = [blocks(t) for t in b.column("html").to_pylist()]
         main = [[t for kind, t in x if kind == MAIN] for x in found]
         vouched = [bool(m) for m in main]
         text = [" ".join(m) if m else "\n".join(t for _, t in x) for m, x in zip(main, found, strict=True)]
-        cols = [b.column(c) for c in ("page_id", "url", "host", "shard")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(vouched, pa.bool_()), pa.array(text, pa.string())], ["page_id", "url", "host", "shard", "vouched", "text"])
+        cols = [b.column(c) for c in ("page_id", "url", "host")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(vouched, pa.bool_()), pa.array(text, pa.string())], ["page_id", "url", "host", "vouched", "text"])
 
 
-def _clean(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["page_id", "url", "text"], kind="stable", ignore_index=True)
-    free = ~pdf["vouched"].to_numpy(bool)
-    # pages with an article lend the array no tokens: all of theirs is vouched for
-    tokens = [t.split() if f else [] for t, f in zip(pdf["text"], free, strict=True)]
-    gone = boilerplate(tokens)
-    pdf["text"] = [" ".join([w for w, g in zip(t, c, strict=True) if not g]) if f else s for t, c, f, s in zip(tokens, gone, free, pdf["text"], strict=True)]
-    return pdf[["page_id", "url", "text"]]
+def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    host, shard, shards = (pdf[c].iloc[0] for c in ("host", "shard", "shards"))
+    found = shared_runs([t.split() for t in pdf["text"]])
+    if shards == 1:  # no other shard can add pages
+        found = {k: n for k, n in found.items() if n >= MIN_PAGES}
+    return pd.DataFrame({"host": host, "shard": shard, "name": np.array(list(found), np.int64), "pages": np.array(list(found.values()), np.int64)})
+
+
+def _clean(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    gone = set(runs["name"].tolist())
+    return pd.DataFrame({"host": pdf["host"], "key": pdf["key"], "text": [" ".join(without(t.split(), gone)) for t in pdf["text"]]})
 
 
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
     Null, empty and text-free pages give an empty text. A null or odd url is a host of its own. Repeated rows each keep a
-    row, and count as pages of their host. Cut-off pages end where they end. Further columns are not read. No rows, no rows.
+    row; rows of a host with the same text count as one page of it. Cut-off pages end where they end. Further columns are
+    not read. No rows, no rows.
     """
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    shards = rows.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards")).where("shards > 1")
-    rows = rows.join(stage(shards, "host-shards"), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = rows.select("page_id", "url", "host", "shard", "html").mapInArrow(_parse, f"page_id {kind}, url string, host string, shard int, vouched boolean, text string")
-    texts = parsed.groupBy("host", "shard").applyInPandas(_clean, f"page_id {kind}, url string, text string")
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    parsed = stage(rows.mapInArrow(_parse, f"page_id {kind}, url string, host string, vouched boolean, text string"), "html-parsed")
+    free = parsed.where("not vouched").withColumn("key", F.md5(F.col("text").cast("binary")))
+    distinct = free.select("host", "key", "text").dropDuplicates(["host", "key"])
+    shards = stage(distinct.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards")), "host-shards")
+    shard = F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")
+    contents = stage(distinct.join(shards, "host").withColumn("shard", shard), "html-contents")
+    runs = stage(contents.groupBy("host", "shard").applyInPandas(_runs, "host string, shard int, name long, pages long"), "html-runs")
+    shared = runs.groupBy("host", "name").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES).drop("all")
+    gone = runs.join(shared, ["host", "name"]).select("host", "shard", "name")
+    cleaned = contents.groupBy("host", "shard").cogroup(gone.groupBy("host", "shard")).applyInPandas(_clean, "host string, key string, text string")
+    texts = free.drop("text").join(cleaned, ["host", "key"]).select("page_id", "url", "text")
+    out = parsed.where("vouched").select("page_id", "url", "text").unionByName(texts)
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -260,6 +260,32 @@ def test_html_extract(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_runs_are_decided_over_the_whole_host(spark):
+    """A notice on few pages of each shard goes; an article without an article element at several addresses stays."""
+    notice = "Please note our new opening hours from May"
+    page = lambda *parts: "<body>" + "".join(f"<p>{x}</p>" for x in parts) + "</body>"
+    rows = [(k, f"https://h.example/{k}", page(notice, prose(k, 20)) if k < 12 else page(prose(k, 20))) for k in range(120)]
+    rows += [(200 + k, f"https://h.example/copy{k}", page(prose(999, 40))) for k in range(5)]
+    rows += [(300 + k, f"https://g.example/{k}", page(notice, prose(k, 20))) for k in range(2)]
+    got = {g.page_id: g.text for g in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=4).collect()}
+    assert len(got) == len(rows) and all(got[k] == prose(k, 20) for k in range(120))
+    assert all(got[200 + k] == prose(999, 40) for k in range(5)) and all(got[300 + k] == f"{notice}\n{prose(k, 20)}".replace("\n", " ") for k in range(2))
+
+
+def test_runs_of_shards_match_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        pages = [[r.choice("abc") for _ in range(r.randint(0, 12))] for _ in range(r.randint(0, 5))]
+        least, most = r.randint(1, 4), r.randint(2, 3)
+        total = defaultdict(int)
+        for part in (pages[::2], pages[1::2]):
+            for name, n in html_extract.shared_runs(part, least).items():
+                total[name] += n
+        gone = {name for name, n in total.items() if n >= most}
+        want = html_extract.boilerplate(pages, least, most)
+        assert [html_extract.without(p, gone, least) for p in pages] == [[t for t, c in zip(p, w, strict=True) if not c] for p, w in zip(pages, want, strict=True)]
+
+
 def test_suffix_array_boilerplate_matches_brute_force():
     r = random.Random(5)
     for _ in range(200):
