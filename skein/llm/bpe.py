@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,24 @@ from skein.plans.runtime import prepare
 SHORT = 32
 #: Words merged at once.
 WORDS = 20_000
-#: Entries of a worker's cache of white-space-delimited pieces.
-CACHE = 400_000
+#: Entries of a worker's cache of white-space-delimited pieces, which bounds its memory.
+CACHE = 250_000
 #: Characters whose pieces are looked up at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: White space by Unicode's White_Space property, as a character class.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: The steps before the model that this module implements, as the file states them.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
 _NONE = np.iinfo(np.int64).max
 
 
@@ -85,14 +98,18 @@ class Bpe:
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() only
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.ids: dict[str | int, list[int]] = {}
-        self.shown: dict[str | int, str] = {}
-        self.text: dict[str | int, str] = {}
+        self.decimal = {i: str(i) for i in self.tokens}
 
     @classmethod
     def load(cls, path: str) -> Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        odd = [k for k in ("continuing_subword_prefix", "byte_fallback", "ignore_merges", "dropout") if model.get(k)]
+        odd += [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        odd += [k for k, v in STEPS.items() if spec[k] != v]
+        if model["type"] != "BPE" or odd or max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) >= 1 << 20:
+            raise ValueError(f"a tokenizer of another kind: {odd}")
         return cls(model["vocab"], [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], {t["content"]: t["id"] for t in spec["added_tokens"]}, model["end_of_word_suffix"] or "")
 
     def __reduce__(self):
@@ -175,9 +192,7 @@ class Bpe:
         """Make the cache hold every piece of the texts: words new to it are merged together."""
         for cache in (self.ids, self.words):
             if len(cache) >= CACHE:
-                cache.clear()
-                self.shown.clear()
-                self.text.clear()
+                self.words.clear()
                 self.ids.clear()
         new = list({p for t in texts for p in t} - self.ids.keys())
         split = [[] if isinstance(p, int) else self.word.findall(p) for p in new]
@@ -186,9 +201,7 @@ class Bpe:
         for w, ids in zip(words, self.merge(["".join([chars[b] for b in w.encode("utf-8")]) for w in words]), strict=True):
             self.words[w] = ids
         for p, ws in zip(new, split, strict=True):
-            self.ids[p] = ids = [p] if isinstance(p, int) else [i for w in ws for i in self.words[w]]
-            self.shown[p] = " ".join(map(str, ids))
-            self.text[p] = self.decode(ids)
+            self.ids[p] = [p] if isinstance(p, int) else self.words[ws[0]] if len(ws) == 1 else [i for w in ws for i in self.words[w]]
 
     def _pieces(self, text: str):
         """Special ids, and pieces of normalised text between white space."""
@@ -206,7 +219,7 @@ class Bpe:
         """Ids of each text."""
         out = []
         for pieces in self._chunks(texts):
-            out += [[i for p in t for i in self.ids[p]] for t in pieces]
+            out += [list(chain.from_iterable(map(self.ids.__getitem__, t))) for t in pieces]
         return out
 
     def _chunks(self, texts: list[str | None]):
@@ -222,16 +235,14 @@ class Bpe:
 
     def decode(self, ids) -> str:
         """Tokens of the ids, joined by spaces, as the library does for a model without a decoder."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Of each text: number of tokens, SHA-256 of the decimal ids and of the decoded text, both joined by single spaces."""
         out = []
-        for pieces in self._chunks(texts):
-            for t in pieces:
-                ids = " ".join(map(self.shown.__getitem__, t))
-                text = " ".join(map(self.text.__getitem__, t))
-                out.append((ids.count(" ") + 1 if t else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
+        for ids in self.encode(texts):
+            shown, text = " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+            out.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
         return out
 
 

@@ -4,7 +4,8 @@ For unit vectors cosine >= c means a squared distance of at most D = 2 - 2c. Aft
 fixed random rotation the dimensions are split into blocks; a pair within D is within
 its share D * size / dims in at least one block. Each block is range-joined on a grid
 over its leading coordinates: a vector is at home in one cell and visits the cells
-within reach. Candidates of a cell are checked in the block, then exactly (cosine in
+within reach. Inside a cell, splits at medians of all coordinates of the block leave only
+vectors within reach of each other to be checked in the block, then exactly (cosine in
 double precision), and counted in the first block only that finds them.
 
 Equal vectors of a label are one class before the join. Home rows of a crowded cell
@@ -20,16 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.graph import components
-from skein.llm.simhash import _union
+from skein.llm.simhash import _star
 from skein.plans.runtime import prepare, stage
 
 COSINE = 0.98
 BLOCKS = 8
-#: Cell width in reaches of a block's budget; the grid is over a block's two leading coordinates (three from a million classes).
-WIDTH = 2.0
-#: Home rows that a task holds of a cell, about; visitors are streamed past them in tiles.
-HOME_ROWS = 1024
-TILE = 2048
+#: Cell width in reaches of a block's budget, and the share of a label's vectors that the cells in reach along one coordinate hold, about.
+WIDTH, SHARE = 2.0, 0.45
+#: Home rows that a task holds of a cell, about; visitors are streamed past them in tiles; sets no larger than LEAF aren't split.
+HOME_ROWS = 4096
+TILE = 4096
+LEAF = 48
 _SLACK = 1 + 1e-6
 
 
@@ -90,6 +92,41 @@ def _visits(cosine: float, grid: int, dtype: str, with_vec: bool):
     return run
 
 
+def grid_dims(n: int, dims: int) -> int:
+    """Over how many leading coordinates of a block the grid goes: those that shuffle the fewest rows, for n vectors of the largest label.
+
+    A vector visits 2^g / 2 lower cells, and each of the salts that a cell's home rows are dealt over.
+    """
+    return min(range(1, max(1, dims // BLOCKS) + 1), key=lambda g: (1 + 2**g / 2) * max(1.0, n * SHARE**g / HOME_ROWS))
+
+
+def near_pairs(p: np.ndarray, q: np.ndarray, budget: float, same: bool):
+    """Arrays i, j, and the number of checks, that hold all pairs of rows of p and q within the squared distance budget; same: q is p, pairs with i < j."""
+    reach, work = np.sqrt(budget) * _SLACK, [(np.arange(len(p)), np.arange(len(q)), same, 0)]
+    pp, qq = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    width = p.shape[1]
+    while work:
+        i, j, same, depth = work.pop()
+        if not len(i) or not len(j):
+            continue
+        if min(len(i), len(j)) <= LEAF or depth >= 3 * width:
+            for s in range(0, len(i), TILE):  # as many as that only where nothing splits them
+                a = i[s : s + TILE]
+                x, y = np.nonzero(pp[a][:, None] + qq[j][None, :] - 2 * p[a] @ q[j].T <= budget * _SLACK + 1e-12)
+                if same:
+                    x, y = x[a[x] < j[y]], y[a[x] < j[y]]
+                yield a[x], j[y], len(a) * len(j)
+            continue
+        axis = depth % width
+        u, v = p[i, axis], q[j, axis]
+        cut = np.median(u)
+        low = u < cut
+        if same:
+            work += [(i[low], i[low], True, depth + 1), (i[~low], i[~low], True, depth + 1), (i[low & (u >= cut - reach)], i[~low & (u < cut + reach)], False, depth + 1)]
+        else:
+            work += [(i[low], j[v < cut + reach], False, depth + 1), (i[~low], j[v >= cut - reach], False, depth + 1)]
+
+
 class _Rows:
     def __init__(self, rows: list[tuple], dtype: str, rotation: np.ndarray):
         self.cls, self.n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
@@ -130,25 +167,25 @@ class _Cell:
             return ((home.turned[i, where] - other.turned[j, where]) ** 2).sum(axis=1) <= budget * _SLACK
 
         where, budget = self.plan[self.blk]
-        p, q = home.turned[:, where], other.turned[:, where]
-        i, j = np.nonzero((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T <= budget * _SLACK + 1e-12)
-        keep = i < j if same else home.cls[i] != other.cls[j]
-        i, j = i[keep], j[keep]
-        keep = within(self.blk, i, j)
-        for k in range(self.blk):  # the first block that finds a pair counts it
-            keep &= ~within(k, i, j)
-        i, j = i[keep], j[keep]
-        keep = (home.unit[i] * other.unit[j]).sum(axis=1) >= self.cosine
-        i, j = i[keep], j[keep]
-        for rows, n in ((home.cls[i], other.n[j]), (other.cls[j], home.n[i])):
-            cls, codes = np.unique(rows, return_inverse=True)
-            self.counts.append((cls, np.bincount(codes, n, len(cls)).astype(np.int64)))
-        # one link a member: to the smallest class of its component in what this cell has seen
-        a, b = np.concatenate((self.a, home.cls[i])), np.concatenate((self.b, other.cls[j]))
-        names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
-        root = _union(len(names), codes[: len(a)], codes[len(a) :])
-        hit = np.flatnonzero(root != np.arange(len(names)))
-        self.a, self.b = names[hit], names[root[hit]]
+        n_home, n_other, trees = np.zeros(len(home.cls)), np.zeros(len(other.cls)), []
+        for i, j, _ in near_pairs(home.turned[:, where], other.turned[:, where], budget, same):
+            keep = home.cls[i] != other.cls[j]
+            i, j = i[keep], j[keep]
+            keep = within(self.blk, i, j)
+            for k in range(self.blk):  # the first block that finds a pair counts it
+                keep &= ~within(k, i, j)
+            i, j = i[keep], j[keep]
+            keep = (home.unit[i] * other.unit[j]).sum(axis=1) >= self.cosine
+            if keep.any():
+                i, j = i[keep], j[keep]
+                n_home += np.bincount(i, other.n[j], len(n_home))
+                n_other += np.bincount(j, home.n[i], len(n_other))
+                trees.append(_star(home.cls[i], other.cls[j]))
+        for cls, n in ((home.cls, n_home), (other.cls, n_other)):
+            if n.any():
+                self.counts.append((cls[n > 0], n[n > 0].astype(np.int64)))
+        if trees:
+            self.a, self.b = _star(*(np.concatenate(x) for x in zip((self.a, self.b), *trees, strict=True)))
 
     def result(self):
         self.flush()
@@ -177,7 +214,7 @@ def _joiner(cosine: float, dtype: str):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, label, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
-    Vectors link when their labels are equal and not null, their dimensions are equal and their cosine in double
+    Labels may be of any type; vectors link when their labels are equal and not null, their dimensions are equal and their cosine in double
     precision is at least cosine. Null, empty and zero vectors and those with null or non-finite components link with
     nothing. Repeated rows are separate vectors: equal to one another, and so linked. A null vec_id counts as a vector,
     but is no component_id unless nothing else is reachable. No rows give no rows.
@@ -187,12 +224,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     ok = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(ok, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct(F.col("label").cast("string").alias("l"), "v")), 256)))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct(F.col("label").cast("long").alias("label"), "v")).alias("x"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("label", "v")).alias("x"))
     classes = stage(classes.select("key", "least", "n", "x.label", "x.v", F.monotonically_increasing_id().alias("cls")), "vec-classes")
     dtype = "<f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "<f8"
     pack = F.pandas_udf(lambda s: s.map(lambda a: np.asarray(a, dtype).tobytes()), "binary")
-    packed = classes.select("label", F.size("v").alias("dims"), "cls", "n", pack("v").alias("vec"))
-    grid = 2 + (classes.count() >= 1 << 20)
+    names = stage(classes.groupBy("label").agg(F.min("cls").alias("name"), F.count("*").alias("c"), F.max(F.size("v")).alias("dims")), "vec-labels")
+    packed = classes.join(names.select("label", "name"), "label").select(F.col("name").alias("label"), F.size("v").alias("dims"), "cls", "n", pack("v").alias("vec"))
+    largest = names.agg(F.max("c"), F.max("dims")).first()
+    grid = grid_dims(largest[0] or 0, largest[1] or 1)
     cell, schema = ["label", "dims", "blk", "cell"], "label long, dims int, blk int, cell long, role int, cls long, n long"
     homes = packed.mapInArrow(_visits(cosine, grid, dtype, False), schema).where("role = 0")
     crowd = stage(homes.groupBy(*cell).agg(F.ceil(F.count("*") / HOME_ROWS).cast("int").alias("salts")).where("salts > 1"), "vec-crowd")

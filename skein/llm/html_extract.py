@@ -1,18 +1,16 @@
-"""Main text of web pages, with a suffix array of each host's text to find boilerplate.
-
-A page is cut into blocks of text. Blocks in menus, headers, footers, sidebars, forms,
-notices, adverts, comments, scripts and styles are never main text. Blocks inside an
-article (or main) element are, unless they stand in one of those. Blocks that no element
-vouches for are concatenated, host by host, as token streams; suffix arrays over them
-find runs of at least MIN_TOKENS tokens that MIN_PAGES pages of different text share, the
-runs are deleted where they stand, and the unique runs between them are kept. On pages with
-an article the rest of the page is no main text, so the array decides about pages
-without one. It never deletes inside an article: the same article under two addresses
-of a host would otherwise lose its text.
-
-Hosts are dealt over shards of about SHARD_PAGES pages, whatever their size. A shard's array
-names its runs and counts their pages; the counts are added over all shards of the host
-before anything is deleted. A page's text has one shard, so equal pages count once.
+"""Main text of web pages: a suffix array of each host's page streams finds boilerplate, unique runs are kept.
+
+A page is cut into blocks of text. Text of article and main elements is protected: a host may show one article, or one
+passage, under several addresses. All other text of all pages (menus, adverts, footers and what no element speaks for)
+is concatenated, host by host, as token streams; suffix arrays over them find runs of at least MIN_TOKENS tokens that
+MIN_PAGES pages of different text share. Such runs are deleted, and the unique runs between them are kept, unless they
+stand in what HTML itself marks as no main text: menus, headers, footers, sidebars, forms, hidden parts, and elements
+whose class, id or role says advert, notice, comment and so on. These marked parts still count as evidence: a line that
+is a footer on one page and a bare div on two others is on three pages.
+
+Hosts are dealt over shards of about SHARD_PAGES streams, whatever their size. A shard's array names its runs and counts
+their pages; the counts are added over all shards of the host before anything is deleted, so that the number of shards
+doesn't change a result. Pages of the same whole text count as one page.
 """
 
 from __future__ import annotations
@@ -36,8 +34,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 OUT = frozenset("nav header footer aside form dialog menu button select object svg canvas audio video math head".split())
-#: Words in class, id or role that mark what is not main text.
-CHROME = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words in class, id or role that mark what is not main text; the first group marks an article as well.
+COMMENT = frozenset("comment comments disqus respond replies".split())
+CHROME = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary contentinfo cookie cookies consent footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
@@ -47,55 +46,80 @@ _TOKEN = re.compile(
     r"|</(?:[^>]*>|[^>]+\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
-MAIN, FREE = "main", "free"
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")  # white space, without the separators that Python adds to it
+MAIN, FREE, MARKED = "main", "free", "marked"
+_NONE, _SOFT, _HARD = 0, 1, 2
 
 
-def _chrome(name: str, attrs: str) -> bool:
+def _mark(name: str, attrs: str) -> int:
+    """How an element marks its text: not, by a word that an article may overrule, or for good."""
     if name in OUT:
-        return True
-    if not attrs or name in ("body", "html"):
-        return False
-    for key, *values in _ATTR.findall(attrs):
-        value, key = "".join(values).lower(), key.lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key in ("class", "id", "role") and not CHROME.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        return _HARD
+    level = _NONE
+    if attrs and name not in ("body", "html"):
+        for key, *values in _ATTR.findall(attrs):
+            value, key = "".join(values).lower(), key.lower()
+            if key == "hidden" or (key == "aria-hidden" and value == "true"):
+                return _HARD
+            if key in ("class", "id", "role"):
+                words = _SPLIT.split(value)
+                if not COMMENT.isdisjoint(words):
+                    return _HARD
+                if not CHROME.isdisjoint(words):
+                    level = _SOFT
+    return level
+
+
+def normal(text: str) -> str:
+    return _SPACE.sub(" ", text).strip(" ")
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(kind, text) of a page's text blocks in order, without those that are never main text; white space is normalised.
+    """(kind, text) of a page's text blocks in order; white space is normalised, character references are decoded node by node.
 
-    kind: main inside an article or main element, free elsewhere.
+    kind: main in an article or main element, free where nothing speaks for or against the text, marked where an element
+    says that it is no main text. Where words in class, id or role would leave no article of the page, they don't count
+    for articles and what these stand in (a listing of search results, a sponsored post).
     """
-    out: list[tuple[str, str]] = []
     if not page:
-        return out
-    stack: list[tuple[str, bool, bool]] = []  # name, whether it is chrome, whether it is a main container
-    hidden = vouched = 0
-    text: list[str] = []
+        return []
+    found, buried = _blocks(page, False)
+    return _blocks(page, True)[0] if buried and not any(kind == MAIN for kind, _ in found) else found
+
+
+def _blocks(page: str, overrule: bool) -> tuple[list[tuple[str, str]], bool]:
+    """The blocks, and whether an article has text under a word's mark only. overrule: such marks end at an article."""
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, int, bool, int]] = []  # name, mark, whether it is an article, soft marks that it overruled
+    hard = soft = vouched = silent = 0
+    buried = False
+    shown: list[str] = []
+    marked: list[str] = []
 
     def close():
-        if text:
-            if words := html.unescape("".join(text)).split():
-                out.append((MAIN if vouched else FREE, " ".join(words)))
-            text.clear()
+        for kind, pieces in ((MAIN if vouched else FREE, shown), (MARKED, marked)):
+            if pieces:
+                if text := normal("".join(pieces)):
+                    out.append((kind, text))
+                pieces.clear()
 
     def pop():
-        nonlocal hidden, vouched
-        _, chrome, main = stack.pop()
-        hidden -= chrome
+        nonlocal hard, soft, vouched, silent
+        name, mark, main, overruled = stack.pop()
+        hard -= mark == _HARD
+        soft += overruled - (mark == _SOFT)
         vouched -= main
+        silent -= name == "head"
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece and not hidden:
-            text.append(piece)
+        if piece and not silent:
+            (marked if hard or soft else shown).append(html.unescape(piece))
+            buried |= bool(vouched and soft and not hard) and not piece.isspace()
         if not m:
             break
         at = m.end()
@@ -125,16 +149,20 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                         pop()
                 if k < len(stack) and stack[k][0] in BLOCK:
                     break
-        chrome, main = _chrome(name, attrs), name in ("article", "main")
-        stack.append((name, chrome, main))
-        hidden += chrome
+        mark, main, overruled = _mark(name, attrs), name in ("article", "main"), 0
+        if main and overrule and mark != _HARD:
+            mark, overruled, soft = _NONE, soft, 0
+        stack.append((name, mark, main, overruled))
+        hard += mark == _HARD
+        soft += mark == _SOFT
         vouched += main
+        silent += name == "head"
     close()
-    return out
+    return out, buried
 
 
-def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of x by prefix doubling, and the length of the common prefix of each suffix with the one before it."""
+def suffix_array(x: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of x by prefix doubling, and the length of the common prefix of each suffix with the one before it, counted up to most."""
     n = len(x)
     rank, step = np.unique(x, return_inverse=True)[1], 1
     while True:
@@ -151,7 +179,7 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lcp = np.zeros(n, np.int64)
     alive = np.arange(1, n)
     depth = 0
-    while len(alive):  # all suffixes at once, a token deeper each round
+    while len(alive) and depth != most:  # all suffixes at once, a token deeper each round
         a, b = sa[alive] + depth, sa[alive - 1] + depth
         ok = (a < n) & (b < n)
         alive, a, b = alive[ok], a[ok], b[ok]
@@ -161,116 +189,171 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, lcp
 
 
-def boilerplate(pages: list[list[str]], min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which of them stand in a run of min_tokens that min_pages distinct pages share."""
-    lens = [len(p) for p in pages]
-    covered = [np.zeros(n, bool) for n in lens]
-    if sum(lens) == 0:
-        return covered
-    names: dict[str, int] = {}
-    ids, owner = [], []
-    for k, p in enumerate(pages):
-        ids += [names.setdefault(t, len(names)) for t in p]
-        ids.append(-1 - k)  # no run crosses pages
-        owner += [k] * (len(p) + 1)
-    x, owner = np.array(ids), np.array(owner)
-    depth = min(min_tokens, len(x))
-    sa, lcp = suffix_array(x)
-    group = np.cumsum(lcp < depth)  # intervals of the array whose common prefix is long enough
-    pairs = np.unique(np.stack((group, owner[sa])), axis=1)
-    shared = np.bincount(pairs[0], minlength=group[-1] + 1) >= min_pages
-    starts = sa[shared[group] & (np.bincount(group)[group] > 1)]
-    mark = np.zeros(len(x) + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + depth, len(x)), -1)
-    hit = np.cumsum(mark)[:-1] > 0
-    at = 0
-    for k, n in enumerate(lens):
-        covered[k] = hit[at : at + n]
-        at += n + 1
-    return covered
-
-
 def _name(tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest("\n".join(tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def shared_runs(pages: list[list[str]], min_tokens: int = MIN_TOKENS) -> dict[int, int]:
-    """Name of each run of min_tokens tokens -> on how many of the pages it stands, from their suffix array."""
+def shared_runs(streams: list[list[list[str]]], pages: list[int], min_tokens: int = MIN_TOKENS) -> dict[int, int]:
+    """Name of each run of min_tokens tokens -> on how many pages it stands, from the streams' suffix array.
+
+    A stream is a list of stretches that no run crosses; pages: how many pages each stream stands for.
+    """
     names: dict[str, int] = {}
-    ids, owner, offset = [], [], []
-    for k, p in enumerate(pages):
-        ids += [names.setdefault(t, len(names)) for t in p]
-        ids.append(-1 - k)  # no run crosses pages
-        owner += [k] * (len(p) + 1)
-        offset += range(len(p) + 1)
-    x, owner, offset = np.array(ids, np.int64), np.array(owner), np.array(offset)
-    if len(x) <= min_tokens:
+    ids, owner, left, at, breaks = [], [], [], [], 0
+    for k, stream in enumerate(streams):
+        for j, part in enumerate(stream):
+            breaks += 1
+            ids += [names.setdefault(t, len(names)) for t in part]
+            ids.append(-breaks)
+            owner += [k] * (len(part) + 1)
+            left += range(len(part), -1, -1)
+            at += [(k, j, i) for i in range(len(part) + 1)]
+    if len(ids) <= min_tokens:
         return {}
-    sa, lcp = suffix_array(x)
+    owner, left, weight = np.array(owner), np.array(left), np.array(pages)
+    sa, lcp = suffix_array(np.array(ids, np.int64), min_tokens)
     group = np.cumsum(lcp < min_tokens)  # intervals of the array whose common prefix is long enough
-    whole = offset[sa] + min_tokens <= np.array([len(p) for p in pages])[owner[sa]]
+    whole = left[sa] >= min_tokens
     pairs = np.unique(np.stack((group[whole], owner[sa][whole])), axis=1)
-    count = np.bincount(pairs[0], minlength=group[-1] + 1)
-    first = np.flatnonzero(whole & np.r_[True, group[1:] != group[:-1]])
-    return {_name(pages[owner[i]][offset[i] : offset[i] + min_tokens]): int(n) for i, n in zip(sa[first], count[group[first]], strict=True)}
+    count = np.bincount(pairs[0], weight[pairs[1]], minlength=group[-1] + 1).astype(int)
+    out = {}
+    for i in np.flatnonzero(whole & np.r_[True, group[1:] != group[:-1]]):
+        k, j, start = at[sa[i]]
+        out[_name(streams[k][j][start : start + min_tokens])] = int(count[group[i]])
+    return out
 
 
-def without(tokens: list[str], gone: set[int], min_tokens: int = MIN_TOKENS) -> list[str]:
-    """The tokens that stand in none of the named runs."""
+def covered(tokens: list[str], gone: set[int], min_tokens: int = MIN_TOKENS) -> list[bool]:
+    """Which of the tokens stand in one of the named runs."""
     end, out = 0, []
-    for i, t in enumerate(tokens):
+    for i in range(len(tokens)):
         if i + min_tokens <= len(tokens) and _name(tokens[i : i + min_tokens]) in gone:
             end = i + min_tokens
-        if i >= end:
-            out.append(t)
+        out.append(i < end)
+    return out
+
+
+def stretches(outside: list[dict | None]) -> list[list[str]]:
+    """The token streams of a page's text outside articles, cut where an article stands."""
+    out: list[list[str]] = [[]]
+    for x in outside:
+        if x is None:
+            out.append([])
+        else:
+            out[-1] += x["text"].split(" ")
     return out
 
 
+_PARSED = ["page_id", "url", "host", "parts", "outside", "has_free"]
+_OUTSIDE = pa.list_(pa.struct([("free", pa.bool_()), ("text", pa.string())]))
+
+
 def _parse(batches):
     for b in batches:
-        found = [blocks(t) for t in b.column("html").to_pylist()]
-        main = [[t for kind, t in x if kind == MAIN] for x in found]
-        vouched = [bool(m) for m in main]
-        text = [" ".join(m) if m else "\n".join(t for _, t in x) for m, x in zip(main, found, strict=True)]
-        cols = [b.column(c) for c in ("page_id", "url", "host")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(vouched, pa.bool_()), pa.array(text, pa.string())], ["page_id", "url", "host", "vouched", "text"])
+        parts, outside, free = [], [], []
+        for page in b.column("html").to_pylist():
+            found, rest = blocks(page), []
+            for kind, text in found:
+                if kind != MAIN:
+                    rest.append({"free": kind == FREE, "text": text})
+                elif rest and rest[-1]:
+                    rest.append(None)
+            parts.append([text if kind == MAIN else None for kind, text in found if kind != MARKED])
+            outside.append(rest)
+            free.append(any(kind == FREE for kind, _ in found))
+        arrays = [*(b.column(c) for c in _PARSED[:3]), pa.array(parts, pa.list_(pa.string())), pa.array(outside, _OUTSIDE), pa.array(free, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, _PARSED)
 
 
 def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
     host, shard, shards = (pdf[c].iloc[0] for c in ("host", "shard", "shards"))
-    found = shared_runs([t.split() for t in pdf["text"]])
+    found = shared_runs([stretches(x) for x in pdf["outside"]], pdf["pages"].tolist())
     if shards == 1:  # no other shard can add pages
         found = {k: n for k, n in found.items() if n >= MIN_PAGES}
     return pd.DataFrame({"host": host, "shard": shard, "name": np.array(list(found), np.int64), "pages": np.array(list(found.values()), np.int64)})
 
 
 def _clean(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    gone = set(runs["name"].tolist())
-    return pd.DataFrame({"host": pdf["host"], "key": pdf["key"], "text": [" ".join(without(t.split(), gone)) for t in pdf["text"]]})
-
+    """What is left of each free block of a stream, and how many words of free and of marked blocks are in runs."""
+    gone, rows = set(runs["name"].tolist()), []
+    for host, key, outside in zip(pdf["host"], pdf["key"], pdf["outside"], strict=True):
+        hit = [x for part in stretches(outside) for x in covered(part, gone)]
+        at, left, free, marked = 0, [], 0, 0
+        for x in outside:
+            if x is None:
+                continue
+            tokens = x["text"].split(" ")
+            mine = hit[at : at + len(tokens)]
+            at += len(tokens)
+            if x["free"]:
+                left.append(" ".join([t for t, c in zip(tokens, mine, strict=True) if not c]))
+                free += sum(mine)
+            else:
+                marked += sum(mine)
+        rows.append((host, key, left, free, marked))
+    return pd.DataFrame(rows, columns=["host", "key", "left", "free_gone", "marked_gone"])
+
+
+def _fill(batches):
+    for b in batches:
+        texts = []
+        for parts, left in zip(b.column("parts").to_pylist(), b.column("left").to_pylist(), strict=True):
+            rest = iter(left)
+            texts.append(" ".join(x for x in (next(rest) if p is None else p for p in parts) if x))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    Null, empty and text-free pages give an empty text. A null or odd url is a host of its own. Repeated rows each keep a
-    row; rows of a host with the same text count as one page of it. Cut-off pages end where they end. Further columns are
-    not read. No rows, no rows.
-    """
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, parts (unmarked blocks in order, null in place of a free one), outside (blocks outside articles, null where an article stands), has_free."""
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    parsed = stage(rows.mapInArrow(_parse, f"page_id {kind}, url string, host string, vouched boolean, text string"), "html-parsed")
-    free = parsed.where("not vouched").withColumn("key", F.md5(F.col("text").cast("binary")))
-    distinct = free.select("host", "key", "text").dropDuplicates(["host", "key"])
-    shards = stage(distinct.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards")), "host-shards")
-    shard = F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")
-    contents = stage(distinct.join(shards, "host").withColumn("shard", shard), "html-contents")
+    schema = f"page_id {kind}, url string, host string, parts array<string>, outside array<struct<free: boolean, text: string>>, has_free boolean"
+    key, whole = (F.md5(F.to_json(x).cast("binary")) for x in (F.col("outside"), F.struct("parts", "outside")))
+    return stage(rows.mapInArrow(_parse, schema).withColumns({"key": key, "whole": whole}), "html-parsed")
+
+
+def cleaned(parsed: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
+    """host, key, left, free_gone, marked_gone of every distinct stream of a host: its free blocks without what the host's suffix arrays find on MIN_PAGES pages."""
+    streams = parsed.where(F.size("outside") > 0)
+    distinct = streams.groupBy("host", "key").agg(F.first("outside").alias("outside"), F.countDistinct("whole").alias("pages"))
+    distinct = stage(distinct, "html-streams")
+    shards = distinct.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
+    contents = stage(distinct.join(stage(shards, "host-shards"), "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")), "html-contents")
     runs = stage(contents.groupBy("host", "shard").applyInPandas(_runs, "host string, shard int, name long, pages long"), "html-runs")
     shared = runs.groupBy("host", "name").agg(F.sum("pages").alias("all")).where(F.col("all") >= MIN_PAGES).drop("all")
     gone = runs.join(shared, ["host", "name"]).select("host", "shard", "name")
-    cleaned = contents.groupBy("host", "shard").cogroup(gone.groupBy("host", "shard")).applyInPandas(_clean, "host string, key string, text string")
-    texts = free.drop("text").join(cleaned, ["host", "key"]).select("page_id", "url", "text")
-    out = parsed.where("vouched").select("page_id", "url", "text").unionByName(texts)
+    return contents.groupBy("host", "shard").cogroup(gone.groupBy("host", "shard")).applyInPandas(_clean, "host string, key string, left array<string>, free_gone long, marked_gone long")
+
+
+def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars of every row of pages (page_id, url, html).
+
+    Null, empty and text-free pages give an empty text. A null or odd url is a host of its own. Repeated rows each keep a
+    row; rows of a host with the same whole text count as one page of it. Cut-off pages end where they end, very long ones
+    are read whole. Further columns are not read. No rows, no rows.
+    """
+    parsed = parsed_pages(pages)
+    left = cleaned(parsed.select("host", "key", "whole", "outside"), shard_pages).select("host", "key", "left")
+    alone = parsed.where("not has_free").select("page_id", "url", F.array_join("parts", " ").alias("text"))
+    # only pages with text that nothing speaks for wait for the array
+    free = parsed.where("has_free").select("page_id", "url", "host", "key", "parts").join(left, ["host", "key"])
+    kind = pages.schema["page_id"].dataType.simpleString()
+    filled = free.select("page_id", "url", "parts", "left").mapInArrow(_fill, f"page_id {kind}, url string, text string")
+    out = alone.unionByName(filled)
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def removed_words(pages: DataFrame) -> DataFrame:
+    """One row: words of all pages, in articles, and outside them: free or marked, and how many of either the suffix arrays find repeated."""
+    parsed = parsed_pages(pages)
+    n = lambda c: F.size(F.split(c, " "))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    words = parsed.select(
+        "host", "key", total(F.transform(F.filter("parts", lambda x: x.isNotNull()), n)).alias("article"),
+        *[total(F.transform(F.filter("outside", lambda x: x.isNotNull() & (x["free"] == flag)), lambda x: n(x["text"]))).alias(name) for name, flag in (("free", True), ("marked", False))],
+    )
+    found = cleaned(parsed.select("host", "key", "whole", "outside")).select("host", "key", "free_gone", "marked_gone")
+    sums = words.join(found, ["host", "key"], "left")
+    return sums.agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("article", "free", "marked", "free_gone", "marked_gone")])

@@ -1,86 +1,110 @@
-"""Line dedup over the suffix order of line-ID sequences, in DataFrame functions only.
-
-A document is the sequence of its non-blank lines' IDs (128 bits a line). Prefix
-doubling names the run of 2^k lines that starts at a line by the pair of names of its
-two halves; suffixes with the same name at level k form the interval of the suffix
-array whose longest common prefix is at least 2^k lines. The shift that doubling needs
-stays inside a document, so it is array work without a shuffle; what is distributed is
-the grouping of equal names.
-
-A run that occurs earlier holds only windows that occur earlier, and windows of one
-length that overlap cover a maximal run exactly. So doubling stops at MIN_LINES = 2^k:
-deeper intervals delete nothing more. All but the first copy of each interval of depth
-MIN_LINES, and of each single line of at least MIN_WORDS words, is deleted.
+"""Line dedup by a suffix array over line-ID sequences, in DataFrame functions only.
+
+A document is the sequence of its non-blank lines. All lines of all documents get one global position each, in the order
+of copies (doc_id, text, line), and an ID of 128 bits. Distributed prefix doubling ranks the suffixes: at level k the rank
+of a suffix is the first position at which its first 2^k lines stand, and level k + 1 joins the ranks of positions i and
+i + 2^k and ranks the pairs anew. A suffix whose rank nobody shares has its place in the array and leaves the rounds, so
+that a round holds repeated runs only; the rounds end when the longest repeated run is passed.
+
+Suffixes of equal rank at level k are an interval of the suffix array whose longest common prefix is 2^k lines or more.
+All but the first of an interval are later copies of the run; the runs of all intervals of MIN_LINES or more, merged
+where they touch or overlap, are the maximal repeated runs, and their later copies are deleted. So are later copies of a
+single line of at least MIN_WORDS words.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm.ordering import ranked
+from skein.plans.runtime import drop_path, stage, stage_at
+
 #: A run of so many lines (a power of two) is enough, or one line of so many words.
 MIN_LINES, MIN_WORDS = 4, 10
 BLANK, BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
-def _doubled(names: Column, step: int) -> Column:
-    """Names of runs of 2 * step lines from those of step lines; shorter by step."""
-    pair = lambda i: F.struct(F.xxhash64(names[i]["a"], names[i + step]["a"]).alias("a"), F.xxhash64(names[i]["b"], names[i + step]["b"], F.lit(1)).alias("b"))
-    return F.when(F.size(names) > step, F.transform(F.sequence(F.lit(0), F.size(names) - step - 1), pair)).otherwise(F.filter(names, lambda x: F.lit(False)))
-
+def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """pos, doc_id, th (the text's hash), at, left (lines of the document from this one on), long (min_words words), a, b: every non-blank line.
 
-def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, th (the text's hash), seq: line number, whether it has min_words words, and name of each non-blank line."""
+    Rows equal in doc_id and text are one document. The two halves of a line's ID are salted hashes of its text.
+    """
     long = rf"^{BLANK}*+(?:{BLACK}++{BLANK}++){{{min_words - 1}}}{BLACK}"
-    line = lambda x, i: F.when(x.rlike(BLACK), F.struct(i.alias("line"), x.rlike(long).alias("long"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x.isNotNull()).alias("seq"))
+    line = lambda x: F.when(x.rlike(BLACK), F.struct(x.rlike(long).alias("long"), F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b")))
+    seq = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x.isNotNull())
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), seq.alias("seq"))
+    rows = rows.select("doc_id", "th", F.size("seq").alias("n"), F.posexplode("seq").alias("at", "x")).select("doc_id", "th", "at", (F.col("n") - F.col("at")).alias("left"), "x.*")
+    # written before the range partitioning samples it, so that texts are split once
+    return ranked(stage(rows, "lines"), [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("at")], "pos", distinct=["doc_id", "th", "at"])
+
+
+def _level(members: DataFrame, keys: list[str]) -> DataFrame:
+    """pos, left, rank, long of the members that share their keys with another one; rank: the first position of these."""
+    classes = members.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return members.join(classes, keys).select("pos", "left", F.col("first").alias("rank"), "long")
+
+
+def levels(lines: DataFrame) -> list[tuple[DataFrame, str]]:
+    """The levels of the suffix array with a table's path each: pos, left, rank, long of the suffixes whose first 2^k lines stand elsewhere as well."""
+    found, k = [stage_at(_level(lines.select("pos", "left", "long", "a", "b"), ["a", "b"]), "suffix-ranks")], 0
+    while not found[-1][0].isEmpty():
+        now, step = found[-1][0], 1 << k
+        ahead = now.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        found.append(stage_at(_level(now.where(F.col("left") > step).join(ahead, "pos"), ["rank", "next"]), "suffix-ranks"))
+        k += 1
+    drop_path(lines.sparkSession, found.pop()[1])
+    return found
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, at, n, first, last: the n lines from the at-th non-blank one on, which are lines first to last of the
-    text, are a later copy of a run (or of one long line)."""
+    """doc_id, th, first, last, lines: maximal runs of non-blank lines (numbered without blank ones) that are later copies."""
     depth = round(math.log2(min_lines))
     if 1 << depth != min_lines:
         raise ValueError("min_lines is a power of two")
-    names = F.transform("seq", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    rows = _sequences(docs, min_words).withColumn("names", names)
-    for k in range(depth):
-        rows = rows.withColumn("names", _doubled(F.col("names"), 1 << k))
-    seq = F.col("seq")
-    unit = lambda i, x, n: F.struct(i.alias("at"), F.lit(n).alias("n"), x["a"].alias("a"), x["b"].alias("b"), seq[i]["line"].alias("first"), seq[i + n - 1]["line"].alias("last"))
-    long = F.filter(F.transform("seq", lambda x, i: F.when(x["long"], unit(i, x, 1))), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "th", F.explode(F.concat(long, F.transform("names", lambda x, i: unit(i, x, min_lines)))).alias("u")).select("doc_id", "th", "u.*")
-    where = F.struct("doc_id", "th", "at")
-    earliest = rows.groupBy("n", "a", "b").agg(F.min(where).alias("earliest"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(earliest, ["n", "a", "b"]).where(~where.eqNullSafe(F.col("earliest"))).select("doc_id", "th", "at", "n", "first", "last")
-
-
-def maximal(found: DataFrame) -> DataFrame:
-    """_id, _th, gaps (array of first and last line), n_removed: the windows of runs() merged where they touch or overlap."""
-    inside = W.partitionBy("doc_id", "th").orderBy("at", "n")
+    lines = positions(docs, min_words)
+    spark, found = lines.sparkSession, levels(lines)
+    later = lambda k, cond: found[k][0].where((F.col("pos") != F.col("rank")) & cond).select("pos", F.lit(1 << k).alias("n"))
+    copies = [later(0, F.col("long"))] if found else []
+    copies += [later(k, F.lit(True)) for k in range(depth, len(found))]
+    if not copies:
+        return lines.where("false").select("doc_id", "th", F.col("at").alias("first"), F.col("at").alias("last"), F.lit(0).cast("long").alias("lines"))
+    windows = copies[0]
+    for c in copies[1:]:
+        windows = windows.unionByName(c)
+    windows = windows.groupBy("pos").agg(F.max("n").alias("n")).join(lines.select("pos", "doc_id", "th", "at"), "pos")
+    inside = W.partitionBy("doc_id", "th").orderBy("at")
     reach = F.max(F.col("at") + F.col("n")).over(inside.rowsBetween(W.unboundedPreceding, -1))
-    marked = found.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1))
-    marked = marked.withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    merged = marked.groupBy("doc_id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("lines"))
-    return merged.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("_gaps"), F.sum("lines").alias("_gone"))
+    marked = windows.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    merged = marked.groupBy("doc_id", "th", "run").agg(F.min("at").alias("first"), (F.max(F.col("at") + F.col("n")) - 1).alias("last"))
+    out = stage(merged.select("doc_id", "th", "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("lines")), "line-runs")
+    for _, path in found:
+        drop_path(spark, path)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text rid of later copies of repeated line runs, plus n_lines and n_removed.
 
     Order of copies: doc_id (null first), then the text's hash, then the line. Lines are what stands between \\n; blank
-    lines are neither compared nor deleted. Null texts stay null with 0 lines; an empty text is one blank line. Rows
-    equal in doc_id and text are one document: they share its fate, and are no copies of each other. Further columns
-    stay as they are, n_chars among them; columns named n_lines or n_removed are replaced.
+    lines are neither compared nor deleted. Null texts stay null with 0 lines; an empty text is one blank line; very long
+    texts are split whole. Rows equal in doc_id and text are one document: they share its fate, and are no copies of each
+    other; rows of different texts that share a doc_id, or have none, are told apart by their texts. No rows give no rows.
+    Further columns stay as they are, n_chars among them; columns named n_lines or n_removed are replaced.
     """
-    found = maximal(runs(docs, min_lines, min_words)).hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
+    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"), F.sum("lines").alias("_gone"))
+    found = found.hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*keep, F.xxhash64("text").alias("_h")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    lines = F.split("text", "\n", -1)
+    full = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BLACK), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_full", F.when(F.col("_runs").isNotNull(), full))  # numbers of the non-blank lines
+    out = out.withColumn("_gaps", F.transform("_runs", lambda r: F.struct(F.get("_full", r["first"]).alias("first"), F.get("_full", r["last"]).alias("last"))))
     in_gap = lambda i: F.exists("_gaps", lambda g: (g["first"] <= i) & (i <= g["last"]))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
+    kept = F.filter(lines, lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
     text = F.when(F.col("_gaps").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], n_lines.alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"))

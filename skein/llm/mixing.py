@@ -35,11 +35,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and h, the shuffle key; null texts have size 0. Written once, as all later steps need it."""
+    """doc_id, source, size, th (the text's hash) and h, the shuffle key; null texts have size 0. Written once, as all later steps need it.
+
+    The key is a hash of the doc_id, or of the text where there is none, so that such rows spread as well.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("h"),
+        F.xxhash64("text").alias("th"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))).cast("binary")).alias("h"),
     )
     return stage(rows.withColumn("bucket", F.substring("h", 1, 3)), "mix-sized")
 
@@ -98,7 +101,7 @@ def schedule(goal: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
 def laid_out(rows: DataFrame, goal: DataFrame) -> DataFrame:
     """rows with the columns of goal and start, the words of the source before it in shuffled order."""
     placed = rows.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return running_start(placed, "sid", "bucket", ["h", "doc_id", "size"], "size", "start")
+    return running_start(placed, "sid", "bucket", ["h", "doc_id", "size", "th"], "size", "start")
 
 
 def _by_block(goal: DataFrame, slot_bits: int) -> DataFrame:
@@ -133,17 +136,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slot_bits: int = SLOT_BITS) -
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, slot_bits: int = SLOT_BITS) -> DataFrame:
     """docs as the mix takes them, whole: a row as often as the schedule takes the block of its first word (0 to MAX_EPOCHS).
 
-    A source's words differ from its target by less than a document. Documents without words are kept once. Rows that
-    share a doc_id share one number, the largest of theirs.
+    A source's words differ from its target by less than a document. Documents without words, null texts among them, are
+    kept once. Rows equal in doc_id, source and text are one document and share its number; rows that share a doc_id, or
+    have none, but differ in source or text are documents of their own. All words zero, or no rows: docs as they are.
     """
-    rows = sized(docs)
+    rows = sized(docs).groupBy("doc_id", "source", "th", "h", "bucket").agg(F.sum("size").alias("size"))
     goal = targets(rows, weights)
     goal, total, big = _levels(goal, slot_bits)
     if not total:
         return docs
     placed = laid_out(rows, goal).withColumn("block", F.when(F.col("size") > 0, F.expr(f"cast(start as {big}) * n div {total}")))
     got = placed.join(_by_block(goal, slot_bits), ["sid", "block"], "left")
-    times = got.select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.coalesce(F.col("times"), F.lit(0))).alias("_times"))
-    times = stage(times.groupBy("_id").agg(F.max("_times").alias("_times")), "mix-times")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    taken = F.when(F.col("size") == 0, 1).otherwise(F.coalesce(F.col("times"), F.lit(0))).cast("int")
+    times = stage(got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), taken.alias("_times")), "mix-times")
+    keyed = docs.withColumn("_mix_th", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(times["_id"]) & keyed["source"].eqNullSafe(times["_source"]) & (keyed["_mix_th"] == times["_th"])
+    out = keyed.join(times, same).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

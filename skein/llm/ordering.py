@@ -11,10 +11,15 @@ from skein.plans.runtime import stage
 _ROW = (1 << 33) - 1
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with a 0-based global rank: range-partitioned sort, then the partitions' offsets (one number each)."""
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", distinct: list[str] | None = None) -> DataFrame:
+    """df with a 0-based global rank: range-partitioned sort, then the partitions' offsets (one number each).
+
+    distinct: the columns that order sorts by, if rows equal in them are to be one; they meet in one partition anyhow.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(parts, *order)
+    placed = placed.dropDuplicates(distinct) if distinct else placed
+    placed = placed.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = stage(placed, "ranked")
     sizes = placed.groupBy(F.shiftrightunsigned("_at", 33).alias("p")).count().collect()  # one row a partition
     before, total = {}, 0

@@ -9,13 +9,15 @@ it they differ in at most 2r bits: a shared variant is itself the verification
 The shuffle is by the leading bits of the variant, so that one row stands for all
 variants of a fingerprint with the same leading bits (79 rows instead of 2081 at
 12 leading bits); the receiving task unfolds the remaining flips in numpy, sorts
-and links. No task holds more than a bounded share of the variant space, no pairs
-of a group are emitted: a group yields a star, each task one link per member.
+and links. Prefixes that more than CROWD rows share are dealt out by more bits before
+the shuffle, and a task that still holds more than it unfolds at once goes on bit by
+bit. No pairs of a group are emitted: links are reduced to a tree after each unfolding.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,8 @@ SHINGLE = 4
 #: Fingerprints a leading-bit pattern holds on average, from LEAST_BITS leading bits on, and rows of a task. The number of
 #: rows a fingerprint is shuffled as grows with the square of the bits: 79 at 12 bits (8 million fingerprints), 326 at 25.
 PER_PREFIX, LEAST_BITS, PER_TASK = 2048, 12, 1_000_000
+#: Rows of one prefix from which it is dealt out by so many more bits.
+CROWD, MORE_BITS = 250_000, 8
 #: Variants unfolded at once in a task.
 UNFOLD = 1_000_000
 #: Shingles whose bits are counted at once.
@@ -73,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle, ("doc_id",)), "doc_id long, fp long")
 
 
+@cache
 def _ball(bits: int, r: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(r + 1) for c in combinations(range(bits), k)], np.uint64)
 
@@ -92,67 +97,103 @@ def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _linker(prefix_bits: int, r: int):
-    low_bits = 64 - prefix_bits
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link a member, to the smallest of its component."""
+    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = _union(len(names), codes[: len(a)], codes[len(a) :])
+    hit = np.flatnonzero(root != np.arange(len(names)))
+    return names[hit], names[root[hit]]
 
-    def run(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        keys = np.concatenate([b.column(0).to_numpy() for b in tables]).astype(np.uint64)
-        fps = np.concatenate([b.column(1).to_numpy() for b in tables]).view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, fps = keys[order], fps[order]
-        balls = [_ball(low_bits, r - d) for d in range(r + 1)]
-        flips = np.bitwise_count(keys ^ (fps >> np.uint64(low_bits)))
-        weight = np.array([len(x) for x in balls])[flips]
-        distinct, index = np.unique(fps, return_inverse=True)
-        low = fps & np.uint64((1 << low_bits) - 1)
+
+class _Linker:
+    """Links of fingerprints that share a variant within r flips, as a tree that grows with the members."""
+
+    def __init__(self, r: int):
+        self.r = r
+        self.trees: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def groups(self, keys: np.ndarray, fps: np.ndarray, bits: int):
+        """keys: leading bits of variants, sorted; fps: whose variants. Groups of few variants are unfolded together."""
+        flips = np.bitwise_count(keys ^ (fps >> np.uint64(64 - bits))).astype(np.int64)
+        sizes = np.array([len(_ball(64 - bits, self.r - d)) for d in range(self.r + 1)])[flips]
         bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sums = np.add.reduceat(weight, bounds)
-        ends = np.r_[bounds[1:], len(keys)]
-        links: list[tuple[np.ndarray, np.ndarray]] = []
+        sums, ends = np.add.reduceat(sizes, bounds), np.r_[bounds[1:], len(keys)]
         k = 0
         while k < len(bounds):
             j, total = k + 1, sums[k]
             while j < len(bounds) and total + sums[j] <= UNFOLD:
                 total, j = total + sums[j], j + 1
-            lo, hi = bounds[k], ends[j - 1]
+            at = slice(bounds[k], ends[j - 1])
+            self.unfold(keys[at], fps[at], flips[at], bits)
             k = j
-            # a group beyond the limit is unfolded in slices of its variants' low bits: same links, bounded memory
-            for part in range(slices := 1 << max(0, math.ceil(math.log2(max(1, total / UNFOLD))))):
-                variants, owners = [], []
-                for d, ball in enumerate(balls):
-                    rows = np.flatnonzero(flips[lo:hi] == d) + lo
-                    step = max(1, UNFOLD // len(ball))
-                    for s in range(0, len(rows), step):
-                        at = rows[s : s + step]
-                        v = ((keys[at] << np.uint64(low_bits)) | low[at])[:, None] ^ ball[None, :]
-                        o = np.repeat(index[at], len(ball))
-                        v = v.ravel()
-                        if slices > 1:
-                            keep = (v & np.uint64(slices - 1)) == part
-                            v, o = v[keep], o[keep]
-                        variants.append(v)
-                        owners.append(o)
-                v, o = np.concatenate(variants), np.concatenate(owners)
-                by = np.argsort(v)
-                v, o = v[by], o[by]
-                same = np.flatnonzero(v[1:] == v[:-1])
-                if len(same):
-                    links.append((o[same], o[same + 1]))
-        if not links:
+
+    def unfold(self, keys: np.ndarray, fps: np.ndarray, flips: np.ndarray, bits: int):
+        """keys: several, or too many variants of one; the latter go on by four more bits, a pattern at a time."""
+        low = 64 - bits
+        balls = [_ball(low, self.r - d) for d in range(self.r + 1)]
+        total = sum(len(ball) * int((flips == d).sum()) for d, ball in enumerate(balls))
+        if total > UNFOLD and low:
+            step = min(4, low)
+            own = fps >> np.uint64(low - step) & np.uint64((1 << step) - 1)
+            for pattern in range(1 << step):
+                d = flips + np.bitwise_count(own ^ np.uint64(pattern))
+                at = np.flatnonzero(d <= self.r)
+                if len(at) > 1:
+                    self.unfold(keys[at] << np.uint64(step) | np.uint64(pattern), fps[at], d[at], bits + step)
             return
-        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-        a, b = divmod(np.unique(np.minimum(a, b) * len(distinct) + np.maximum(a, b)), len(distinct))
-        near = np.bitwise_count(distinct[a] ^ distinct[b]) <= 2 * r
-        root = _union(len(distinct), a[near], b[near])
-        hit = np.flatnonzero(root != np.arange(len(distinct)))
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[x].view(np.int64), pa.int64()) for x in (hit, root[hit])], ["a", "b"])
+        rest = fps & np.uint64((1 << low) - 1)
+        variants, owners = [], []
+        for d, ball in enumerate(balls):
+            at = np.flatnonzero(flips == d)
+            head = keys[at] << np.uint64(low) if low < 64 else np.zeros(len(at), np.uint64)
+            variants.append(((head | rest[at])[:, None] ^ ball[None, :]).ravel())
+            owners.append(np.repeat(at, len(ball)))
+        v, o = np.concatenate(variants), np.concatenate(owners)
+        by = np.argsort(v)
+        v, o = v[by], fps[o[by]]
+        same = np.flatnonzero(v[1:] == v[:-1])
+        a, b = o[same], o[same + 1]
+        near = (np.bitwise_count(a ^ b) <= 2 * self.r) & (a != b)
+        if near.any():
+            self.trees.append(_star(a[near], b[near]))
+            self.size += len(self.trees[-1][0])
+            if self.size > UNFOLD:
+                self.reduce()
+
+    def reduce(self):
+        if self.trees:
+            self.trees = [_star(*(np.concatenate(x) for x in zip(*self.trees, strict=True)))]
+            self.size = 0
+        return self.trees
+
+
+def _links_of(r: int):
+    def run(batches):
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        bits, keys, fps = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in range(3))
+        keys, fps, linker = keys.view(np.uint64), fps.view(np.uint64), _Linker(r)
+        for n in np.unique(bits):
+            at = np.flatnonzero(bits == n)
+            at = at[np.argsort(keys[at], kind="stable")]
+            linker.groups(keys[at], fps[at], int(n))
+        for a, b in linker.reduce():
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
 
     return run
 
 
+def _dealt(rows: DataFrame, used: int, more: int, r: int) -> DataFrame:
+    """rows (bits, k, fp) once for each pattern of the next bits that r flips in all allow."""
+    prefix, following = F.shiftrightunsigned("fp", 64 - used), F.shiftrightunsigned("fp", 64 - used - more).bitwiseAND(F.lit((1 << more) - 1))
+    left = F.lit(r) - F.bit_count(prefix.bitwiseXOR(F.col("k"))) if used else F.lit(r)
+    masks = F.array(*[F.lit(int(m)) for m in _ball(more, r)])
+    rows = rows.select("k", "fp", following.alias("own"), F.explode(F.filter(masks, lambda m: F.bit_count(m) <= left)).alias("m"))
+    return rows.select(F.lit(used + more).alias("bits"), F.shiftleft("k", more).bitwiseOR(F.col("own").bitwiseXOR(F.col("m"))).alias("k"), "fp")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct: one long column of distinct fingerprints. Returns a, b: links that join exactly those within radius bits."""
     if radius % 2:
@@ -161,10 +202,16 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     col = distinct.columns[0]
     n = distinct.count()
     bits = min(32, max(LEAST_BITS, math.ceil(math.log2(max(2, n / PER_PREFIX)))))
+    rows = _dealt(distinct.select(F.lit(0).cast("long").alias("k"), F.col(col).alias("fp")), 0, bits, r)
     masks = F.array(*[F.lit(int(m)) for m in _ball(bits, r)])
-    rows = distinct.select(F.shiftrightunsigned(F.col(col), 64 - bits).alias("k"), F.col(col).alias("fp")).select(F.explode(masks).alias("m"), "k", "fp").select(F.col("k").bitwiseXOR(F.col("m")).alias("k"), "fp")
+    own = distinct.groupBy(F.shiftrightunsigned(col, 64 - bits).alias("k")).agg(F.count("*").alias("c"))
+    sums = own.select("c", "k", F.explode(masks).alias("m")).groupBy(F.col("k").bitwiseXOR(F.col("m")).alias("full")).agg(F.sum("c").alias("c"))
+    crowd = stage(sums.where(F.col("c") > CROWD).select("full"), "simhash-crowd")
+    if not crowd.isEmpty():
+        marked = rows.join(crowd, F.col("k") == F.col("full"), "left")
+        rows = marked.where("full is null").select("bits", "k", "fp").unionByName(_dealt(marked.where("full is not null").select("k", "fp"), bits, MORE_BITS, r))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(_ball(bits, r)) / PER_TASK))
-    return rows.repartition(tasks, "k").mapInArrow(_linker(bits, r), "a long, b long")
+    return rows.repartition(tasks, "bits", "k").mapInArrow(_links_of(r), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

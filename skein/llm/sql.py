@@ -5,7 +5,7 @@ from __future__ import annotations
 _MIX = r"""
 WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS h
   FROM documents),
 src AS (
   SELECT source, source_size, rk, ([5, 2, 1])[CAST(rk % 3 AS INT) + 1] AS w FROM (

@@ -1,8 +1,9 @@
 """WARC records in ZIP packages, written and read back by byte range.
 
 A package holds stored (not deflated) members: ``archive/data.warc.gz``, a WARC file of
-single-record gzip members, and ``indexes/index.cdxj``, a line a record with offset and
-length in the WARC file. The reader parses the end-of-central-directory record, its
+single-record gzip members, and ``indexes/index.cdxj``, a line a record with its sortable
+address, time stamp, and offset and length in the WARC file. Records are HTTP responses, or
+revisits that keep the response's HTTP header. The reader parses the end-of-central-directory record, its
 ZIP64 form and the central directory, finds the members through their local headers,
 and range-reads records; nothing is extracted.
 
@@ -17,6 +18,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -35,8 +37,9 @@ PACKAGE_BYTES, RANGE_BYTES = 32 << 20, 4 << 20
 #: Fixed values of the ZIP format: signatures, and sizes from which a field needs ZIP64.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
-#: Fixed value: ZIP's date of 1980-01-01.
+#: ZIP's date of 1980-01-01, and the date of every record, as pages have none.
 _DATE = 0x21
+RECORD_DATE = "2000-01-01T00:00:00Z"
 
 
 class PackageWriter:
@@ -127,7 +130,8 @@ def directory(f, size: int) -> dict[str, tuple[int, int]]:
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One WARC/1.1 record as a gzip member."""
-    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *headers, ("Content-Length", str(len(block)))])
+    always = [("WARC-Date", RECORD_DATE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *headers, *always])
     return gzip.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
@@ -146,6 +150,24 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
+def http_header(n: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+
+
+def http_parse(block: bytes) -> tuple[int, bytes]:
+    """Length of the payload by its header, and the payload as far as it is there."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+    return int(fields[b"Content-Length"]), body
+
+
+def sortable(url: str) -> str:
+    """The address as indexes sort it: host parts reversed, then path and query; no blanks."""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)(.*)", url, re.S)
+    key = f"{','.join(reversed(m[1].lower().split('.')))}){m[2] or '/'}" if m else url
+    return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", key) or "-"
+
+
 def _one_line(url: str | None) -> str:
     return (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
@@ -167,7 +189,7 @@ def _writer(folder: str):
                 with out.open_output_stream(name) as f:
                     package = PackageWriter(f)
                     package.add(DATA, warc.getvalue())
-                    package.add(INDEX, "".join(index).encode())
+                    package.add(INDEX, "".join(sorted(index)).encode())
                     package.close()
                     total = package.at
                 yield pa.RecordBatch.from_pydict({"package": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_bytes": [total], "n_records": [rows]})
@@ -176,11 +198,12 @@ def _writer(folder: str):
         for b in batches:
             for page_id, url, payload, digest, kept in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "kept")), strict=True):
                 revisit = kept is not None and kept != page_id
-                headers = [("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", _one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+                headers = [("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", _one_line(url)), ("WARC-Payload-Digest", f"sha1:{digest}")]
                 if revisit:
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{kept}>")]
-                member = record("revisit" if revisit else "response", headers, b"" if revisit else payload)
-                index.append(json.dumps({"id": page_id, "url": _one_line(url), "offset": warc.tell(), "length": len(member)}) + "\n")
+                member = record("revisit" if revisit else "response", headers, http_header(len(payload)) + (b"" if revisit else payload))
+                line = {"url": _one_line(url), "digest": f"sha1:{digest}", "mime": "warc/revisit" if revisit else "text/html", "filename": DATA.rsplit("/", 1)[1], "offset": str(warc.tell()), "length": str(len(member))}
+                index.append(f"{sortable(url or '')} {re.sub('[^0-9]', '', RECORD_DATE)} {json.dumps(line)}\n")
                 warc.write(member)
                 rows, size = rows + 1, size + len(payload)
                 if size >= PACKAGE_BYTES:
@@ -194,7 +217,8 @@ def write_packages(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     """Write a record per row of pages (page_id, url, html) to packages in folder; returns the manifest (package, n_bytes, n_records).
 
     Of equal payloads of at least `least` bytes the one with the largest page_id is a response, as are all rows of that
-    page_id; the others are revisits. A null html is an empty payload; null page_ids are written as None and never kept.
+    page_id; the others are revisits. A null html is an empty payload, a null url an empty address; null page_ids are
+    written as None and never kept. Very long pages are written whole, in a package of their own if need be.
     """
     prepare(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -224,17 +248,17 @@ def _reader(batches):
             with system.open_input_file(path) as f:
                 members = directory(f, size)
                 data_at, _ = members[DATA]
-                index = [json.loads(line) for line in read_at(f, *members[INDEX]).splitlines()]
+                index = [json.loads(line.split(b" ", 2)[2]) for line in read_at(f, *members[INDEX]).split(b"\n")[:-1]]
+                index = sorted((x | {k: int(x[k]) for k in ("offset", "length")} for x in index), key=lambda x: x["offset"])
                 for part in _ranges(index):
                     first = part[0]["offset"]
                     chunk, rows = read_at(f, data_at + first, part[-1]["offset"] + part[-1]["length"] - first), []
                     for x in part:
                         headers, block = parse(chunk[x["offset"] - first : x["offset"] - first + x["length"]])
-                        digest, n = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
+                        digest, (n, body) = headers["WARC-Payload-Digest"].removeprefix("sha1:"), http_parse(block)
                         if headers["WARC-Type"] == "response":
-                            if hashlib.sha1(block).hexdigest() != digest:
-                                raise ValueError(f"digest of record {x['id']} doesn't hold")
-                            n = len(block)
+                            if len(body) != n or hashlib.sha1(body).hexdigest() != digest:
+                                raise ValueError(f"record {headers['WARC-Record-ID']} isn't what was written")
                         rows.append((page(headers["WARC-Record-ID"]), x["url"], n, digest, headers["WARC-Type"], page(headers.get("WARC-Refers-To"))))
                     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
