@@ -43,9 +43,12 @@ def positions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _level(members: DataFrame, keys: list[str]) -> DataFrame:
-    """pos, left, rank, long of the members that share their keys with another one; rank: the first position of these."""
+    """pos, left, rank, long of the members that share their keys with another one; rank: the first position of these.
+
+    The classes are a table of their own, so that the join has partitions that Spark may split where a key is frequent.
+    """
     classes = members.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return members.join(classes, keys).select("pos", "left", F.col("first").alias("rank"), "long")
+    return members.join(stage(classes, "suffix-classes"), keys).select("pos", "left", F.col("first").alias("rank"), "long")
 
 
 def levels(lines: DataFrame) -> list[tuple[DataFrame, str]]:

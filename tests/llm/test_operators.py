@@ -362,12 +362,12 @@ def test_html_matches_brute_force(spark, sf_dir, articles):
 
 def test_html_array_decides_beside_articles(spark):
     """Unmarked text outside an article goes where the host repeats it, and stays where it is unique."""
-    line, lead = "Follow our channel for more stories like this", "A lead of its own before the story number {}"
-    rows = [(k, f"https://h.example/{k}", f"<div>{line}</div><p>{lead.format(k) if k % 2 else ''}</p><article>{prose(k, 20)}</article>") for k in range(8)]
+    line, lead = "Follow our channel for more stories like this", [prose(500 + k, 9) for k in range(8)]
+    rows = [(k, f"https://h.example/{k}", f"<div>{line}</div><p>{lead[k] if k % 2 else ''}</p><article>{prose(k, 20)}</article>") for k in range(8)]
     rows += [(20, "https://other.example/1", f"<div>{line}</div><article>{prose(20, 20)}</article>"), (21, "https://h.example/21", f"<article>{line}</article>")]
     rows += [(30, "https://h.example/30", f"<p>{prose(30, 30_000)}</p><div>{line}</div>")]
     got = {g.page_id: g.text for g in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == (f"{lead.format(k)} {prose(k, 20)}" if k % 2 else prose(k, 20)) for k in range(8))
+    assert all(got[k] == (f"{lead[k]} {prose(k, 20)}" if k % 2 else prose(k, 20)) for k in range(8))
     assert got[20] == f"{line} {prose(20, 20)}" and got[21] == line and got[30] == prose(30, 30_000)
 
 
