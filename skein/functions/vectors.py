@@ -14,15 +14,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value evaluated once however often of names it: a fold over its one-entry array."""
+    return F.transform(F.array(value), of)[0]
+
+
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """The vector divided by its norm, which is found once; a zero vector becomes zeros."""
+    return _let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """FN4; 0 for empty and zero vectors and for unequal lengths."""
-    n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), dot(a, b) / n).otherwise(F.lit(0.0))
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), _let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
 def mrl(a: Column, dims: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import vectors as V
+from skein.operators.search import small
 
 # Fixed values that results depend on.
 SIGNATURES = [r"(?m)^\s*(?:def|async\s+def)\s+(\w+(?:\.\w+)*)\s*\(", r"(?m)^\s*([A-Z]\w+(?:\.\w+)*)\s*\(", r"\b(\w+\.\w+(?:\.\w+)*)\s*\(", r"`(\w+(?:\.\w+)*)\s*\(`"]
@@ -84,7 +85,7 @@ def modes(question: Column) -> Column:
 
 def with_mode_facts(questions: DataFrame, key: str, question: str, facts: DataFrame) -> DataFrame:
     """FLT26: key, mode, fact for every mode that a question names; facts (mode, fact) is a short list."""
-    return questions.select(key, F.explode(modes(F.col(question))).alias("mode")).join(F.broadcast(facts), "mode", "left").select(key, "mode", "fact")
+    return questions.select(key, F.explode(modes(F.col(question))).alias("mode")).join(small(facts), "mode", "left").select(key, "mode", "fact")
 
 
 def api_heading(text: Column) -> dict[str, Column]:

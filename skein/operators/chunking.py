@@ -327,3 +327,94 @@ def code_chunk(text: str, header: str) -> tuple[str, str]:
     if text and fenced / len(text) >= 0.6:
         return "code", f"[Scope: {header}]\n{text}" if header else text
     return "text", text
+
+
+_FENCED = re.compile(r"^(```|~~~).*?^\1[ \t]*$", re.M | re.S)
+
+
+def rendered_kind(header: str, body: str) -> str:
+    """CHK13: code where a section begins with a fence, mixed where it has one, api by words of its header, else text."""
+    if _FENCED.search(body):
+        return "code" if body.lstrip().startswith(("```", "~~~")) else "mixed"
+    low = header.lower()
+    return "api" if any(w in low for w in ("api", "class ", "method ", "function ")) else "text"
+
+
+def rendered_sections(docs: DataFrame, key: str, least_words: int = 10) -> DataFrame:
+    """CHK10/CHK13: key, chunk_index, total_chunks, heading_path, chunk_type, text of a rendered page's sections, or of its longer paragraphs where it has no heading."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, text in zip(pdf[key], pdf["text"], strict=True):
+                found = [(path, body) for path, body in sections(text or "") if body]
+                if not any(path for path, _ in found):
+                    parts = [p.strip() for p in re.split(r"\n\s*\n", text or "")]
+                    found = [([], p) for p in parts if len(p.split()) >= least_words] or [([], text)] * bool((text or "").strip())
+                rows += [(k, i, len(found), path, rendered_kind(path[-1] if path else "", body), body) for i, (path, body) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "heading_path", "chunk_type", "text"])
+
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index int, total_chunks int, heading_path array<string>, chunk_type string, text string")
+
+
+def blank_line_units(text: str, most_lines: int = 200) -> list[str]:
+    """CHK9: blocks between blank lines, joined up to most_lines lines; a longer block is cut at that."""
+    out: list[list[str]] = []
+    for block in re.split(r"\n[ \t]*\n", text):
+        lines = block.split("\n")
+        if out and len(out[-1]) + len(lines) + 1 <= most_lines:
+            out[-1] += ["", *lines]
+        else:
+            out += [lines[k : k + most_lines] for k in range(0, len(lines), most_lines)]
+    return [t for t in ("\n".join(x).strip("\n") for x in out) if t.strip()]
+
+
+def by_type(docs: DataFrame, key: str) -> DataFrame:
+    """CHK7: chunks of documents (text, doc_type, language): guides by headings, references and examples by top-level code or blank lines; another type is an error."""
+    kind = docs.schema[key].dataType.simpleString()
+    types = {"guide": "text", "api_reference": "api", "code_example": "code"}
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, text, what, language in zip(pdf[key], pdf["text"], pdf["doc_type"], pdf["language"], strict=True):
+                if not (text or "").strip():
+                    continue
+                if what not in types:
+                    raise ValueError(f"no splitter for documents of type {what!r}")
+                pieces = [t for _, t in header_chunks(text)] if what == "guide" else python_units(text) if language == "python" else blank_line_units(text)
+                rows += [(k, i, len(pieces), types[what], t) for i, t in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "chunk_type", "text"])
+
+    return docs.select(key, "text", "doc_type", "language").mapInPandas(run, f"{key} {kind}, chunk_index int, total_chunks int, chunk_type string, text string")
+
+
+def code_facts(docs: DataFrame, key: str) -> DataFrame:
+    """CHK19/CHK20/CHK22/FN28: of each row (text, source): the kind of chunk, the structure of its source, and whether its fenced code parses. Masked code must come back as it was."""
+    name = docs.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, text, source in zip(pdf[key], pdf["text"], pdf["source"], strict=True):
+                masked, held = mask_code(text or "")
+                if unmask_code(masked, held) != (text or ""):
+                    raise ValueError("masked code didn't come back")
+                shape = ";".join(":".join(map(str, x)) for x in python_structure(source or ""))
+                rows.append((k, code_chunk(text or "", "")[0], shape, valid_python(text or "")))
+            yield pd.DataFrame(rows, columns=[key, "kind", "structure", "valid"])
+
+    return docs.select(key, "text", "source").mapInPandas(run, f"{key} {name}, kind string, structure string, valid boolean")
+
+
+def semantic(docs: DataFrame, key: str, threshold: float = 0.5, target_words: int = 375) -> DataFrame:
+    """CHK5: key, chunk_index, text of documents given as sentences and their vectors."""
+    name = docs.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(k, i, t) for k, s, v in zip(pdf[key], pdf["sentences"], pdf["vectors"], strict=True) for i, t in enumerate(semantic_chunks(list(s), [list(x) for x in v], threshold, target_words))]
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text"])
+
+    return docs.select(key, "sentences", "vectors").mapInPandas(run, f"{key} {name}, chunk_index int, text string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
+from skein.plans.runtime import stage
+
 # States of an address.
 DISCOVERED, FETCHING, PROCESSED, FAILED, SKIPPED, GONE = "DISCOVERED", "FETCHING", "PROCESSED", "FAILED", "SKIPPED", "GONE"
 
@@ -36,8 +39,46 @@ def reset_stale_claims(frontier: DataFrame, now: float, seconds: float = 1800) -
     return frontier.withColumn("state", F.when(old, DISCOVERED).otherwise(F.col("state")))
 
 
+def _unsupported(text: Column) -> Column:
+    return text.contains("not supported") | text.contains("modelerror") | text.contains("does not exist") | text.contains("unknown model") | (text.contains("model") & text.contains("not found"))
+
+
+def provider_error(status: Column, body: Column, message: Column) -> Column:
+    """FN22: the category of a provider's failure, by its status and body if there is a status, else by the message."""
+    low_body, low = F.lower(F.coalesce(body, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
+    of_status = (
+        F.when(_unsupported(low_body) & status.isin(401, 403), "invalid_request").when(status == 429, "rate_limited").when(status.isin(401, 403), "authentication_error")
+        .when(status.isin(400, 422), "invalid_request").when(status >= 500, "temporary_unavailable").otherwise("permanent_error")
+    )
+    denied = low.contains("401") | low.contains("unauthorized")
+    of_message = (
+        F.when(low.contains("rate limit") | low.contains("429") | low.contains("too many requests"), "rate_limited").when(low.contains("quota") | low.contains("exceeded"), "quota_exceeded")
+        .when(_unsupported(low) & denied, "invalid_request").when(denied | low.contains("authentication"), "authentication_error")
+        .when(low.contains("timed out") | low.contains("timeout") | low.contains("could not reach") | low.contains("connection"), "retryable").otherwise("permanent_error")
+    )
+    return F.when(status.isNotNull(), of_status).otherwise(of_message)
+
+
+def retry_after(header: Column, default: float = 60.0) -> Column:
+    """FN23: seconds from a Retry-After header; the default where it is missing or no number."""
+    return F.coalesce(header.try_cast("double"), F.lit(default))
+
+
+def cooldown(category: Column, wait: Column, by_category: dict[str, float], default: float) -> Column:
+    """FN23: how long a provider rests after a failure: what it asked for (not below 0), else its category's time."""
+    table = F.lit(None).cast("double")
+    for name, seconds in by_category.items():
+        table = F.when(category == name, F.lit(seconds)).otherwise(table)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait)).otherwise(F.coalesce(table, F.lit(default)))
+
+
+def normal_url(url: Column | str) -> Column:
+    """FN25: without white space around it and slashes at its end."""
+    return F.regexp_replace(T.strip(url), "/+$", "")
+
+
 def error_category(message: Column) -> Column:
-    """FN22 for messages: a broad kind of failure."""
+    """FN22 for frontier rows: a broad kind of failure by its message."""
     m = F.lower(message)
     return (
         F.when(m.isNull() | (m == ""), "none").when(m.rlike("timeout|timed out"), "timeout").when(m.rlike("429|rate limit|too many requests"), "rate_limit")
@@ -77,3 +118,36 @@ def parent_edges(edges: DataFrame, frontier: DataFrame) -> DataFrame:
 
 def url_hash(url: Column | str) -> Column:
     return F.sha2(url, 256)
+
+
+def reachable(seeds: DataFrame, links: DataFrame, most_depth: int, label: str = "frontier") -> DataFrame:
+    """SRC1: url, depth of every address reached from the seeds over links (url, target) in at most most_depth steps, the fewest for each.
+
+    A breadth-first crawl as rounds of one join and one anti-join; each round is a table in the shared folder, and ends
+    the crawl when it finds nothing new.
+    """
+    found = stage(seeds.select("url").distinct().withColumn("depth", F.lit(0)), label)
+    last = found
+    for depth in range(1, most_depth + 1):
+        new = last.join(links, "url").select(F.col("target").alias("url")).distinct().join(found, "url", "left_anti")
+        last = stage(new.withColumn("depth", F.lit(depth)), label)
+        if last.isEmpty():
+            break
+        found = found.unionByName(last)
+    return found
+
+
+def crawl_limit(pages: int, multiplier: int = 3, least: int = 50) -> int:
+    """SRC1: how many addresses a crawl attempts for so many pages."""
+    return max(pages * multiplier, least)
+
+
+def orphans(tasks: DataFrame, heartbeats: DataFrame, now: float, lease: float = 60.0, dispatched: float = 300.0) -> DataFrame:
+    """STR4: task_id, status of each task: alive with a heartbeat within the lease, waiting if dispatched lately without one yet, else orphaned.
+
+    tasks: task_id, dispatched_at; heartbeats: task_id, at (seconds).
+    """
+    last = heartbeats.groupBy("task_id").agg(F.max("at").alias("last"))
+    alive = F.coalesce(F.col("last") > now - lease, F.lit(False))
+    waiting = F.col("last").isNull() & (F.col("dispatched_at") > now - dispatched)
+    return tasks.join(last, "task_id", "left").select("task_id", F.when(alive, "alive").when(waiting, "waiting").otherwise("orphaned").alias("status"))

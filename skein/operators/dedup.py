@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions import vectors as V
+from skein.operators.search import unit_rows
+from skein.plans.runtime import prepare, stage
 
 
 def content_hash(c: Column | str) -> Column:
@@ -60,12 +64,39 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float, block:
     return exact.where(F.col("jaccard") >= threshold)
 
 
-def embedding_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: str) -> DataFrame:
-    """DDP5's pairs of one block value: a, b, similarity at or over the threshold."""
-    a = vectors.select(F.col(key).alias("a"), F.col(vec).alias("va"), F.col(block))
-    b = vectors.select(F.col(key).alias("b"), F.col(vec).alias("vb"), F.col(block))
-    pairs = a.join(b, block).where("a < b").select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+def embedding_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: str, rows: int = 2048) -> DataFrame:
+    """DDP5's pairs of one block value: a, b, similarity (rounded to 6 places) at or over the threshold.
+
+    A block is dealt over parts of about so many rows; each pair of parts is one product in a task, so a vector is sent
+    once for each part of its block, not for each partner, and only pairs over the threshold leave.
+    """
+    prepare(vectors.sparkSession)
+    kind = vectors.schema[key].dataType.simpleString()
+    v = vectors.where(F.col(block).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias("_k"), F.col(vec).alias("_v"))
+    parts = stage(v.groupBy("_b").agg(F.ceil(F.count("*") / rows).cast("int").alias("_n")), "pair-parts")
+    dealt = v.join(parts, "_b").withColumn("_p", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("_b", F.least("_p", "_o").alias("_x"), F.greatest("_p", "_o").alias("_y"), "_p", "_k", "_v")
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, part = (table[c].to_numpy() for c in ("_x", "_y", "_p"))
+        keys = table["_k"].to_numpy()
+        left, right = (np.flatnonzero(part == side[0]) for side in (x, y))
+        sizes = pc.fill_null(pc.list_value_length(table["_v"]), 0).to_numpy()
+        out = []
+        for length in np.unique(sizes):
+            i, j = left[sizes[left] == length], right[sizes[right] == length]
+            if length and len(i) and len(j):
+                m, n = (unit_rows(table["_v"].take(pa.array(k)).combine_chunks(), None, int(length)) for k in (i, j))
+                s = np.rint(np.clip(m @ n.T, -1, 1) * 1e6) / 1e6
+                a, b = np.nonzero(s >= threshold)
+                one = keys[i[a]] < keys[j[b]]
+                two = (keys[i[a]] > keys[j[b]]) & (x[0] != y[0])  # within a part the other order is there as well
+                out += [(keys[i[a[one]]], keys[j[b[one]]], s[a[one], b[one]]), (keys[j[b[two]]], keys[i[a[two]]], s[a[two], b[two]])]
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [keys[:0], keys[:0], np.zeros(0)]
+        return pa.table(dict(zip(("a", "b", "similarity"), map(pa.array, cols), strict=True)))
+
+    return dealt.groupBy("_b", "_x", "_y").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def sibling_merge(hits: DataFrame, q: str) -> DataFrame:
@@ -99,3 +130,32 @@ def merge_rendered(native: DataFrame, rendered: DataFrame) -> DataFrame:
     r = rendered.select("canonical_url", F.col("text").alias("r_text"))
     both = native.join(r, "canonical_url", "full")
     return both.select("canonical_url", F.coalesce("r_text", "text").alias("text"), "ord", F.when(F.col("r_text").isNotNull(), "rendered").otherwise("native").alias("representation")).orderBy(F.col("ord").asc_nulls_last(), "canonical_url")
+
+
+def union_first(variants: list[DataFrame], key: str, order: str) -> DataFrame:
+    """DDP7/SET1: rows of several result lists, each key once: of the first variant that has it, there by order."""
+    both = None
+    for k, df in enumerate(variants):
+        one = df.withColumn("_variant", F.lit(k))
+        both = one if both is None else both.unionByName(one)
+    rest = [c for c in variants[0].columns if c != key]
+    out = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_variant", order)).alias("_x"), F.min("_variant").alias("variant"))
+    return out.select(key, *[F.col(f"_x.{c}").alias(c) for c in rest], "variant")
+
+
+def union_packages(packages: list[DataFrame]) -> DataFrame:
+    """SET2: the chunk packages of several sources as one table; columns that a package lacks are null."""
+    out = packages[0]
+    for p in packages[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def missing_from(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """SET3: distinct keys of expected that found lacks."""
+    return expected.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
+def in_both(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """SET4: distinct keys that both have."""
+    return expected.select(key).distinct().join(found.select(key), key, "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.search import small
 
 
 def retrieval_rows(ranked: DataFrame, relevant: DataFrame, q: str, item: str, k: int) -> DataFrame:
@@ -80,9 +81,12 @@ def span_iou(gold: DataFrame, predicted: DataFrame, key: str, width: int = 1000)
     return gold.select(key, "span_no").join(best, [key, "span_no"], "left").select(key, "span_no", F.round(F.coalesce("iou", F.lit(0.0)), 6).alias("iou"))
 
 
-def fracture_rate(nodes: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
-    """JN12: the share of structural nodes (key, start, end) that a cut (key, at) falls strictly inside of."""
-    hit = nodes.join(cuts, (nodes[key] == cuts[key]) & (cuts["at"] > nodes["start"]) & (cuts["at"] < nodes["end"]), "left_semi").groupBy(key).agg(F.count("*").alias("broken"))
+def fracture_rate(nodes: DataFrame, cuts: DataFrame, key: str, width: int = 1000) -> DataFrame:
+    """JN12: the share of structural nodes (key, start, end) that a cut (key, at) falls strictly inside of; both meet by key and bin of width positions."""
+    at = cuts.select(key, "at", F.floor(F.col("at") / width).alias("bin"))
+    spread = nodes.select(key, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bin"))
+    hit = spread.join(at, [key, "bin"]).where((F.col("at") > F.col("start")) & (F.col("at") < F.col("end"))).select(key, "start", "end").distinct()
+    hit = nodes.join(hit, [key, "start", "end"], "left_semi").groupBy(key).agg(F.count("*").alias("broken"))
     total = nodes.groupBy(key).agg(F.count("*").alias("nodes"))
     return total.join(hit, key, "left").select(key, "nodes", F.coalesce("broken", F.lit(0)).alias("broken"), F.round(F.coalesce("broken", F.lit(0)) / F.col("nodes"), 6).alias("fracture_rate"))
 
@@ -118,7 +122,7 @@ def contains_run(docs: DataFrame, needles: DataFrame, key: str, item: str, n: in
 def coverage_rows(expected: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
     """AGG21: expected terms (by, term) that no text of the source holds."""
     terms = expected.select(by, F.lower("term").alias("term")).distinct()
-    found = corpus.join(F.broadcast(terms), by).where(F.lower("text").contains(F.col("term"))).select(by, "term").distinct()
+    found = corpus.join(small(terms), by).where(F.lower("text").contains(F.col("term"))).select(by, "term").distinct()
     return terms.join(found.withColumn("_f", F.lit(1)), [by, "term"], "left").groupBy(by).agg(F.count("*").alias("terms"), F.count("_f").alias("found"), F.round(F.count("_f") / F.count("*"), 6).alias("term_recall"))
 
 

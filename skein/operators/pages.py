@@ -255,3 +255,42 @@ def native_text(text: str) -> str:
     """PRS8: a source document without front matter, template directives and HTML comments, with plain line feeds."""
     text = re.sub(r"\A﻿?---\n.*?\n---\n?", "", text.replace("\r\n", "\n").replace("\r", "\n"), flags=re.S)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"<!--.*?-->|\{%.*?%\}|\{\{.*?\}\}", "", text, flags=re.S)).strip()
+
+
+def rst_documents(docs: DataFrame, key: str) -> DataFrame:
+    """PRS6/PRS8: key, section, title, body of every section of reStructuredText documents; null texts have none."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(k, i, *s) for k, text in zip(pdf[key], pdf["text"], strict=True) for i, s in enumerate(rst_sections(text) if text else [])]
+            yield pd.DataFrame(rows, columns=[key, "section", "title", "body"])
+
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, section int, title string, body string")
+
+
+#: What a generated page's title ends with, and links to sources that are not read.
+TITLE_MARKS = [" - Spark ", " — Spark "]
+SOURCE_LINK = r"\[\s*source\s*\]"
+
+
+def rendered_title(html: Column | str, url: Column | str) -> Column:
+    """PRS7: the first heading, else the title element up to its product mark, else the address's last part in words."""
+    plain = lambda tag: T.collapse(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", ""))
+    whole = plain("title")
+    for mark in TITLE_MARKS:
+        whole = F.when(whole.contains(mark), F.substring_index(whole, mark, 1)).otherwise(whole)
+    stem = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"([^/]*?)(?:\.[^./]*)?/*$", 1), "[-_]", " "), " +", " "))
+    return F.coalesce(F.nullif(plain("h1"), F.lit("")), F.nullif(whole, F.lit("")), F.nullif(stem, F.lit("")), F.col(url) if isinstance(url, str) else url)
+
+
+def rendered(pages: DataFrame, least_words: int = 10) -> DataFrame:
+    """PRS7: page_id, title, text, word_count, content_hash, headings (text and level) of rendered pages; too short ones go."""
+    md = F.pandas_udf(lambda s: s.map(lambda h: html_markdown(h, 0)), "string")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(md("html"), SOURCE_LINK, ""), r"\n{3,}", "\n\n"), r"[ \t]+", " ")
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.ltrim(x).startswith("[#]"))
+    rows = pages.select("page_id", rendered_title("html", "url").alias("title"), T.strip(F.array_join(kept, "\n")).alias("text"))
+    heads = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"^#{1,6}\s+\S"))
+    heads = F.transform(heads, lambda x: F.struct(T.strip(F.regexp_extract(x, r"^#{1,6}\s+(.+?)\s*#*\s*$", 1)).alias("heading"), F.length(F.regexp_extract(x, "^(#{1,6})", 1)).alias("level")))
+    out = rows.withColumn("word_count", T.word_count("text")).where((F.col("word_count") >= least_words) & F.col("text").isNotNull())
+    return out.select("page_id", "title", "text", "word_count", F.sha2("text", 256).alias("content_hash"), heads.alias("headings"))

@@ -10,7 +10,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -124,43 +124,98 @@ def maxsim_rerank(df: DataFrame, q: str, question: str, text: str, k: int) -> Da
     return scored.withColumn("position", F.when(F.col("n") > k, place).otherwise(F.col("rank"))).where(F.col("position") <= F.greatest(F.lit(k), F.when(F.col("n") <= k, F.col("n")).otherwise(k)))
 
 
+def sigmoid(c: Column) -> Column:
+    """FN21."""
+    return 1 / (1 + F.exp(-c))
+
+
+def clamped(c: Column) -> Column:
+    """FN21: a confidence between 0 and 1; null and NaN count as 0."""
+    return F.when(F.isnan(c) | c.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
+
+
+def score_rerank(df: DataFrame, q: str, logit: str, k: int) -> DataFrame:
+    """TOP7/TOP10: the k best rows of a question by a scorer's raw score (sigmoid, then min-max within the question), with confidence and position.
+
+    A question with no more than k rows stays in its order, with the confidence it had.
+    """
+    scored = df.withColumn("_s", sigmoid(F.col(logit)))
+    scaled = min_max(scored, q, "_s").withColumn("_n", F.count("*").over(W.partitionBy(q)))
+    place = F.row_number().over(W.partitionBy(q).orderBy(F.desc("scaled"), "rank"))
+    out = scaled.withColumn("position", F.when(F.col("_n") > k, place).otherwise(F.row_number().over(W.partitionBy(q).orderBy("rank"))))
+    out = out.withColumn("confidence", F.when(F.col("_n") > k, F.round("scaled", 6)).otherwise(F.col("confidence")))
+    return out.where((F.col("_n") <= k) | (F.col("position") <= k)).drop("_s", "_n", "scaled")
+
+
+def provider_rerank(df: DataFrame, rankings: DataFrame, q: str, doc: str, k: int) -> DataFrame:
+    """TOP8: a provider's scores (q, doc, score) on a question's rows: scaled within the question, unranked rows after the ranked ones in their order, k at most.
+
+    confidence is the scaled score (as it is where all are equal), 0 for unranked rows; a question without any ranking is
+    cut to its first k rows and keeps its confidence.
+    """
+    both = df.join(rankings.select(q, doc, F.col("score").alias("_score")), [q, doc], "left")
+    w = W.partitionBy(q)
+    lo, hi, any_ = F.min("_score").over(w), F.max("_score").over(w), F.count("_score").over(w) > 0
+    value = F.when(F.col("_score").isNull(), F.lit(0.0)).when(hi > lo, (F.col("_score") - lo) / (hi - lo)).otherwise(F.col("_score"))
+    out = both.withColumn("_any", any_).withColumn("_value", value)
+    key = F.when(F.col("_any") & F.col("_score").isNull(), F.lit(-1.0)).when(F.col("_any"), F.col("_value")).otherwise(F.lit(0.0))
+    place = F.row_number().over(w.orderBy(key.desc(), "rank"))
+    out = out.withColumn("confidence", F.when(F.col("_any"), F.round("_value", 6)).otherwise(F.col("confidence"))).withColumn("position", place)
+    return out.where(F.col("position") <= k).drop("_score", "_any", "_value")
+
+
+def ranks(df: DataFrame, q: str, order: list, first: int = 1) -> DataFrame:
+    """WIN1: the rank of each row within its question, from 0 or 1."""
+    return df.withColumn("rank", (F.row_number().over(W.partitionBy(q).orderBy(*order)) + (first - 1)).cast("long"))
+
+
+def numbered(chunks: DataFrame, doc: str, order: str) -> DataFrame:
+    """WIN10: chunk_index from 0 and total_chunks of each document."""
+    w = W.partitionBy(doc)
+    return chunks.withColumn("chunk_index", (F.row_number().over(w.orderBy(order)) - 1).cast("long")).withColumn("total_chunks", F.count("*").over(w))
+
+
+def prefix_budget(df: DataFrame, q: str, rank: str, size: str, budget: int, between: int = 2) -> DataFrame:
+    """WIN3: the rows of a question up to the one that would pass the budget, with the characters used so far."""
+    w = W.partitionBy(q).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("used", F.sum(F.col(size) + between).over(w)).where(F.col("used") <= budget)
+
+
+def segment_offsets(segments: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """WIN4: start and end of each segment in the text that all segments of a document make."""
+    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = segments.withColumn("start_offset", F.coalesce(F.sum(F.length(text)).over(w), F.lit(0)))
+    return out.withColumn("end_offset", F.col("start_offset") + F.length(text))
+
+
 def select_context(df: DataFrame, q: str, doc: str, rank: str, url: str, size: str, budget: int, per_url: int) -> DataFrame:
     """TOP13: a place for the best row of each url, then more rows by rank, per_url at most, while the budget lasts.
 
-    size: characters of a row as formatted. A row that doesn't fit is passed over; the first is always placed. Returns
-    every decision: doc, rank, position (null if dropped), reason; a row dropped in both passes has two.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    over, capped = "dropped_due_total_context_budget", "dropped_due_per_source_cap"
+    size: characters of a row as formatted, two more go between rows. A row that doesn't fit is passed over; the first is
+    always placed. Returns every decision: doc, rank, position (null if dropped), reason; a row dropped in both passes has two.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(rank, kind="stable")[[doc, rank, url, size]].itertuples(index=False, name=None))
-        out, placed, count, used = [], set(), {}, 0
-
-        def place(d, r, u, n) -> bool:
-            nonlocal used
-            if placed and used + n + 2 > budget:
-                out.append((d, r, None, over))
-                return False
-            used += n + 2
-            placed.add(d)
-            count[u] = count.get(u, 0) + 1
-            out.append((d, r, len(placed), "selected"))
-            return True
-
-        for row in rows:
-            if row[2] not in count:
-                place(*row)
-        for row in rows:
-            if row[0] in placed or row[2] not in count:
-                continue
-            if count[row[2]] >= per_url:
-                out.append((row[0], row[1], None, capped))
-            else:
-                place(*row)
-        return pd.DataFrame({q: pdf[q].iloc[0], doc: [o[0] for o in out], rank: [o[1] for o in out], "position": pd.array([o[2] for o in out], "Int32"), "reason": [o[3] for o in out]})
-
-    return df.select(q, doc, rank, url, size).groupBy(q).applyInPandas(run, f"{q} {kinds[q]}, {doc} {kinds[doc]}, {rank} {kinds[rank]}, position int, reason string")
+    A question's trials are its rows once for coverage and once for depth, in order; one fold over them keeps the
+    characters used and the decisions made, and reads off the latter what each trial depends on.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    entry = f"struct<doc:{kind[doc]},rank:{kind[rank]},url:{kind[url]},position:int,reason:string>"
+    row = F.struct(F.col(rank).alias("rank"), F.col(doc).alias("doc"), F.col(url).alias("url"), F.col(size).cast("long").alias("size"))
+    lists = df.groupBy(q).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    trials = F.flatten(F.transform(F.array(F.lit(False), F.lit(True)), lambda deep: F.transform("rows", lambda r: F.struct(deep.alias("deep"), r.alias("r")))))
+
+    def decide(acc, trial):
+        deep, r, chosen = trial["deep"], trial["r"], F.filter(acc["log"], lambda x: x["position"].isNotNull())
+        of_url = F.size(F.filter(chosen, lambda x: x["url"].eqNullSafe(r["url"])))
+        open_ = F.when(deep, (of_url > 0) & ~F.exists(chosen, lambda x: x["doc"].eqNullSafe(r["doc"]))).otherwise(of_url == 0)
+        fits = (F.size(chosen) == 0) | (acc["used"] + r["size"] + 2 <= budget)
+        reason = F.when(deep & (of_url >= per_url), "dropped_due_per_source_cap").when(fits, "selected").otherwise("dropped_due_total_context_budget")
+        said = F.struct(r["doc"].alias("doc"), r["rank"].alias("rank"), r["url"].alias("url"), F.when(reason == "selected", F.size(chosen) + 1).cast("int").alias("position"), reason.alias("reason"))
+        taken = F.when(open_ & (reason == "selected"), r["size"] + 2).otherwise(F.lit(0))
+        return F.struct((acc["used"] + taken).cast("long").alias("used"), F.when(open_, F.concat(acc["log"], F.array(said))).otherwise(acc["log"]).alias("log"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{entry}>").alias("log"))
+    said = lists.select(q, F.explode(F.aggregate(trials, start, decide)["log"]).alias("x"))
+    return said.select(q, F.col("x.doc").alias(doc), F.col("x.rank").alias(rank), "x.position", "x.reason")
 
 
 def history_budget(turns: DataFrame, budget: int) -> DataFrame:

@@ -38,10 +38,11 @@ def distribution(events: DataFrame, by: str, last: int = 10_000) -> DataFrame:
 
 
 def moving_average(events: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """AGG17/WIN14: the exponential moving average of value after each key's last event."""
-    seq = events.where("value is not null").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    ema = F.aggregate("s", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x["value"]).otherwise(F.lit(alpha) * x["value"] + F.lit(1 - alpha) * acc))
-    return seq.select(key, F.size("s").cast("long").alias("n"), F.round(ema, 6).alias("ema"))
+    """AGG17/WIN14: the exponential moving average of value after each key's last event, as a sum of weighted values, so no list of a key is gathered."""
+    newest = W.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    rows = events.where("value is not null").select(key, "value", F.row_number().over(newest).alias("r"), F.count("*").over(W.partitionBy(key)).alias("n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("r") - 1) * F.when(F.col("r") < F.col("n"), F.lit(alpha)).otherwise(F.lit(1.0))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
 
 
 def failure_runs(events: DataFrame, key: str, failed) -> DataFrame:

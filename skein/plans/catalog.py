@@ -5,8 +5,6 @@ Search queries take the benchmark passages as questions, or every vector whose i
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,32 +12,10 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import answers, chunking, crawl, dedup, metrics, pages, ranking, search, series
+from skein.plans.registry import Query, query
 from skein.plans.runtime import prepare, table
 from skein.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -143,8 +119,7 @@ def multi_query_fusion(spark, d):
     v, qs = _asked_vectors(spark, d)
     lists = None
     for k, dims in enumerate((None, 16, 32)):
-        score = V.cosine(V.mrl(F.col("embedding"), dims), V.mrl(F.col("q"), dims)) if dims else None
-        one = search.dense_search(v, qs, 10, score).select("q_id", "vec_id", "rank", F.lit(k).alias("list"))
+        one = search.dense_search(v, qs, 10, dims).select("q_id", "vec_id", "rank", F.lit(k).alias("list"))
         lists = one if lists is None else lists.unionByName(one)
     return search.merge_lists(lists, 10)
 
@@ -262,8 +237,7 @@ SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity
 )
 def embedding_near_dups(spark, d):
     """DDP5's pairs within a label."""
-    out = dedup.embedding_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.5, "label")
-    return out.select("a", "b", F.round("similarity", 6).alias("similarity")).where("similarity >= 0.6")
+    return dedup.embedding_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6, "label")
 
 
 def _runs_sql(source: str, key: str, n: int) -> str:
@@ -360,20 +334,52 @@ def _python_split(how: str) -> Query:
     return f
 
 
-for _how in ("sentence", "header", "budget", "json", "python"):
+for _how in ("sentence", "header", "budget"):
     query()(_python_split(_how))
 
 
+@query()
+def json_chunks(spark, d):
+    """CHK6: orders with their lines as JSON documents."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag"))).alias("lines"))
+    orders = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    texts = orders.select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("string").alias("o_orderdate"), "lines")).alias("text"))
+    out = chunking.split_documents(prepare(spark) and texts, "doc_id", "json", 64)
+    return out.select("doc_id", "chunk_index", "total_chunks", "section_header", "chunk_type", "text")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS doc_id, 3 AS n, ['@cached' || chr(10) || 'def part_' || p_partkey || '(x):' || chr(10) || '    return x' || chr(10) || chr(10), 'class Part' || p_partkey || ':' || chr(10) || '    size = ' || p_size || chr(10) || chr(10), 'def last():' || chr(10) || '    pass' || chr(10)] AS u FROM part),
+c AS (SELECT doc_id, n, unnest(u) AS text, CAST(unnest([0, 1, 2]) AS INT) AS chunk_index FROM p)
+SELECT doc_id, chunk_index, CAST(n AS INT) AS total_chunks, 'code' AS chunk_type, text FROM c"""
+)
+def python_chunks(spark, d):
+    """CHK8: generated modules, a decorator staying with its function."""
+    text = F.concat(F.lit("@cached\ndef part_"), F.col("p_partkey"), F.lit("(x):\n    return x\n\nclass Part"), F.col("p_partkey"), F.lit(":\n    size = "), F.col("p_size"), F.lit("\n\ndef last():\n    pass\n"))
+    out = chunking.split_documents(prepare(spark) and table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), "doc_id", "python")
+    return out.select("doc_id", "chunk_index", "total_chunks", "chunk_type", "text")
+
+
 @query()
 def hierarchical_chunks(spark, d):
     """CHK14, CHK16, CHK17."""
     return chunking.hierarchical(prepare(spark) and table(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query(
+    f"""WITH {_windows_sql('w', 1000, 100)}, c AS (SELECT doc_id || ':' || chunk_index AS chunk, CASE WHEN chunk_index % 5 = 1 THEN '' ELSE text END AS text, CASE WHEN chunk_index = 2 THEN doc_id || ':99999' WHEN chunk_index > 0 THEN doc_id || ':0' ELSE '' END AS parent, length(text) AS n FROM w),
+a AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE chunk LIKE '%7:0')
+SELECT 'duplicate_id' AS violation, chunk FROM a GROUP BY chunk HAVING count(*) > 1 UNION ALL SELECT 'blank_text', chunk FROM a WHERE trim(text) = ''
+UNION ALL SELECT 'over_budget', chunk FROM a WHERE n > 990 UNION ALL SELECT 'missing_parent', chunk FROM a WHERE parent <> '' AND parent NOT IN (SELECT chunk FROM c)"""
+)
 def chunk_violations(spark, d):
-    """FLT24, JN14: nothing is wrong with the hierarchical chunks."""
-    return metrics.violations(hierarchical_chunks(spark, d), "chunk_id", "parent_chunk_id", "text", "token_count", 1024)
+    """FLT24, JN14: windows damaged on purpose: repeated ids, blank texts, long ones, parents that don't exist."""
+    w = chunking.windows(table(spark, d, "documents"), "doc_id")
+    name = lambda k: F.concat_ws(":", F.col("doc_id"), k)
+    i = F.col("chunk_index")
+    parent = F.when(i == 2, name(F.lit("99999"))).when(i > 0, name(F.lit("0"))).otherwise("")
+    c = w.select(name(i).alias("chunk_id"), F.when(i % 5 == 1, "").otherwise(F.col("text")).alias("text"), parent.alias("parent"), F.length("text").alias("n"))
+    return metrics.violations(c.unionByName(c.where(F.col("chunk_id").like("%7:0"))), "chunk_id", "parent", "text", "n", 990)
 
 
 @query(
@@ -752,7 +758,10 @@ def score_distribution(spark, d):
     return series.distribution(table(spark, d, "events"), "event_type")
 
 
-@query()
+@query(
+    """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
+SELECT user_id, count(*) AS n, round(sum(0.7::DOUBLE ** (r - 1) * CASE WHEN r < n THEN 0.3::DOUBLE ELSE 1.0 END * value), 6) AS ema FROM r GROUP BY user_id"""
+)
 def ema_latency(spark, d):
     """AGG17, WIN14."""
     return series.moving_average(table(spark, d, "events"), "user_id")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.plans.runtime import drop_path
+from skein.plans.runtime import drop_path, read_file, replace_file
 
 STATE_VERSION = 1
 
@@ -14,14 +13,20 @@ STATE_VERSION = 1
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """SNK1: old rows whose key is not in new, and the last new row of each key by order."""
     if order:
-        last = W.partitionBy(key).orderBy(F.col(order).desc())
-        new = new.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+        new = newest(new, key, order)
     return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
-def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """SNK6: old rows, and new rows of keys that old doesn't have."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(old.columns))
+def newest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key with the largest order; equal ones go by a hash of the row. An aggregate with map-side combine, no window."""
+    rest = [c for c in df.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest)))
+    return df.groupBy(key).agg(last.alias("_row")).select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def insert_new(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """SNK6: old rows, and of keys that old doesn't have the newest new row by order."""
+    return old.unionByName(newest(new, key, order).join(old.select(key), key, "left_anti").select(old.columns))
 
 
 def delete_by(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -37,12 +42,12 @@ def write_generation(chunks: DataFrame, root: str, generation: str) -> str:
 
 
 def activate(spark: SparkSession, root: str, generation: str) -> None:
-    """SNK5: point at a generation; activating an earlier one again is a rollback."""
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_active")
+    """SNK5: point at a generation, in one step; activating an earlier one again is a rollback."""
+    replace_file(spark, f"{root}/_active", generation)
 
 
 def active(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/_active").first()[0]
+    return read_file(spark, f"{root}/_active")
 
 
 def read_active(spark: SparkSession, root: str) -> DataFrame:
@@ -87,3 +92,14 @@ def load_bm25(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 def append_log(rows: DataFrame, path: str) -> None:
     """SNK7/SNK8/SNK11: append rows to a log of JSON lines."""
     rows.write.mode("append").json(path)
+
+
+def profile_report(stages: DataFrame, root: str) -> DataFrame:
+    """SNK10: a profile's rows by stage as a JSON report and a Markdown table in root; the rows are returned."""
+    cols = stages.columns
+    row = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+    head = stages.sparkSession.createDataFrame([("| " + " | ".join(cols) + " |",), ("|" + "-|" * len(cols),)], "line string")
+    lines = stages.orderBy("stage").select(row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("line"))
+    stages.write.mode("overwrite").json(f"{root}/report.json")
+    head.unionByName(lines).coalesce(1).write.mode("overwrite").text(f"{root}/report.md")  # a row a stage
+    return stages.sparkSession.read.schema(stages.schema).json(f"{root}/report.json")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +57,13 @@ def manifest(files: DataFrame, include: list[str], exclude: list[str] = (), most
 
 
 def manifest_hash(m: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the manifest's JSON lines in path order. A manifest is a bounded list of files."""
-    line = F.to_json(F.struct("relative_path", "sha256", "size"))
-    return m.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("manifest_hash"))
+    """One row: files, and a hash of all rows of the manifest whatever their order: SHA-256 over the sums of the rows' SHA-256 words.
+
+    A sum, so that no list of all files is gathered; unlike an exclusive or it counts repeated rows.
+    """
+    line = F.sha2(F.to_json(F.struct("relative_path", "sha256", "size")), 256)
+    words = [F.sum(F.conv(F.substring(line, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
+    return m.agg(F.count("*").alias("files"), F.sha2(F.concat_ws(",", *words), 256).alias("manifest_hash"))
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -93,3 +100,81 @@ def eval_violations(rows: DataFrame) -> DataFrame:
     single = rows.select("id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("violation"))
     repeated = rows.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate_id").alias("violation"))
     return single.unionByName(repeated)
+
+
+def checked_mirror(spark: SparkSession, root: str, commit: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
+    """SRC8: the manifest of a mirror on disk; its HEAD file must name the pinned commit."""
+    head = spark.read.text(f"{root}/HEAD").first()
+    if not head or head[0].strip() != commit:
+        raise ValueError("the mirror isn't at the pinned commit")
+    return manifest(scan_files(spark, root).where("relative_path <> 'HEAD'"), include, exclude)
+
+
+def rendered_pages(files: DataFrame, include: list[str], exclude: list[str] = (), base: str = "") -> DataFrame:
+    """SRC9: relative_path, canonical_url, sha256 of the pages that a build left; an index page stands for its folder."""
+    rows = manifest(files, include, exclude, 1 << 30)
+    return rows.select("relative_path", F.concat(F.lit(base), F.regexp_replace("relative_path", r"(^|/)index\.html?$", "$1")).alias("canonical_url"), "sha256")
+
+
+def unpacked(archive: DataFrame) -> DataFrame:
+    """SRC5: relative_path, content of the files in tar.gz archives (column content), without the top folder; unsafe paths are an error."""
+
+    def run(batches):
+        for b in batches:
+            paths, contents = [], []
+            for data in b.column("content").to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+                    for m in t:
+                        if m.name.startswith("/") or ".." in m.name.split("/") or m.issym() or m.islnk():
+                            raise ValueError(f"unsafe path in an archive: {m.name}")
+                        if m.isfile():
+                            paths.append(m.name.split("/", 1)[-1])
+                            contents.append(t.extractfile(m).read())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["relative_path", "content"])
+
+    return archive.select("content").mapInArrow(run, "relative_path string, content binary")
+
+
+def stored_urls(chunks: DataFrame, source: str | None = None) -> DataFrame:
+    """SRC12: distinct addresses in the index, of one source if given."""
+    return (chunks.where(F.col("source_name") == source) if source else chunks).select("url").distinct()
+
+
+def children_of(chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """SRC12: the chunks of some parents (parent_content_hash) with their place among the siblings."""
+    return chunks.join(parents.select("parent_content_hash").distinct(), "parent_content_hash", "left_semi").select("parent_content_hash", "segment_index", "chunk_id", "text")
+
+
+def configs(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
+    """SRC14: source configurations of a JSON file; a row without a required value is an error."""
+    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    bad = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "" for c in required]))
+    if not bad.isEmpty():
+        raise ValueError(f"a configuration without {required}")
+    return rows
+
+
+def trace_metrics(traces: DataFrame, view: str) -> DataFrame:
+    """SRC15: one of the metrics views over traces (model, day, cost, latency, score_name, score)."""
+    views = {
+        "cost_by_model": lambda t: t.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost")),
+        "daily_volume_and_latency": lambda t: t.groupBy("day").agg(F.count("*").alias("n"), F.round(F.percentile("latency", 0.95), 4).alias("p95")),
+        "score_summary": lambda t: t.where("score_name is not null").groupBy("score_name").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean")),
+    }
+    return views[view](traces)
+
+
+def review_items(rows: DataFrame, reviewed: DataFrame, key: str, low: float) -> DataFrame:
+    """SRC16: rows of a dataset that a reviewer should see: scored below low and not yet reviewed."""
+    return rows.where(F.col("score") < low).join(reviewed.select(key), key, "left_anti")
+
+
+def indexed_documents(index: DataFrame, found: DataFrame, prefix: str, least_chars: int) -> DataFrame:
+    """PRS10: title, url, relative_path, text, doc_type of the listed addresses (title, url) whose files (relative_path, text) are there.
+
+    Front matter is cut; what is shorter than least_chars then is a stub and goes. Files below api/ are references.
+    """
+    rel = F.when(F.col("url").startswith(prefix), F.substring("url", len(prefix) + 1, 1 << 30)).otherwise(F.regexp_extract("url", r"^[A-Za-z]+://[^/]*/*([^?#]*)", 1))
+    out = index.withColumn("relative_path", rel).join(found, "relative_path").withColumn("text", F.regexp_replace("text", r"\A---\r?\n(?s:.*?)\r?\n---\r?\n?", ""))
+    kind = F.when(F.substring_index("relative_path", "/", 1) == "api", "api_reference").otherwise("guide")
+    return out.where(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= least_chars).select("title", "url", "relative_path", "text", kind.alias("doc_type"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.store import newest
+
 LATE = "10 minutes"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -69,11 +71,11 @@ def limited(events: DataFrame, limit: int, seconds: int = 60, late: str = LATE)
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(path: str, key: str):
-    """SNK9/STR6: a foreachBatch function that writes each micro-batch's newest row a key as a batch folder of its own, so a retried batch overwrites itself."""
+def upsert_sink(path: str, key: str, order: str):
+    """SNK9/STR6: a foreachBatch function that writes each micro-batch's newest row a key by order as a batch folder of its own, so a retried batch overwrites itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
@@ -83,3 +85,30 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what there is now into a table below path, and return the table.
+
+    append: a Parquet sink. complete: each micro-batch's whole result replaces the one before, in a folder of its own; the
+    last one is returned, so that a retried batch overwrites itself and readers never see half a result.
+    """
+    spark, where = stream.sparkSession, {}
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        where["last"] = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(where["last"])
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(where["last"])
+
+
+def assembled(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """STR11: the text of each answer from its token events (keys, seq, token), which may come in any order or twice."""
+    once = tokens.groupBy(*keys, "seq").agg(F.min("token").alias("token"))
+    lists = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "token"))).alias("l"))
+    return lists.select(*keys, F.array_join(F.transform("l", lambda x: x["token"]), "").alias("text"))
