@@ -14,6 +14,7 @@ import re
 import unicodedata
 from functools import cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ SHORT = 32
 #: Words merged at once.
 WORDS = 20_000
 #: Entries of a worker's cache of white-space-delimited pieces, which bounds its memory.
-CACHE = 250_000
+CACHE = 350_000
 #: Characters whose pieces are looked up at once.
-CHUNK = 500_000
+CHUNK = 1_500_000
 #: White space by Unicode's White_Space property, as a character class.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: The steps before the model that this module implements, as the file states them.
@@ -77,6 +78,11 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _joined(names: list[str], ids: list[int]) -> str:
+    """The ids' names, joined by spaces."""
+    return " ".join(itemgetter(*ids)(names)) if len(ids) > 1 else " ".join(names[i] for i in ids)
+
+
 class Bpe:
     """vocab: token -> id; merges: pairs by rank; special: strings -> id."""
 
@@ -84,7 +90,9 @@ class Bpe:
         letters, numbers = _classes()
         self.vocab, self.suffix, self.special, self.bytes = vocab, suffix, special, _byte_chars()
         self.ranks = {tuple(m): k for k, m in enumerate(merges)}
-        self.tokens = {i: t for t, i in (vocab | special).items()}
+        shown = {i: t for t, i in (vocab | special).items()}
+        self.tokens = [shown.get(i) for i in range(max(shown) + 1)]
+        self.decimal = list(map(str, range(len(self.tokens))))
         pairs = self._hash(*np.array([(vocab[a], vocab[b]) for a, b in merges], np.int64).reshape(-1, 2).T)
         self.by_hash = np.argsort(pairs)
         self.index = Keys(pairs[self.by_hash])
@@ -98,7 +106,6 @@ class Bpe:
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() only
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.ids: dict[str | int, list[int]] = {}
-        self.decimal = {i: str(i) for i in self.tokens}
 
     @classmethod
     def load(cls, path: str) -> Bpe:
@@ -194,26 +201,27 @@ class Bpe:
             if len(cache) >= CACHE:
                 self.words.clear()
                 self.ids.clear()
-        new = list({p for t in texts for p in t} - self.ids.keys())
-        split = [[] if isinstance(p, int) else self.word.findall(p) for p in new]
-        words = list({w for ws in split for w in ws} - self.words.keys())
+        new = list(set().union(*texts).difference(self.ids))
+        split = [[] if isinstance(p, int) else [p] if p.isalpha() else self.word.findall(p) for p in new]  # isalpha: letters by general category, one word
+        words = list(set(chain.from_iterable(split)).difference(self.words))
         chars = self.bytes
         for w, ids in zip(words, self.merge(["".join([chars[b] for b in w.encode("utf-8")]) for w in words]), strict=True):
             self.words[w] = ids
         for p, ws in zip(new, split, strict=True):
             self.ids[p] = [p] if isinstance(p, int) else self.words[ws[0]] if len(ws) == 1 else [i for w in ws for i in self.words[w]]
 
-    def _pieces(self, text: str):
+    def _pieces(self, text: str) -> list[str | int]:
         """Special ids, and pieces of normalised text between white space."""
-        at = 0
-        for m in [*self.cut.finditer(text), None]:
-            run = text[at : m.start() if m else None]
-            if run:
-                run = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
-                yield from filter(None, self.space.split(run)) if self.odd.search(run) else run.split()
-            if m:
-                yield self.special[m[0]]
-                at = m.end()
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self._plain(text[at:]) if out else self._plain(text[at:])
+
+    def _plain(self, run: str) -> list[str]:
+        run = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
+        return list(filter(None, self.space.split(run))) if self.odd.search(run) else run.split()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text."""
@@ -227,7 +235,7 @@ class Bpe:
         lo, size = 0, 0
         for k, t in enumerate([*texts, None]):
             if k == len(texts) or size > CHUNK:
-                pieces = [list(self._pieces(x or "")) for x in texts[lo:k]]
+                pieces = [self._pieces(x or "") for x in texts[lo:k]]
                 self._learn(pieces)
                 yield pieces
                 lo, size = k, 0
@@ -235,13 +243,13 @@ class Bpe:
 
     def decode(self, ids) -> str:
         """Tokens of the ids, joined by spaces, as the library does for a model without a decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return _joined(self.tokens, ids)
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Of each text: number of tokens, SHA-256 of the decimal ids and of the decoded text, both joined by single spaces."""
         out = []
         for ids in self.encode(texts):
-            shown, text = " ".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+            shown, text = _joined(self.decimal, ids), self.decode(ids)
             out.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
         return out
 
