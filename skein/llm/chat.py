@@ -8,7 +8,8 @@ that its ancestors take: what it may attend to besides itself. Tokens are code p
 
 Equal conversations are one path before packing. A pack holds a bounded number of
 paths: a first turn that very many conversations share is dealt over several packs, by
-second turn where that is enough, each of which emits the shared turns once.
+second turn where that is enough, each of which emits the shared turns once: shared turns
+are emitted once a pack, not once in all. Reading back checks a leaf's position ids.
 """
 
 from __future__ import annotations
@@ -100,6 +101,8 @@ def pack(paths: list[tuple[str, list[tuple[str, str]]]]) -> tuple[str, list[dict
 def unpack(text: str, nodes: list[dict], leaf: int) -> tuple[str, list[str]]:
     """A leaf's formatted conversation by its attention intervals, and the texts under its loss mask, still escaped."""
     node = nodes[leaf]
+    if node["position"] != sum(s["end"] - s["start"] for s in node["ancestors"]):
+        raise ValueError(f"position ids of node {leaf} don't follow its ancestors")
     formatted = "".join([text[s["start"] : s["end"]] for s in [*node["ancestors"], node]])
     learnt, at = [], leaf
     while at >= 0:
@@ -167,8 +170,8 @@ def digests(packed: DataFrame) -> DataFrame:
 def round_trip(turns: DataFrame) -> DataFrame:
     """conv_id and the digests of every conversation, formatted into packs and read back from them.
 
-    Repeated rows are turns of their own; a null conv_id is a conversation of its own; further columns are not read. No rows
-    give no rows.
+    Repeated rows are turns of their own; a null conv_id is a conversation of its own; texts of any length are one node each;
+    further columns are not read. No rows give no rows.
     """
     convs = stage(paths(turns), "chat-paths")
     distinct = convs.groupBy("path").agg(F.first("turns").alias("turns"))

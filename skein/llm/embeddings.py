@@ -101,7 +101,7 @@ def grid_dims(n: int, dims: int) -> int:
 
 
 def near_pairs(p: np.ndarray, q: np.ndarray, budget: float, same: bool):
-    """Arrays i, j, and the number of checks, that hold all pairs of rows of p and q within the squared distance budget; same: q is p, pairs with i < j."""
+    """Arrays i, j, and the number of checks, that hold all pairs of rows of p and q within the squared distance budget; same: q is p, each pair of different rows once, in either order."""
     reach, work = np.sqrt(budget) * _SLACK, [(np.arange(len(p)), np.arange(len(q)), same, 0)]
     pp, qq = (p * p).sum(axis=1), (q * q).sum(axis=1)
     width = p.shape[1]

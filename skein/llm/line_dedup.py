@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.ordering import ranked
+from skein.llm.ordering import fresh, ranked
 from skein.plans.runtime import drop_path, stage, stage_at
 
 #: A run of so many lines (a power of two) is enough, or one line of so many words.
@@ -98,16 +98,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     other; rows of different texts that share a doc_id, or have none, are told apart by their texts. No rows give no rows.
     Further columns stay as they are, n_chars among them; columns named n_lines or n_removed are replaced.
     """
-    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"), F.sum("lines").alias("_gone"))
+    h, id_, th, found_runs, gone, full, gaps = fresh(docs, "_h", "_id", "_th", "_runs", "_gone", "_full", "_gaps")
+    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_list(F.struct("first", "last")).alias(found_runs), F.sum("lines").alias(gone))
     found = found.hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*keep, F.xxhash64("text").alias("_h")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias(h)).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left")
     lines = F.split("text", "\n", -1)
-    full = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BLACK), i)), lambda i: i.isNotNull())
-    out = out.withColumn("_full", F.when(F.col("_runs").isNotNull(), full))  # numbers of the non-blank lines
-    out = out.withColumn("_gaps", F.transform("_runs", lambda r: F.struct(F.get("_full", r["first"]).alias("first"), F.get("_full", r["last"]).alias("last"))))
-    in_gap = lambda i: F.exists("_gaps", lambda g: (g["first"] <= i) & (i <= g["last"]))
+    numbers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BLACK), i)), lambda i: i.isNotNull())
+    out = out.withColumn(full, F.when(F.col(found_runs).isNotNull(), numbers))  # of the non-blank lines
+    out = out.withColumn(gaps, F.transform(found_runs, lambda r: F.struct(F.get(full, r["first"]).alias("first"), F.get(full, r["last"]).alias("last"))))
+    in_gap = lambda i: F.exists(gaps, lambda g: (g["first"] <= i) & (i <= g["last"]))
     kept = F.filter(lines, lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
-    text = F.when(F.col("_gaps").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(gaps).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], n_lines.alias("n_lines"), F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep], n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.ordering import ranked, running_start
+from skein.llm.ordering import fresh, ranked, running_start
 from skein.plans.runtime import prepare, stage
 
 #: 131,072 slots: at 100 TB a slot is about 2e8 words, at the smallest test size 3.
@@ -148,8 +148,9 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, slot_bits: int =
     placed = laid_out(rows, goal).withColumn("block", F.when(F.col("size") > 0, F.expr(f"cast(start as {big}) * n div {total}")))
     got = placed.join(_by_block(goal, slot_bits), ["sid", "block"], "left")
     taken = F.when(F.col("size") == 0, 1).otherwise(F.coalesce(F.col("times"), F.lit(0))).cast("int")
-    times = stage(got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), taken.alias("_times")), "mix-times")
-    keyed = docs.withColumn("_mix_th", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(times["_id"]) & keyed["source"].eqNullSafe(times["_source"]) & (keyed["_mix_th"] == times["_th"])
-    out = keyed.join(times, same).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, source, th, n, own, copy = fresh(docs, "_id", "_source", "_th", "_times", "_own", "_copy")
+    times = stage(got.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("th").alias(th), taken.alias(n)), "mix-times")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(times[id_]) & keyed["source"].eqNullSafe(times[source]) & (keyed[own] == times[th])
+    out = keyed.join(times, same).where(F.col(n) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,3 +41,13 @@ def running_start(df: DataFrame, key: str, bucket: str, order: list, value: str,
     offsets = sums.select(key, bucket, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(key, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.join(offsets, [key, bucket]).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_before")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from df's columns, which may have any names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -44,6 +44,7 @@ TRICKY_ID, TRICKY = -7, r"\### Assistant: </turn> ok"
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and TRICKY_ID's; rows that the table itself has under that id are turns of the same conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(TRICKY_ID, k, role, TRICKY) for k, role in enumerate(("user", "assistant"))], turns.schema)
     return chat.round_trip(turns.unionByName(more))

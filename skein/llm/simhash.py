@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.graph import components
+from skein.llm.ordering import fresh
 from skein.plans.runtime import prepare, stage
 
 SEED = 42
@@ -239,16 +240,18 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     share a doc_id, or have none, are told apart by these hashes.
     """
     prepare(docs.sparkSession)
+    own = fresh(docs, "_keep_id", "_keep_th", "_keep_rh")
+    kept_as = fresh(docs, "_kept_id", "_kept_th", "_kept_rh")
     # maps can't be hashed
     rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
     flat = [x for c in rest for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    keys = docs.withColumns({"_keep_id": F.col("doc_id").cast("long"), "_keep_th": F.xxhash64("text"), "_keep_rh": F.xxhash64(F.lit(0), F.col("doc_id"), *flat)})
-    rows = keys.select("_keep_id", "_keep_th", "_keep_rh", "text").mapInArrow(_fingerprints(shingle, ("_keep_id", "_keep_th", "_keep_rh")), "_keep_id long, _keep_th long, _keep_rh long, fp long")
-    first = F.min(F.struct(F.col("_keep_id").isNull().alias("none"), "_keep_id", "_keep_th", "_keep_rh")).alias("first")
+    keys = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(F.lit(0), F.col("doc_id"), *flat)), strict=True)))
+    rows = keys.select(*own, "text").mapInArrow(_fingerprints(shingle, tuple(own)), ", ".join(f"{c} long" for c in own) + ", fp long")
+    first = F.min(F.struct(F.col(own[0]).isNull().alias("none"), *own)).alias("first")
     least = stage(rows.groupBy("fp").agg(first), "simhash-least")
     comp = components(links(least.select("fp"), radius))
     groups = least.join(comp.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    kept = groups.agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"_kept{c[5:]}") for c in ("_keep_id", "_keep_th", "_keep_rh")])
+    kept = groups.agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(k) for c, k in zip(own, kept_as, strict=True)])
     kept = stage(kept, "simhash-kept")
-    same = keys["_keep_id"].eqNullSafe(kept["_kept_id"]) & (keys["_keep_th"] == kept["_kept_th"]) & (keys["_keep_rh"] == kept["_kept_rh"])
-    return keys.join(kept, same, "left_semi").dropDuplicates(["_keep_id", "_keep_th", "_keep_rh"]).drop("_keep_id", "_keep_th", "_keep_rh")
+    same = [keys[c].eqNullSafe(kept[k]) for c, k in zip(own, kept_as, strict=True)]
+    return keys.join(kept, same[0] & same[1] & same[2], "left_semi").dropDuplicates(own).drop(*own)

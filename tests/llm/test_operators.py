@@ -678,3 +678,161 @@ def test_media_store_shares_chunks(spark):
 
     files, places = media.store(docs.coalesce(1), new_path(spark, "test"))
     assert places.count() < 0.4 * sum(len(f.chunks) for f in files.collect())
+
+
+def kneser_ney(text, order, alphabet):
+    """Log probability function of an interpolated Kneser-Ney model over the training text's counted characters, from its definition."""
+    x, _, counts = langid._stream(text)
+    x = x.tolist()
+    top = defaultdict(lambda: defaultdict(int))
+    for i in np.flatnonzero(counts):
+        top[tuple(x[i - order + 1 : i])][x[i]] += 1
+    tables = [top]
+    for _ in range(order - 1):  # continuation counts: how many characters stand before
+        lower = defaultdict(lambda: defaultdict(int))
+        for history, seen in tables[-1].items():
+            for ch in seen:
+                lower[history[1:]][ch] += 1
+        tables.append(lower)
+    discounts = []
+    for t in tables:
+        every = [c for seen in t.values() for c in seen.values()]
+        n1, n2 = every.count(1), every.count(2)
+        discounts.append(n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+
+    def p(ch, history):
+        if len(history) >= order:
+            history = history[len(history) - order + 1 :]
+        k = order - 1 - len(history)
+        below = p(ch, history[1:]) if history else 1 / alphabet
+        seen = tables[k].get(history)
+        if not seen:
+            return below
+        total, d = sum(seen.values()), discounts[k]
+        return max(seen.get(ch, 0) - d, 0) / total + d * len(seen) / total * below
+
+    return p
+
+
+def test_kneser_ney_matches_its_definition():
+    samples = {"aa": ["abracadabra abba cab", "dab cab a bad cad"], "bb": ["xyz zyx yxz zzy", "cab xyz"]}
+    alphabet = 30
+    model = langid.fit(samples, alphabet=alphabet)
+    for text in ["abra cadabra", "xyzzy", "cab zab", "qqq abba", "ж"]:
+        e, n = model.entropies([text])
+        for m, lang in enumerate(model.langs):
+            p = kneser_ney(samples[lang], langid.ORDER, alphabet)
+            x, _, counts = langid._stream([text])
+            want = -sum(np.log(p(int(x[i]), tuple(x[i - langid.ORDER + 1 : i].tolist()))) for i in np.flatnonzero(counts)) / counts.sum()
+            assert n[0] == counts.sum() and abs(e[0, m] - want) < 1e-4
+
+
+def test_embeddings_string_labels_and_dense_clusters(spark, monkeypatch):
+    """Labels of any type, and a cluster of many different vectors that are all near one another."""
+    monkeypatch.setattr(embeddings, "HOME_ROWS", 64)
+    monkeypatch.setattr(embeddings, "TILE", 50)
+    monkeypatch.setattr(embeddings, "LEAF", 8)
+    r = np.random.default_rng(4)
+    near = (np.ones(16) + 0.01 * r.standard_normal((300, 16))).astype(np.float32)
+    rows = [(k, v.tolist(), "x" if k % 3 else "y é") for k, v in enumerate(near)] + [(400, near[0].tolist(), None)]
+    got = {g.vec_id: g for g in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    for label in ("x", "y é"):
+        ids = [k for k, _, lab in rows if lab == label]
+        v = near[ids].astype(float)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        links = (v @ v.T >= 0.98).sum(axis=1) - 1
+        assert [got[k].n_links for k in ids] == links.tolist() and {got[k].component_id for k in ids} == {ids[0]}
+    assert got[400].n_links == 0 and got[400].kept
+
+
+def test_embedding_checks_fall_behind_all_pairs():
+    """At 64 dimensions the blocks check under a third of all pairs of 20,000 vectors, and find every near one."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((20_000, 64))
+    x[10_000:10_200] = x[:200] + 0.1 * r.standard_normal((200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y, checks, found = x @ embeddings._rotation(64), 0, set()
+    for where, budget in embeddings._plan(64, 0.98):
+        for i, j, n in embeddings.near_pairs(y[:, where], y[:, where], budget, True):
+            checks += n
+            ok = (x[i] * x[j]).sum(axis=1) >= 0.98
+            found |= {(min(p), max(p)) for p in zip(i[ok].tolist(), j[ok].tolist(), strict=True)}
+    want = {(a, a + 10_000) for a in range(200) if x[a] @ x[a + 10_000] >= 0.98}
+    assert checks < len(x) * (len(x) - 1) / 2 / 3 and found == want and len(want) > 100
+
+
+def test_warc_packages_ranges_and_odd_rows(spark, tmp_path, monkeypatch):
+    """Null page_ids, several packages of a task, more than one range; records and index lines are in form."""
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 3000)
+    monkeypatch.setattr(warc, "RANGE_BYTES", 400)
+    r = random.Random(3)
+    rows = [(None if k == 5 else k, f"http://h.example/{k}", "".join(r.choice("abcdefgh ") for _ in range(400 + k))) for k in range(30)]
+    manifest = warc.write_packages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}")
+    packages = [p.package.removeprefix("file://") for p in manifest.collect()]
+    assert len(packages) > 3
+    with open(packages[0], "rb") as f:
+        raw = f.read()
+    members = warc.directory(io.BytesIO(raw), len(raw))
+    at, n = members[warc.INDEX]
+    lines = raw[at : at + n].decode().splitlines()
+    assert lines == sorted(lines) and all(x.startswith("example,h)/") and x.split(" ")[1] == "20000101000000" for x in lines)
+    data_at, _ = members[warc.DATA]
+    import json
+
+    for x in lines:
+        entry = json.loads(x.split(" ", 2)[2])
+        start = data_at + int(entry["offset"])
+        headers, block = warc.parse(raw[start : start + int(entry["length"])])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length", "WARC-Target-URI"} <= headers.keys() and block.startswith(b"HTTP/1.1 200 OK")
+    batches = [b for b in _arrow(manifest.select("package", "n_bytes"))]
+    got = sorted((str(i), u, n) for out in warc._reader(batches) for i, u, n in zip(*(out.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes")), strict=True))
+    assert got == sorted((str(i), u, len(h)) for i, u, h in rows)
+
+
+def _arrow(df):
+    return df.toArrow().to_batches()
+
+
+def test_line_dedup_long_texts_and_null_ids(spark):
+    """A run of 3000 lines under a null id comes before its copy under an id; its later copies go, line by line of the longer text too."""
+    run = [f"line number {k} of the long run" for k in range(3000)]
+    rows = [(None, "\n".join(run)), (7, "\n".join(["head", *run, "tail"])), (8, "\n".join(["x y", "", *run[100:2000]])), (None, "alone")]
+    got = line_dedup.dedup_lines(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {(g.doc_id, g.text) for g in got} == {(None, "\n".join(run)), (7, "head\ntail"), (8, "x y\n"), (None, "alone")}
+    found = line_dedup.runs(docs_of(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted((g.doc_id, g.first, g.last, g.lines) for g in found) == [(7, 1, 3000, 3000), (8, 1, 1900, 1900)]
+
+
+def test_line_names_are_independent(spark):
+    """The halves of a line's ID: the second is no function of the first."""
+    a, b = F.xxhash64(F.lit(1), "x"), F.xxhash64(F.lit(2), "x")
+    rows = spark.createDataFrame([(f"line {k}",) for k in range(50)], "x string").select("x", a.alias("a"), b.alias("b")).collect()
+    mine = {"a": 1, "b": 2}
+    for r in rows:
+        for c, salt in mine.items():
+            seed = xxhash.xxh64_intdigest(salt.to_bytes(4, "little"), 42)
+            assert r[c] & (1 << 64) - 1 == xxhash.xxh64_intdigest(r.x.encode(), seed)
+    assert len({r.a ^ r.b for r in rows}) == 50
+
+
+def test_chat_very_long_text(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### word \\ " * 60_000), (2, 0, "user", "hi")]
+    got = {g.conv_id: g for g in chat.round_trip(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].loss_chars == len(rows[1][3]) and got[1].loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest() and got[2].n_turns == 1
+    text, nodes, leaves = chat.pack([("a", [("user", "q"), ("assistant", "1")])])
+    nodes[1]["position"] += 1
+    with pytest.raises(ValueError, match="position"):
+        chat.unpack(text, nodes, 1)
+
+
+def test_mixed_documents_by_row(spark):
+    """Rows that share or lack a doc_id are told apart by source and text; repeated rows share a number."""
+    rows = [(None, prose(k, 40), "en", f"s{k % 2}") for k in range(40)] + [(5, prose(100 + k, 40), "en", f"s{k % 3}") for k in range(40)] + [(9, "same text", "en", "s0")] * 2 + [(10, None, "en", None)]
+    docs = docs_of(spark, rows)
+    goal = {g.source: (g.target, g.source_size) for g in mixing.mix(docs).collect()}
+    words, texts = defaultdict(int), set()
+    for g in mixing.mixed_documents(docs).collect():
+        words[g.source] += len((g.text or "").split())
+        texts.add((g.doc_id, g.source, g.text))
+    assert all(abs(words[s] - t) <= 41 for s, (t, _) in goal.items()) and (10, None, None) in texts and len(texts) > 50
+    assert sum(g.doc_id == 9 for g in mixing.mixed_documents(docs).collect()) % 2 == 0

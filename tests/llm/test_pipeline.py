@@ -75,3 +75,46 @@ def test_stage_names_and_queries():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if re.match(r"op\d+_", q)}
     assert "pipeline" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, shared and missing ids, extra columns with clashing names."""
+    from tests.llm.test_operators import prose
+
+    rows = [(k, prose(k, 60), "en", f"s{k % 3}", 5, 1, "x", 2) for k in range(30)]
+    rows += [(None, prose(200, 60), "en", "s0", None, None, None, None), (None, prose(201, 60), None, None, 5, 1, "x", 2), (3, prose(202, 60), "en", "s1", 5, 1, "x", 2), (4, None, "en", "s0", 5, 1, "x", 2)]
+    rows += [(5, "", "en", "s0", 0, 1, "x", 2), (6, prose(7, 50_000), "en", "s2", 5, 1, "x", 2), (7, prose(9, 60), "en", "s0", 5, 1, "y", 3), (7, prose(9, 60), "en", "s0", 5, 1, "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp long, size string, _h int")
+    sent = {r[1] for r in rows}
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["language ID"](spark, docs, sf_dir).collect()
+    assert {r.text for r in out} == sent - {None, ""} and len(out) == len(rows) - 2
+    out = stages["line dedup"](spark, docs, sf_dir).collect()
+    assert {r.text for r in out} == sent - {prose(9, 60)} | {prose(9, 60)} and sum(r.text is None for r in out) == 1
+    out = stages["SimHash near-dedup"](spark, docs, sf_dir).collect()
+    assert {r.text for r in out if r.text} == sent - {None, ""} and len(out) == len(sent) - 1 and sum(not r.text for r in out) == 1
+    out = stages["mixing"](spark, docs, sf_dir).collect()
+    assert sum(not r.text for r in out) == 2 and {r.text for r in out} <= sent and any(r.doc_id is None for r in out)
+    out = stages["BPE"](spark, docs, sf_dir).collect()
+    assert len(out) == len(rows) and sum(r.n_tokens == 0 for r in out) == 2
+
+
+def test_near_copies_stage_by_stage(spark):
+    """What of planted near copies (one word in a hundred changed) and exact copies each stage takes."""
+    import random
+
+    from tests.llm.test_operators import prose
+
+    r, rows = random.Random(5), []
+    for k in range(60):
+        words = prose(5000 + k, 400).split()
+        rows.append((k, " ".join(words)))
+        for c in range(1, 3):
+            near = words.copy()
+            for i in r.sample(range(400), 1 if c == 1 else 0):
+                near[i] = "changed"
+            rows.append((1000 * c + k, " ".join(near)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    exact, near = sum(2000 + k in left for k in range(60)), sum(1000 + k in left for k in range(60))
+    assert exact == 0 and near < 40 and set(range(60)) <= left
