@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run()
 applies them to documents. All stages but the last return the columns of documents.
+Further columns of docs pass through, whatever their names. Empty docs give no rows.
+Very long texts are handled whole. Rows equal in doc_id, source and text share one fate.
 """
 
 from __future__ import annotations
@@ -14,29 +16,45 @@ from skein.plans.runtime import stage, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID does not reject."""
+    """Documents that language ID does not reject.
+
+    Null texts and texts without a letter are rejected where there is a model; without labelled documents all rows stay.
+    Null doc_ids, langs and sources are no reason to go; repeated rows stay as often as they are there. Texts that two
+    languages score alike go by the first of these.
+    """
     return langid.accepted(docs, langid.train(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated line runs, n_chars anew; documents that lose every word go."""
+    """Texts without later copies of repeated line runs, n_chars anew where a line went; documents that lose every word go.
+
+    Null and word-free texts that lost nothing stay as they are. The first copy is that of the smallest doc_id (null
+    first), then by a hash of the text, then by line; rows equal in doc_id and text are no copies of each other.
+    """
     out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One row of each SimHash group: the smallest doc_id (null last), ties by hashes of the text and of the other columns.
+
+    Null and word-free texts are one group with fingerprint zero; of rows equal in all columns one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to the sources' targets takes them."""
+    """Documents as often (0 to 3 times) as the mix to the sources' targets takes them.
+
+    Null texts and texts without words are kept once; a null source is a source of its own; rows that share or lack a
+    doc_id are told apart by source and text; ties in the shuffled order go by doc_id, size and a hash of the text.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text in the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text in the mix; a null text has no tokens, repeated rows each keep a row."""
     return bpe.digests(docs)
 
 
