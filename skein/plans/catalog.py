@@ -158,9 +158,26 @@ def pii_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", *[c.cast("long").alias(k) for k, c in T.pii_counts("text").items()])
 
 
-@query()
+def _mask_sql() -> str:
+    """A step for each kind: the text between the matches, and the masks of these."""
+    ctes, last = [], "documents"
+    for k, kind in enumerate(T.MASK_ORDER):
+        p = T.PII[kind]
+        if kind == "email":
+            mask = "CASE WHEN strpos(m, '@') <= 2 THEN '*' ELSE substr(m, 1, 1) || '***' END || '@***.' || string_split(m, '.')[-1]"
+        elif kind == "phone":
+            mask = "'***-***-' || right(regexp_replace(m, '\\D', '', 'g'), 4)"
+        else:
+            mask = "left(m, 2) || repeat('*', length(m) - 4) || right(m, 2)"
+        ctes.append(f"g{k} AS (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS f, regexp_split_to_array(text, '{p}') AS s FROM {last})")
+        ctes.append(f"m{k} AS (SELECT doc_id, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(range(1, len(s) + 1), lambda i: s[i] || coalesce(list_transform(f, lambda m: {mask})[i], '')), '') ELSE text END AS text FROM g{k})")
+        last = f"m{k}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, text AS masked FROM {last}"
+
+
+@query(_mask_sql())
 def pii_redact_masked(spark, d):
-    """FLT10; held against Python in the tests."""
+    """FLT10; held against Python in the tests as well."""
     return table(spark, d, "documents").select("doc_id", T.masked("text").alias("masked"))
 
 
@@ -842,9 +859,18 @@ def file_manifest(spark, d):
     return files.manifest(f, ["src1*/*.md"], most_bytes=1 << 30).select("relative_path", F.col("size").cast("long").alias("size"), "sha256")
 
 
-@query()
+def _uuid_sql(h: str) -> str:
+    """A version-5 UUID from the hex digits of a SHA-1."""
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query(
+    f"""WITH {_windows_sql('w', 1000, 100)}, p AS (SELECT doc_id, source, chunk_index, sha1(from_hex('{T.DNS}') || encode('https://docs.example/' || source || '/' || doc_id)) AS h FROM w JOIN documents USING (doc_id)),
+c AS (SELECT doc_id, source, chunk_index, sha1(from_hex(replace({_uuid_sql('h')}, '-', '')) || encode(source || ':' || lpad(CAST(chunk_index AS VARCHAR), 4, '0'))) AS g FROM p)
+SELECT doc_id, source, chunk_index, {_uuid_sql('g')} AS chunk_id FROM c"""
+)
 def chunk_ids(spark, d):
-    """Identity rules: UUID 5 of a chunk, and of its point; held against Python in the tests."""
+    """Identity rules: UUID 5 of a chunk, and of its point; held against Python in the tests as well."""
     c = chunking.windows(table(spark, d, "documents").withColumn("url", F.concat_ws("/", F.lit("https://docs.example"), "source", "doc_id")), "doc_id")
     c = c.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     cid = T.chunk_id(F.concat_ws("/", F.lit("https://docs.example"), "source", "doc_id"), F.col("source"), F.col("chunk_index"))
@@ -864,10 +890,34 @@ def grouped_load(spark, d):
 
 
 # --- answers --------------------------------------------------------------------------------------------------------------
-@query()
+def _sub_sql() -> str:
+    out = []
+    for kind, (p, templates) in answers.SUBQUESTIONS.items():
+        made = []
+        for t in templates:
+            text = "'" + t.replace("'", "''") + "'"
+            for k in (1, 2):
+                text = f"replace({text}, '{{{k}}}', {_STRIP_SQL.format(f"regexp_extract(text, '{p}', {k})") if k == 1 or kind == 'comparative' else "''"})"
+            made.append(f"replace({text}, '{{0}}', text)")
+        out.append(f"WHEN intent = '{kind}' AND regexp_matches(text, '{p}') THEN {' || chr(10) || '.join(made)}")
+    mode = rf"(?i)^(.*?){T.MODE_OR}(.*)$"
+    part = lambda k: f"regexp_extract(text, '{mode}', {k})"
+    both = " || chr(10) || ".join(_STRIP_SQL.format(f"{part(1)} || {part(k)} || {part(4)}") for k in (2, 3))
+    first = f"WHEN intent = 'comparative' AND regexp_matches(text, '{mode}') AND lower({part(2)}) <> lower({part(3)}) THEN {both}"
+    return f"WITH c AS (SELECT conv_id, turn, {_ASKED_SQL} AS text FROM conversations), s AS (SELECT *, {_INTENT_SQL} AS intent FROM c) SELECT conv_id, turn, CASE {first} {' '.join(out)} ELSE text END AS sub_questions FROM s"
+
+
+_ASKED = ["Compare {} vs {}?", "How to install {}?", "Why is {} failing", "What is {}.load( for", "Write {} code?", "yarn or kubernetes for {}"]
+_ASKED_SQL = "CASE (conv_id + turn) % 7 " + " ".join(f"WHEN {k} THEN replace('{t}', '{{}}', 'w' || turn)" for k, t in enumerate(_ASKED)) + " ELSE text END"
+
+
+@query(_sub_sql())
 def sub_questions(spark, d):
-    """FN12: of every turn, by its intent."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.sub_questions(F.col("text"), T.intent("text")), "\n").alias("sub_questions"))
+    """FN12: of every turn by its intent, most of them made into questions of each kind."""
+    m, asked = (F.col("conv_id") + F.col("turn")) % 7, F.col("text")
+    for k, t in enumerate(_ASKED):
+        asked = F.when(m == k, F.replace(F.lit(t), F.lit("{}"), F.concat(F.lit("w"), "turn"))).otherwise(asked)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(answers.sub_questions(asked, T.intent(asked)), "\n").alias("sub_questions"))
 
 
 @query(
@@ -943,14 +993,21 @@ def answer_flags(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", *[c.cast("long").alias(k) if k == "words" else c.alias(k) for k, c in answers.answer_flags("text").items()])
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, trim(coalesce({_plain_sql('h1')}, {_plain_sql('title')}, url)) AS t, page_id FROM pages), k AS (SELECT host, lower(t) AS k, arg_min(t, page_id) AS t, min(page_id) AS o FROM t WHERE t <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY o, k) AS r FROM k), l AS (SELECT host, list(t ORDER BY r) AS l FROM r WHERE r <= 3 GROUP BY host)
+SELECT host, 'What does the documentation say about ' || l[1] || '?' || chr(10) || 'Can you explain ' || coalesce(l[2], l[1]) || ' in more detail?' || chr(10) || 'Give me a code example for ' || coalesce(l[3], l[2], l[1]) || '.' AS suggestions FROM l"""
+)
 def follow_up_suggestions(spark, d):
     """TOP15: page titles as titles, hosts as questions."""
     p = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), pages.title("html", "url").alias("title"), "page_id", F.lit("factual").alias("intent"))
     return answers.suggestions(p, "host", "title", "page_id", "intent").select("host", F.array_join("suggestions", "\n").alias("suggestions"))
 
 
-@query()
+@query(
+    rf"""WITH {_windows_sql('w', 1000, 100)}, s AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP_SQL.format('x')}), lambda x: len(regexp_extract_all(x, '\S+')) >= 1)[1], '') AS summary FROM documents)
+SELECT doc_id, chunk_index, CASE WHEN length(text) >= 200 AND summary <> '' THEN '[Document Context: ' || summary || ']' || chr(10) || chr(10) || text ELSE text END AS text FROM w JOIN s USING (doc_id)"""
+)
 def context_enriched(spark, d):
     """FLT12, MDL10: windows with the first sentence of their document in front."""
     docs = table(spark, d, "documents")

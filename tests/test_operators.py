@@ -5,7 +5,6 @@ import random
 import re
 import uuid
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -295,6 +294,3 @@ def test_streams_match_batch(spark, sf_dir, tmp_path):
     sess = stream.run_once(stream.session_counts(read()), "s_sess", str(tmp_path / "c4"))
     assert 0 < sess.agg(F.sum("n")).first()[0] <= ev.count()
 
-
-def test_pandas_is_only_used_in_batches():
-    assert pd.__version__
