@@ -5,6 +5,8 @@ Where the tables have no such column (status codes, verdicts, generations), one
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from skein.functions import text as T
 from skein.operators import answers, chunking, crawl, dedup, evaluation, metrics, models, pages, ranking, search, series
 from skein.plans import catalog, store
 from skein.plans.registry import query
-from skein.plans.runtime import new_path, prepare, table
+from skein.plans.runtime import new_path, prepare, replace_file, table
 from skein.sources import files
 from skein.streaming import events as streams
 
@@ -147,6 +149,30 @@ def rendered_manifest(spark, d):
     return files.rendered_pages(f.where("source is not null"), ["**/*.html"], ["src2/**"], "https://docs.example/")
 
 
+@query("SELECT 'd/' || doc_id || '.txt' AS relative_path, md5(coalesce(text, '')) AS md5 FROM documents")
+def archived_files(spark, d):
+    """SRC5: an archive a document, and its file read out of it."""
+    return files.unpacked(files.packed(_docs(prepare(spark), d).select(F.concat(F.lit("top/d/"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))).select("relative_path", F.md5("content").alias("md5"))
+
+
+@query("SELECT r_name || '.md' AS relative_path, strlen('# ' || r_name) AS size, sha256('# ' || r_name) AS sha256 FROM region")
+def mirror_manifest(spark, d):
+    """SRC8: the five regions as a mirror's files, at its pinned commit."""
+    root = new_path(prepare(spark), "mirror")
+    for name, text in [("HEAD", "abc"), *((f"{r.r_name}.md", f"# {r.r_name}") for r in table(spark, d, "region").limit(5).collect())]:
+        replace_file(spark, f"{root}/{name}", text)
+    return files.checked_mirror(spark, root, "abc", ["**/*.md"]).withColumn("size", F.col("size").cast("long"))
+
+
+@query("SELECT r_name AS name, 'https://' || lower(r_name) || '/' AS url FROM region")
+def source_configs(spark, d):
+    """SRC14: the five regions as source configurations."""
+    path = new_path(prepare(spark), "configs")
+    rows = [{"name": r.r_name, "url": f"https://{r.r_name.lower()}/"} for r in table(spark, d, "region").limit(5).collect()]
+    replace_file(spark, path, json.dumps(rows))
+    return files.configs(spark, path, "name string, url string", ["name", "url"])
+
+
 # --- sinks ----------------------------------------------------------------------------------------------------------------
 _OLD_NEW = "o AS (SELECT doc_id, n_chars AS v, 0 AS ver FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, n_chars + k AS v, k AS ver FROM documents, (VALUES (1), (2)) t(k) WHERE doc_id % 3 = 0)"
 

@@ -135,6 +135,24 @@ def unpacked(archive: DataFrame) -> DataFrame:
     return archive.select("content").mapInArrow(run, "relative_path string, content binary")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """SRC5's other side: a tar.gz archive (content) of each row's file (path, content)."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                buffer = io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as t:
+                    info = tarfile.TarInfo(path)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+                out.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["content"])
+
+    return rows.select("path", "content").mapInArrow(run, "content binary")
+
+
 def stored_urls(chunks: DataFrame, source: str | None = None) -> DataFrame:
     """SRC12: distinct addresses in the index, of one source if given."""
     return (chunks.where(F.col("source_name") == source) if source else chunks).select("url").distinct()
