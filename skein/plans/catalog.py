@@ -250,11 +250,11 @@ def near_dup_pairs_jaccard(spark, d):
 
 @query(
     """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE similarity >= 0.6"""
+SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE similarity >= 0.4"""
 )
 def embedding_near_dups(spark, d):
     """DDP5's pairs within a label."""
-    return dedup.embedding_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.6, "label")
+    return dedup.embedding_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4, "label")
 
 
 def _runs_sql(source: str, key: str, n: int) -> str:

@@ -563,7 +563,7 @@ def task_leases(spark, d):
 @query(
     """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 422 ELSE NULL END AS s FROM events)
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'authentication_error' WHEN 2 THEN 'invalid_request' WHEN 3 THEN 'temporary_unavailable' WHEN 4 THEN 'invalid_request' ELSE 'quota_exceeded' END AS category,
-CASE event_id % 6 WHEN 0 THEN 7.5 WHEN 3 THEN 10.0 ELSE 60.0 END AS cooldown FROM e"""
+CAST(CASE event_id % 6 WHEN 0 THEN 7.5 WHEN 3 THEN 10.0 ELSE 60.0 END AS DOUBLE) AS cooldown FROM e"""
 )
 def provider_errors(spark, d):
     """FN22, FN23."""
