@@ -8,7 +8,9 @@ files are lists of places. Reading back takes byte ranges of the packs in order,
 payloads are never shuffled; equal files are read once.
 
 A retried task writes a pack of a new name; only packs that the index names are read.
-Copies of a chunk in other packs stay there unread.
+Tasks know only their own chunks, so a chunk may be in several packs at first. compact()
+writes the chosen copies anew, pack by pack, and deletes the old packs once the table of
+new places is written: then every chunk is stored once.
 """
 
 from __future__ import annotations
@@ -210,8 +212,53 @@ def _read(folder: str):
     return run
 
 
-def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Store every text of docs in folder: files (doc_id, n_bytes, media_sha256, chunks), and one place for every chunk."""
+def _rewrite(folder: str):
+    """Rows (pack, live: places of the chosen chunks in order) to packs of these chunks only; returns their new places."""
+
+    def run(batches):
+        reader = PackReader(folder)
+        for b in batches:
+            for pack, live in zip(b.column("pack").to_pylist(), b.column("live").to_pylist(), strict=True):
+                writer = PackWriter(folder)
+                for x in live:
+                    writer.add(x["digest"], reader.chunk(pack, x["block"], x["block_bytes"], x["start"], x["n"]))
+                cols = zip(*writer.close(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), *[pa.int64()] * 4), strict=True)], _PLACE)
+
+    return run
+
+
+def _delete(folder: str):
+    def run(batches):
+        system, path = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                info = system.get_file_info(f"{path}/{name}")
+                if info.type != fs.FileType.NotFound:  # a retried task may have been here before
+                    system.delete_file(f"{path}/{name}")
+            yield b
+
+    return run
+
+
+def compact(places: DataFrame, packs: DataFrame, folder: str) -> DataFrame:
+    """places (one for each chunk) after every chunk is written once: new packs hold the chosen copies, the old packs (pack) are deleted.
+
+    A pack is one task's work, of bounded size. The new places are a table before anything is deleted, so executors that
+    are lost in between only leave packs that nothing names.
+    """
+    spark = prepare(places.sparkSession)
+    chosen = places.select("digest", "place.*")
+    live = chosen.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("block", "start", "block_bytes", "n", "digest"))).alias("live"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "digest binary, pack string, block long, block_bytes long, start long, n long"
+    new = stage(live.repartition(tasks, "pack").mapInArrow(_rewrite(folder), schema), "media-compacted")
+    packs.select("pack").distinct().repartition(tasks, "pack").mapInArrow(_delete(folder), "pack string").write.format("noop").mode("overwrite").save()
+    return new.select("digest", F.struct(*_PLACE[1:]).alias("place"))
+
+
+def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Store every text of docs in folder: files (doc_id, n_bytes, media_sha256, chunks), one place for every chunk, and the packs written."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -219,7 +266,7 @@ def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     schema = f"doc_id {kind.simpleString()}, n_bytes long, media_sha256 string, chunks array<binary>, digest binary, pack string, block long, block_bytes long, start long, n long"
     wrote = stage(docs.select("doc_id", "text").mapInArrow(_write(folder, to_arrow_type(kind)), schema), "media-index")
     places = wrote.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*_PLACE[1:])).alias("place"))
-    return wrote.where("digest is null").select(*_FILE), places
+    return wrote.where("digest is null").select(*_FILE), places, wrote.where("digest is not null").select("pack")
 
 
 def rebuild(files: DataFrame, places: DataFrame, folder: str) -> DataFrame:
@@ -242,6 +289,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     stays; further columns are not read. No rows give no rows.
     """
     folder = new_path(docs.sparkSession, "media")
-    files, places = store(docs, folder)
+    files, places, packs = store(docs, folder)
+    places = compact(places, packs, folder)
     read = stage(rebuild(files, places, folder), "media-read")
     return files.select("doc_id", "n_bytes", "media_sha256").join(read, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -670,14 +670,23 @@ def test_gear_chunks():
     assert media.chunk_ends(b"") == [0] and media.chunk_ends(b"ab") == [2]
 
 
-def test_media_store_shares_chunks(spark):
+def test_media_store_shares_chunks(spark, tmp_path):
+    """Tasks that don't see each other's chunks store copies; after compaction every chunk is stored once, and files come back."""
     r = random.Random(9)
     body = "".join(chr(r.randint(97, 122)) for _ in range(60_000))
     docs = docs_of(spark, [(k, f"{k} {body}", "en", "s") for k in range(6)])
-    from skein.plans.runtime import new_path
-
-    files, places = media.store(docs.coalesce(1), new_path(spark, "test"))
-    assert places.count() < 0.4 * sum(len(f.chunks) for f in files.collect())
+    folder = f"file://{tmp_path}"
+    size = lambda: sum(p.stat().st_size for p in tmp_path.glob("*.pack"))
+    files, places, packs = media.store(docs.repartition(3), folder)
+    assert places.count() < 0.4 * sum(len(f.chunks) for f in files.collect()) and packs.distinct().count() == 3
+    before = size()
+    places = media.compact(places, packs, folder)
+    assert size() < 0.6 * before and places.count() == places.select("digest").distinct().count()
+    got = {x.media_sha256: x for x in media.rebuild(files, places, folder).collect()}
+    for f in files.collect():
+        text = f"{f.doc_id} {body}".encode()
+        raw = text + bytes(-len(text) % 64)
+        assert got[f.media_sha256].payload_sha256 == hashlib.sha256(raw).hexdigest()
 
 
 def kneser_ney(text, order, alphabet):
