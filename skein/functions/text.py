@@ -17,6 +17,8 @@ PII = {
     "phone": r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
     "ip_address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
 }
+#: What every match of a kind holds, quickly found: the pattern itself is tried on texts that have it only. No replacement adds any.
+PII_GATES = {"email": "@", "credit_card": "[0-9]{4}", "ssn": "[0-9]{3}-[0-9]", "phone": "[0-9]{3}", "ip_address": r"[0-9]\.[0-9]"}
 MASK_ORDER = ["email", "phone", "ssn", "credit_card", "ip_address"]
 DIRECTIVES = [
     r"ignore\s+(all\s+)?(previous|above|prior|the\s+above)\s+(instructions|prompts|directions)",
@@ -136,18 +138,24 @@ def density(c: Column | str) -> Column:
     return F.when((n > 100) & (ratio > 0.7), "HIGH").when((n > 30) & (ratio > 0.5), "MEDIUM").otherwise("LOW")
 
 
+def _may_have(kind: str, c: Column) -> Column:
+    return c.contains("@") if kind == "email" else c.rlike(PII_GATES[kind])
+
+
 def redacted(c: Column | str) -> tuple[Column, Column]:
     """FLT9: the text with every kind of PII replaced in turn, and the kinds found, each on the text as replaced so far."""
-    out, found = (F.col(c) if isinstance(c, str) else c), []
+    text = F.col(c) if isinstance(c, str) else c
+    out, found = text, []
     for kind, pattern in PII.items():
-        found.append(F.when(out.rlike(pattern), F.lit(kind)))
-        out = F.regexp_replace(out, pattern, f"[REDACTED_{kind.upper()}]")
+        found.append(F.when(_may_have(kind, text) & out.rlike(pattern), F.lit(kind)))
+        out = F.when(_may_have(kind, text), F.regexp_replace(out, pattern, f"[REDACTED_{kind.upper()}]")).otherwise(out)
     return out, F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def pii_counts(c: Column | str) -> dict[str, Column]:
     """FLT8: matches of each kind in the text as it is."""
-    return {kind: F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0)) for kind, p in PII.items()}
+    text = F.col(c) if isinstance(c, str) else c
+    return {kind: F.when(_may_have(kind, text), F.regexp_count(text, F.lit(p))).otherwise(F.lit(0)) for kind, p in PII.items()}
 
 
 def masked(c: Column | str) -> Column:
