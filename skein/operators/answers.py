@@ -9,8 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions import vectors as V
-from skein.operators.search import small
+from skein.operators.search import dense_search, small
 
 # Fixed values that results depend on.
 SIGNATURES = [r"(?m)^\s*(?:def|async\s+def)\s+(\w+(?:\.\w+)*)\s*\(", r"(?m)^\s*([A-Z]\w+(?:\.\w+)*)\s*\(", r"\b(\w+\.\w+(?:\.\w+)*)\s*\(", r"`(\w+(?:\.\w+)*)\s*\(`"]
@@ -159,10 +158,10 @@ def pool_size(top_k: int, rerank_k: int, configured: int = 0) -> int:
 
 def cache_hits(questions: DataFrame, cache: DataFrame, threshold: float, k: int, now: float, ttl: float) -> DataFrame:
     """TOP14/STR3: cached answers (scope, cache_id, vec, created_at) near each question (scope, q_id, vec), fresh and of its scope."""
-    fresh = cache.where(F.col("created_at") > now - ttl).select("scope", "cache_id", F.col("vec").alias("cv"))
-    pairs = questions.join(fresh, "scope").select("q_id", "cache_id", F.round(V.cosine(F.col("vec"), F.col("cv")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    w = W.partitionBy("q_id").orderBy(F.desc("similarity"), "cache_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    fresh = cache.where(F.col("created_at") > now - ttl).select("scope", F.col("cache_id").alias("vec_id"), F.col("vec").alias("embedding"))
+    found = dense_search(fresh, questions.select("scope", "q_id", F.col("vec").alias("q")), k, scope="scope", itself=True)
+    near = found.where(F.col("confidence") >= threshold)
+    return near.select("q_id", F.col("vec_id").alias("cache_id"), F.col("confidence").alias("similarity"), F.col("rank").cast("int").alias("rank"))
 
 
 def enriched(chunks: DataFrame, summaries: DataFrame, key: str, blacklist: list[str], least_chars: int = 200) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators.search import small
+from skein.plans.runtime import prepare, stage
 
 
 def retrieval_rows(ranked: DataFrame, relevant: DataFrame, q: str, item: str, k: int) -> DataFrame:
@@ -59,13 +62,44 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.round(2.0 * both / (F.size(x) + F.size(y)), 6)).otherwise(F.lit(0.0))
 
 
-def medoid(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """AGG26: the member of each group most like the others by summed Jaccard of white-space words; the first of equals."""
+def medoid(rows: DataFrame, group: str, order: str, text: str, part_rows: int = 512) -> DataFrame:
+    """AGG26: the member of each group most like the others by summed Jaccard of white-space words; the first of equals.
+
+    Members of small groups are joined with one another. A group of more than part_rows members is dealt over parts; a task
+    has two of them and returns sums, so that no member is sent for each partner and no pairs leave.
+    """
+    prepare(rows.sparkSession)
     s = rows.select(group, order, F.array_distinct(T.words(F.lower(text))).alias("w"))
-    pairs = s.alias("a").join(s.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{order}") != F.col(f"b.{order}")), "left")
-    score = F.coalesce(T.jaccard(F.col("a.w"), F.col("b.w")), F.lit(0.0))
-    sums = pairs.groupBy(F.col(f"a.{group}").alias(group), F.col(f"a.{order}").alias(order)).agg(F.round(F.sum(score), 6).alias("score"))
-    return sums.groupBy(group).agg(F.max_by(order, F.struct("score", -F.col(order))).alias(order), F.max("score").alias("score"))
+    crowd = stage(rows.groupBy(group).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_n")).where("_n > 1"), "medoid-crowd")
+    few = s.join(crowd, group, "left_anti")
+    pairs = few.alias("a").join(few.alias("b"), (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{order}") != F.col(f"b.{order}")), "left")
+    sums = pairs.select(F.col(f"a.{group}").alias(group), F.col(f"a.{order}").alias(order), F.coalesce(T.jaccard(F.col("a.w"), F.col("b.w")), F.lit(0.0)).alias("s"))
+    dealt = s.join(crowd, group).withColumn("_p", F.pmod(F.xxhash64(order), F.col("_n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select(group, F.least("_p", "_o").alias("_x"), F.greatest("_p", "_o").alias("_y"), "_p", order, "w")
+    kinds = {f.name: f.dataType.simpleString() for f in s.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, part, orders = (table[c].to_numpy() for c in ("_x", "_y", "_p", order))
+        bags = table["w"].to_pylist()
+        names: dict[str, int] = {}
+        at = [[names.setdefault(t, len(names)) for t in bag or ()] for bag in bags]
+        hot = np.zeros((len(bags), len(names)), np.float32)
+        for i, cols in enumerate(at):
+            hot[i, cols] = 1
+        size, out = np.array([len(c) for c in at], float), []
+        left, right = np.flatnonzero(part == x[0]), np.flatnonzero(part == y[0])
+        both = (hot[left] @ hot[right].T).astype(float)
+        every = size[left][:, None] + size[right][None, :] - both
+        like = np.where((every > 0) & (orders[left][:, None] != orders[right][None, :]), both / np.maximum(every, 1), 0.0)
+        out.append((orders[left], like.sum(axis=1)))
+        if x[0] != y[0]:
+            out.append((orders[right], like.sum(axis=0)))
+        keys, values = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({group: pa.array([table[group][0].as_py()] * len(keys), table.schema.field(group).type), order: pa.array(keys), "s": pa.array(values)})
+
+    large = dealt.groupBy(group, "_x", "_y").applyInArrow(run, f"{group} {kinds[group]}, {order} {kinds[order]}, s double")
+    score = sums.unionByName(large).groupBy(group, order).agg(F.round(F.sum("s"), 6).alias("score"))
+    return score.groupBy(group).agg(F.max_by(order, F.struct("score", -F.col(order))).alias(order), F.max("score").alias("score"))
 
 
 def span_iou(gold: DataFrame, predicted: DataFrame, key: str, width: int = 1000) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions import stem
 from skein.functions import text as T
 from skein.functions import vectors as V
-from skein.operators import chunking, crawl, dedup, evaluation, models, ranking, search, series
+from skein.operators import chunking, crawl, dedup, evaluation, metrics, models, ranking, search, series
 from skein.plans import catalog, registry, runtime, store
 from skein.plans import steps as _steps  # noqa: F401
 from skein.sources import files
@@ -346,3 +346,17 @@ def test_scratch_folder_and_pointer(spark, tmp_path):
 def test_newest_rows(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (1, 2, "c"), (2, None, "d")], "k long, v int, t string")
     assert {(r.k, r.t) for r in store.newest(df, "k", "v").collect()} == {(1, "b"), (2, "d")}
+
+
+def test_medoid_of_large_groups(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k % 2 if k < 60 else 7, k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6)))) for k in range(70)]
+    df = spark.createDataFrame(rows, "g long, turn long, text string")
+    plain = {(x.g, x.turn, x.score) for x in metrics.medoid(df, "g", "turn", "text").collect()}
+    assert plain == {(x.g, x.turn, x.score) for x in metrics.medoid(df, "g", "turn", "text", part_rows=9).collect()}
+    bag = {t: set(x.split()) for _, t, x in rows}
+    for g, turn, score in plain:
+        sums = {t: round(sum(len(bag[t] & bag[o]) / len(bag[t] | bag[o]) for h, o, _ in rows if h == g and o != t and bag[t] and bag[o]), 6) for h, t, _ in rows if h == g}
+        assert score == pytest.approx(max(sums.values())) and turn == min(t for t, v in sums.items() if v == pytest.approx(score))
