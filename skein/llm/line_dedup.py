@@ -64,7 +64,7 @@ def levels(lines: DataFrame) -> list[tuple[DataFrame, str]]:
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, th, first, last, lines: maximal runs of non-blank lines (numbered without blank ones) that are later copies."""
+    """doc_id, th, n, first, last, lines: maximal runs of non-blank lines (numbered without blank ones) that are later copies; n: all such lines of the document."""
     depth = round(math.log2(min_lines))
     if 1 << depth != min_lines:
         raise ValueError("min_lines is a power of two")
@@ -74,34 +74,34 @@ def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
     copies = [later(0, F.col("long"))] if found else []
     copies += [later(k, F.lit(True)) for k in range(depth, len(found))]
     if not copies:
-        return lines.where("false").select("doc_id", "th", F.col("at").alias("first"), F.col("at").alias("last"), F.lit(0).cast("long").alias("lines"))
+        return lines.where("false").select("doc_id", "th", F.col("left").alias("n"), F.col("at").alias("first"), F.col("at").alias("last"), F.lit(0).cast("long").alias("lines"))
     windows = copies[0]
     for c in copies[1:]:
         windows = windows.unionByName(c)
-    windows = windows.groupBy("pos").agg(F.max("n").alias("n")).join(lines.select("pos", "doc_id", "th", "at"), "pos")
+    windows = windows.groupBy("pos").agg(F.max("n").alias("n")).join(lines.select("pos", "doc_id", "th", "at", (F.col("at") + F.col("left")).alias("all")), "pos")
     inside = W.partitionBy("doc_id", "th").orderBy("at")
     reach = F.max(F.col("at") + F.col("n")).over(inside.rowsBetween(W.unboundedPreceding, -1))
     marked = windows.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    merged = marked.groupBy("doc_id", "th", "run").agg(F.min("at").alias("first"), (F.max(F.col("at") + F.col("n")) - 1).alias("last"))
-    out = stage(merged.select("doc_id", "th", "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("lines")), "line-runs")
+    merged = marked.groupBy("doc_id", "th", "run").agg(F.first("all").alias("all"), F.min("at").alias("first"), (F.max(F.col("at") + F.col("n")) - 1).alias("last"))
+    out = stage(merged.select("doc_id", "th", F.col("all").alias("n"), "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("lines")), "line-runs")
     for _, path in found:
         drop_path(spark, path)
     return out
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text rid of later copies of repeated line runs, plus n_lines and n_removed.
+    """docs with text rid of later copies of repeated line runs, plus n_lines, n_removed and emptied (no non-blank line is left of some).
 
     Order of copies: doc_id (null first), then the text's hash, then the line. Lines are what stands between \\n; blank
     lines are neither compared nor deleted. Null texts stay null with 0 lines; an empty text is one blank line; very long
     texts are split whole. Rows equal in doc_id and text are one document: they share its fate, and are no copies of each
     other; rows of different texts that share a doc_id, or have none, are told apart by their texts. No rows give no rows.
-    Further columns stay as they are, n_chars among them; columns named n_lines or n_removed are replaced.
+    Further columns stay as they are, n_chars among them; columns named n_lines, n_removed or emptied are replaced.
     """
-    h, id_, th, found_runs, gone, full, gaps = fresh(docs, "_h", "_id", "_th", "_runs", "_gone", "_full", "_gaps")
-    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_list(F.struct("first", "last")).alias(found_runs), F.sum("lines").alias(gone))
+    h, id_, th, found_runs, gone, all_, full, gaps = fresh(docs, "_h", "_id", "_th", "_runs", "_gone", "_all", "_full", "_gaps")
+    found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_list(F.struct("first", "last")).alias(found_runs), F.sum("lines").alias(gone), F.first("n").alias(all_))
     found = found.hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias(h)).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left")
     lines = F.split("text", "\n", -1)
     numbers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BLACK), i)), lambda i: i.isNotNull())
@@ -111,4 +111,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     kept = F.filter(lines, lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
     text = F.when(F.col(gaps).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep], n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep], n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col(gone) == F.col(all_), F.lit(False)).alias("emptied"))
