@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and word-free texts that lost nothing stay as they are. The first copy is that of the smallest doc_id (null
     first), then by a hash of the text, then by line; rows equal in doc_id and text are no copies of each other.
     """
-    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup_lines(docs).where("not emptied")  # a condition on the new text would have it computed again
     size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size).select(*docs.columns)
 
