@@ -845,3 +845,17 @@ def test_mixed_documents_by_row(spark):
         texts.add((g.doc_id, g.source, g.text))
     assert all(abs(words[s] - t) <= 41 for s, (t, _) in goal.items()) and (10, None, None) in texts and len(texts) > 50
     assert sum(g.doc_id == 9 for g in mixing.mixed_documents(docs).collect()) % 2 == 0
+
+
+def test_ranks_of_distinct_rows_need_one_exchange(spark, monkeypatch):
+    """Rows that are to be one meet by the range partitioning itself: a second exchange would undo the order of the ranks."""
+    from skein.llm import ordering
+
+    plans = []
+    monkeypatch.setattr(ordering, "stage", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    rows = [(k % 7 if k % 5 else None, k % 3, k) for k in range(100)] * 2
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    got = ordering.ranked(df, [F.col("a").asc_nulls_first(), F.col("b"), F.col("c")], "r", distinct=["a", "b", "c"]).collect()
+    assert plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    want = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    assert [tuple(r)[:3] for r in sorted(got, key=lambda r: r.r)] == want and sorted(r.r for r in got) == list(range(len(want)))
