@@ -93,6 +93,8 @@ def _blocks(page: str, overrule: bool) -> tuple[list[tuple[str, str]], bool]:
     """The blocks, and whether an article has text under a word's mark only. overrule: such marks end at an article."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, int, bool, int]] = []  # name, mark, whether it is an article, soft marks that it overruled
+    standing: dict[str, int] = {}  # how many of a name are on the stack
+    levels: list[int] = []  # where the blocks are on the stack
     hard = soft = vouched = silent = 0
     buried = False
     shown: list[str] = []
@@ -108,6 +110,9 @@ def _blocks(page: str, overrule: bool) -> tuple[list[tuple[str, str]], bool]:
     def pop():
         nonlocal hard, soft, vouched, silent
         name, mark, main, overruled = stack.pop()
+        standing[name] -= 1
+        if levels and levels[-1] == len(stack):
+            levels.pop()
         hard -= mark == _HARD
         soft += overruled - (mark == _SOFT)
         vouched -= main
@@ -129,7 +134,7 @@ def _blocks(page: str, overrule: bool) -> tuple[list[tuple[str, str]], bool]:
         if name in BLOCK:
             close()
         if m["end"] or m["end2"]:
-            if any(x[0] == name for x in stack):
+            if standing.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -143,16 +148,15 @@ def _blocks(page: str, overrule: bool) -> tuple[list[tuple[str, str]], bool]:
         if name in VOID:
             continue
         if name in BLOCK:  # ends an open paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                if k < len(stack) and stack[k][0] in BLOCK:
-                    break
+            while levels and stack[levels[-1]][0] == "p":
+                for _ in range(len(stack) - levels[-1]):
+                    pop()
+            levels.append(len(stack))
         mark, main, overruled = _mark(name, attrs), name in ("article", "main"), 0
         if main and overrule and mark != _HARD:
             mark, overruled, soft = _NONE, soft, 0
         stack.append((name, mark, main, overruled))
+        standing[name] = standing.get(name, 0) + 1
         hard += mark == _HARD
         soft += mark == _SOFT
         vouched += main
