@@ -30,7 +30,7 @@ _TEXT, _ROLE = re.compile(r"\\|</turn>|###"), re.compile(r"\\|</turn>|###|:")
 _ESCAPED = re.compile(r"\\(\\|</turn>|###|:)")
 _TURN = re.compile(r"### ((?:[^\\:]|\\(?:\\|</turn>|###|:))*+): ((?:[^\\<]|<(?!/turn>)|\\(?:\\|</turn>|###|:))*+)</turn>\n", re.S)
 LEARN = "assistant"
-PACK_PATHS = 128
+PACK_PATHS = 64
 
 _NODE = "start: int, end: int, position: int, parent: int, learn_start: int, learn_end: int, ancestors: array<struct<start: int, end: int>>"
 PACK_SCHEMA = f"pack string, text string, nodes array<struct<{_NODE}>>, leaves array<struct<path: string, node: int>>"
