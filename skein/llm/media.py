@@ -9,8 +9,8 @@ payloads are never shuffled; equal files are read once.
 
 A retried task writes a pack of a new name; only packs that the index names are read.
 Tasks know only their own chunks, so a chunk may be in several packs at first. compact()
-writes the chosen copies anew, pack by pack, and deletes the old packs once the table of
-new places is written: then every chunk is stored once.
+writes the chosen copies of packs with more than WASTE of unread bytes anew, and deletes
+these packs once the table of new places is written.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ UNIT, RATE = 64, 8000
 LEAST, BITS, MOST = 1024, 12, 32768
 BLOCK_BYTES, PACK_BYTES, RANGE_BYTES = 128 << 10, 64 << 20, 1 << 20
 WINDOW = 32
+#: Share of a pack's bytes that copies chosen elsewhere may take before it is written anew.
+WASTE = 0.1
 #: Gear table: a fixed pseudo-random number for each byte.
 GEAR = np.random.default_rng(10).integers(0, 1 << 32, 256, np.uint32)
 
@@ -193,17 +195,17 @@ def feature(samples: bytes) -> str:
 
 
 def _read(folder: str):
-    names = ["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
+    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         reader = PackReader(folder)
         for b in batches:
             rows = []
-            for name, places in zip(b.column("media_sha256").to_pylist(), b.column("places").to_pylist(), strict=True):
+            for name, places in zip(b.column("media").to_pylist(), b.column("places").to_pylist(), strict=True):
                 media = b"".join([reader.chunk(p["pack"], p["block"], p["block_bytes"], p["start"], p["n"]) for p in places])
-                if hashlib.sha256(media).hexdigest() != name:
-                    raise ValueError(f"file {name} isn't what was stored")
+                if hashlib.sha256(media).digest() != name:
+                    raise ValueError(f"file {name.hex()} isn't what was stored")
                 samples = from_wav(media)
                 rows.append((name, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), feature(samples)))
             if rows:
@@ -241,24 +243,27 @@ def _delete(folder: str):
     return run
 
 
-def compact(places: DataFrame, packs: DataFrame, folder: str) -> DataFrame:
-    """places (one for each chunk) after every chunk is written once: new packs hold the chosen copies, the old packs (pack) are deleted.
+def compact(places: DataFrame, written: DataFrame, folder: str, waste: float = WASTE) -> DataFrame:
+    """places (one for each chunk) after packs with more than waste of unread bytes are gone: new packs hold their chosen copies.
 
-    A pack is one task's work, of bounded size. The new places are a table before anything is deleted, so executors that
-    are lost in between only leave packs that nothing names.
+    written: pack and n of all copies written. A pack is one task's work, of bounded size. The new places are a table before
+    anything is deleted, so executors that are lost in between only leave packs that nothing names. With waste 0 every
+    chunk is stored once.
     """
     spark = prepare(places.sparkSession)
     chosen = places.select("digest", "place.*")
-    live = chosen.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("block", "start", "block_bytes", "n", "digest"))).alias("live"))
+    sums = written.groupBy("pack").agg(F.sum("n").alias("all")).join(chosen.groupBy("pack").agg(F.sum("n").alias("read")), "pack", "left")
+    poor = stage(sums.where(F.coalesce("read", F.lit(0)) < F.col("all") * (1 - waste)).select("pack"), "media-poor")
+    live = chosen.join(poor, "pack").groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("block", "start", "block_bytes", "n", "digest"))).alias("live"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "digest binary, pack string, block long, block_bytes long, start long, n long"
     new = stage(live.repartition(tasks, "pack").mapInArrow(_rewrite(folder), schema), "media-compacted")
-    packs.select("pack").distinct().repartition(tasks, "pack").mapInArrow(_delete(folder), "pack string").write.format("noop").mode("overwrite").save()
-    return new.select("digest", F.struct(*_PLACE[1:]).alias("place"))
+    poor.repartition(tasks, "pack").mapInArrow(_delete(folder), "pack string").write.format("noop").mode("overwrite").save()
+    return chosen.join(poor, "pack", "left_anti").select(*_PLACE).unionByName(new).select("digest", F.struct(*_PLACE[1:]).alias("place"))
 
 
 def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Store every text of docs in folder: files (doc_id, n_bytes, media_sha256, chunks), one place for every chunk, and the packs written."""
+    """Store every text of docs in folder: files (doc_id, n_bytes, media_sha256, chunks), one place for every chunk, and all copies written (pack, n)."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -266,20 +271,20 @@ def store(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame
     schema = f"doc_id {kind.simpleString()}, n_bytes long, media_sha256 string, chunks array<binary>, digest binary, pack string, block long, block_bytes long, start long, n long"
     wrote = stage(docs.select("doc_id", "text").mapInArrow(_write(folder, to_arrow_type(kind)), schema), "media-index")
     places = wrote.where("digest is not null").groupBy("digest").agg(F.min(F.struct(*_PLACE[1:])).alias("place"))
-    return wrote.where("digest is null").select(*_FILE), places, wrote.where("digest is not null").select("pack")
+    return wrote.where("digest is null").select(*_FILE), places, wrote.where("digest is not null").select("pack", "n")
 
 
 def rebuild(files: DataFrame, places: DataFrame, folder: str) -> DataFrame:
-    """media_sha256, payload_bytes, payload_sha256, tail_crc32, media_bytes, feature of every distinct file, from its stored chunks."""
+    """media (the SHA-256 of media_sha256, as bytes), payload_bytes, payload_sha256, tail_crc32, media_bytes, feature of every distinct file, from its stored chunks."""
     spark = prepare(files.sparkSession)
-    distinct = files.groupBy("media_sha256").agg(F.first("chunks").alias("chunks"))
-    refs = distinct.select("media_sha256", F.posexplode("chunks").alias("k", "digest")).join(places, "digest")
-    lists = refs.groupBy("media_sha256").agg(F.sort_array(F.collect_list(F.struct("k", "place"))).alias("l"))
-    lists = lists.select("media_sha256", F.transform("l", lambda x: x["place"]).alias("places"))
+    distinct = files.groupBy(F.unhex("media_sha256").alias("media")).agg(F.first("chunks").alias("chunks"))
+    refs = distinct.select("media", F.posexplode("chunks").alias("k", "digest")).join(places, "digest")
+    lists = refs.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("k", "place"))).alias("l"))
+    lists = lists.select("media", F.transform("l", lambda x: x["place"]).alias("places"))
     lists = lists.withColumn("at", F.struct(F.col("places")[0]["pack"].alias("p"), F.col("places")[0]["block"].alias("b"), F.col("places")[0]["start"].alias("s")))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = stage(lists, "media-lists").repartitionByRange(tasks, "at").sortWithinPartitions("at").select("media_sha256", "places")
-    return laid.mapInArrow(_read(folder), "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+    laid = stage(lists, "media-lists").repartitionByRange(tasks, "at").sortWithinPartitions("at").select("media", "places")
+    return laid.mapInArrow(_read(folder), "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -289,7 +294,8 @@ def round_trip(docs: DataFrame) -> DataFrame:
     stays; further columns are not read. No rows give no rows.
     """
     folder = new_path(docs.sparkSession, "media")
-    files, places, packs = store(docs, folder)
-    places = compact(places, packs, folder)
+    files, places, written = store(docs, folder)
+    places = compact(places, written, folder)
     read = stage(rebuild(files, places, folder), "media-read")
-    return files.select("doc_id", "n_bytes", "media_sha256").join(read, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    own = files.select("doc_id", "n_bytes", "media_sha256", F.unhex("media_sha256").alias("media"))
+    return own.join(read, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -677,12 +677,13 @@ def test_media_store_shares_chunks(spark, tmp_path):
     docs = docs_of(spark, [(k, f"{k} {body}", "en", "s") for k in range(6)])
     folder = f"file://{tmp_path}"
     size = lambda: sum(p.stat().st_size for p in tmp_path.glob("*.pack"))
-    files, places, packs = media.store(docs.repartition(3), folder)
-    assert places.count() < 0.4 * sum(len(f.chunks) for f in files.collect()) and packs.distinct().count() == 3
+    files, places, written = media.store(docs.repartition(3), folder)
+    assert places.count() < 0.4 * sum(len(f.chunks) for f in files.collect()) and written.select("pack").distinct().count() == 3
     before = size()
-    places = media.compact(places, packs, folder)
+    assert media.compact(places, written, folder, 1.0).count() == places.count() and size() == before
+    places = media.compact(places, written, folder)
     assert size() < 0.6 * before and places.count() == places.select("digest").distinct().count()
-    got = {x.media_sha256: x for x in media.rebuild(files, places, folder).collect()}
+    got = {bytes(x.media).hex(): x for x in media.rebuild(files, places, folder).collect()}
     for f in files.collect():
         text = f"{f.doc_id} {body}".encode()
         raw = text + bytes(-len(text) % 64)
