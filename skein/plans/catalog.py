@@ -13,7 +13,8 @@ from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import answers, chunking, crawl, dedup, metrics, pages, ranking, search, series
 from skein.plans.registry import Query, query
-from skein.plans.runtime import prepare, table
+from skein.plans.runtime import prepare
+from skein.plans.runtime import spread_table as table
 from skein.sources import files
 
 def _list(values: list[str]) -> str:

@@ -107,3 +107,15 @@ def read_file(spark: SparkSession, path: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A table of fewer files than cores and no more bytes than this is dealt out to all cores: one file may be one row group, and so one task.
+SPREAD_BYTES = 64 << 20
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """table(), dealt out to all cores where it is small and of few files. What work there is on small tables is by text, not by bytes."""
+    df = table(spark, sf_dir, name)
+    at, system = _file_system(spark, f"{sf_dir}/{name}.parquet")
+    found, cores = system.getContentSummary(at), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if found.getLength() <= SPREAD_BYTES and found.getFileCount() < cores else df

@@ -15,7 +15,8 @@ from skein.functions import text as T
 from skein.operators import answers, chunking, crawl, dedup, evaluation, metrics, models, pages, ranking, search, series
 from skein.plans import catalog, store
 from skein.plans.registry import query
-from skein.plans.runtime import new_path, prepare, replace_file, table
+from skein.plans.runtime import new_path, prepare, replace_file
+from skein.plans.runtime import spread_table as table
 from skein.sources import files
 from skein.streaming import events as streams
 
