@@ -35,7 +35,7 @@ def test_tokenizers():
     assert stem.word_tokens("The quick brown fox is in the box") == ["quick", "brown", "fox", "box"] and stem.word_tokens("the a") == stem.word_tokens("") == []
     got = stem.namespace_tokens("spark.sql.functions.row_number")
     assert got == ["spark.sql.functions.row_number", "spark", "sql", "function", "row_numb"]
-    assert stem.namespace_tokens("data/engineering/copilot")[0] == "data/engineering/copilot"
+    assert stem.namespace_tokens("lake/raw/tables")[0] == "lake/raw/tables"
     version = stem.namespace_tokens("use v3.4.1 now")
     assert version == ["v3.4.1", "v3", "use", "now"] and stem.namespace_tokens("Spark.SQL") == stem.namespace_tokens("spark.sql")
     url = stem.namespace_tokens("see https://spark.apache.org/docs/latest")
