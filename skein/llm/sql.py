@@ -109,5 +109,13 @@ FROM t GROUP BY conv_id
 """
 
 
+_EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op8_chat": _CHAT}
+    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op8_chat": _CHAT, "op13_exact_dedup": _EXACT}
