@@ -12,6 +12,8 @@ FREQUENT of all (document, pair) rows are at most FREQUENT and are broadcast; th
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 from itertools import chain
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 from skein.plans.runtime import prepare, stage
 
 #: Bytes of texts that a task aligns at once (a longer text by itself), and of stretches in one call of a tokenizer.
-GATHER, CALL = 8 << 20, 1 << 15
+GATHER, CALL = 16 << 20, 1 << 15
+#: Stretches of more characters go to A's own library, others to one that merges short words faster.
+LONG = 500
+#: Fixed value: how A cuts a text before it merges.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: At most so many pairs are broadcast, of 24 bytes each.
 FREQUENT = 1 << 18
 #: A stretch: white space and what follows up to the next space after a black character; white space at the end stays with the last one.
@@ -39,22 +45,24 @@ _SQL = {
     "under": "SELECT b.seg, b.s, a.id AS x, b.id AS y, b.s = a.s AS cut FROM b ASOF JOIN a ON b.s >= a.s",
     # all overlaps: the first of these, and the B tokens that begin inside an A token
     "link": "SELECT seg, x, y, count(*) AS m FROM (SELECT seg, x, y FROM over UNION ALL SELECT seg, x, y FROM under WHERE NOT cut) GROUP BY ALL",
-    "ga": "SELECT seg, s, x AS id, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM over",
-    "gb": "SELECT seg, s, y AS id, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM under",
-    "shown": """
-      SELECT ga.seg, ga.g, ga.n AS n_a, gb.n AS n_b, ga.ids || '|' || gb.ids AS ids
-      FROM (SELECT seg, g, count(*) AS n, string_agg(id, ',' ORDER BY s) AS ids FROM ga GROUP BY seg, g) ga
-      JOIN (SELECT g, count(*) AS n, string_agg(id, ',' ORDER BY s) AS ids FROM gb GROUP BY g) gb ON ga.g = gb.g""",
+    "ga": "SELECT seg, s, x AS id, cut, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM over",
+    "gb": "SELECT seg, s, y AS id, cut, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM under",
     "per_seg": """
-      SELECT seg, n_a, n_b, n_groups, n_links, ids
-      FROM (SELECT seg, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS n_groups, string_agg(ids, ';' ORDER BY g) AS ids FROM shown GROUP BY seg)
-      JOIN (SELECT seg, sum(m)::BIGINT AS n_links FROM link GROUP BY seg) USING (seg)""",
+      SELECT a.seg, n_a, n_b, n_groups, n_links
+      FROM (SELECT seg, count(*) AS n_a, sum(cut::INT)::BIGINT AS n_groups FROM over GROUP BY seg) a
+      JOIN (SELECT seg, count(*) AS n_b FROM under GROUP BY seg) b ON a.seg = b.seg
+      JOIN (SELECT seg, sum(m)::BIGINT AS n_links FROM link GROUP BY seg) l ON a.seg = l.seg""",
     "pair": "SELECT doc, x, y, sum(m * c)::BIGINT AS m FROM (SELECT doc, seg, count(*) AS c FROM occ GROUP BY ALL) JOIN link USING (seg) GROUP BY ALL",
 }
+#: The tokens group by group, A's before B's; kind: 0 inside a side of a group, 1 first of A's, 2 first of B's.
+_SHOWN = """
+  SELECT seg, id, kind FROM (
+    SELECT seg, id, s, g, 0 AS side, cut::INT AS kind FROM ga UNION ALL SELECT seg, id, s, g, 1 AS side, 2 * cut::INT AS kind FROM gb)
+  ORDER BY g, side, s"""
 _DOCS = """
-  SELECT p.doc, n_a, n_b, n_groups, n_links, groups_sha256, x, y, m
-  FROM (SELECT doc, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, sum(n_groups)::BIGINT AS n_groups, sum(n_links)::BIGINT AS n_links,
-               sha256(string_agg(ids, ';' ORDER BY pos)) AS groups_sha256 FROM occ JOIN per_seg USING (seg) GROUP BY doc) d
+  SELECT p.doc, n_a, n_b, n_groups, n_links, x, y, m
+  FROM (SELECT doc, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, sum(n_groups)::BIGINT AS n_groups, sum(n_links)::BIGINT AS n_links
+        FROM occ JOIN per_seg USING (seg) GROUP BY doc) d
   JOIN (SELECT doc, list(x) AS x, list(y) AS y, list(m) AS m FROM pair GROUP BY doc) p ON d.doc = p.doc
   ORDER BY p.doc"""
 _COUNTS = "SELECT list(x) AS x, list(y) AS y, list(c) AS m FROM (SELECT x, y, count(*) AS c FROM pair GROUP BY x, y) HAVING count(*) > 0"
@@ -71,26 +79,35 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, special = spec["model"]["vocab"], {t["id"] for t in spec["added_tokens"]}
+        merged = [vocab[m.replace(" ", "") if isinstance(m, str) else m[0] + m[1]] for m in spec["model"]["merges"]]
+        if merged != sorted(merged) or spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("A is a tokenizer of another kind")
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = iter(range(0x100, 0x200))
         byte = {chr(b) if b in shown else chr(next(rest)): b for b in range(256)}
         names = {i: t for t, i in self.a.get_vocab().items()}
-        plain = [names.get(i, "") for i in range(max(names) + 1)]
-        self.bytes_a = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in plain]
+        self.bytes_a = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))]
+        self.short = Encoding("a", pat_str=CUT, mergeable_ranks={self.bytes_a[i]: i for i in vocab.values() if i not in special}, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of B has a space after another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.len_a, self.len_b = (np.array([len(x) for x in names], np.int64) for names in (self.bytes_a, self.bytes_b))
+        self.len_a, self.len_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
+        self.shown = [f"{sep}{i}" for sep in (",", ";", "|") for i in range(max(len(self.bytes_a), len(pieces)))]
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Of strings that start with a space."""
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+    def ids(self, texts: list[str], short: bool) -> tuple[list[list[int]], list[list[int]]]:
+        """Of strings that start with a space; short: none has a stretch of more than LONG characters."""
+        a = [self.short.encode_ordinary(t) for t in texts] if short else [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
 
     def lossless(self, text: str, a: list[int], b: list[int]) -> bool:
         raw = text.encode()
@@ -98,25 +115,18 @@ class Pair:
 
     def tables(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], set[int]]:
         """seg, id, s of A's and of B's tokens over the stretches' bytes laid end to end; the stretches that don't come back from their tokens, which have none."""
-        calls, size = [[]], 0
+        spans, bad, call, size = [], set(), [], 0
         for k, t in enumerate(stretches):
-            if size + len(t) > CALL and calls[-1]:
-                calls.append([])
-                size = 0
-            calls[-1].append(k)
-            size += len(t)
-        joined = ["".join([stretches[k] for k in c]) for c in calls]
-        spans, bad = [], set()
-        for lo in range(0, len(joined), 16):
-            for c, t, a, b in zip(calls[lo : lo + 16], joined[lo : lo + 16], *self.ids(joined[lo : lo + 16]), strict=True):
-                if self.lossless(t, a, b):
-                    spans.append((c, a, b))
-                    continue
-                for k, x, y in zip(c, *self.ids([stretches[k] for k in c]), strict=True):
-                    if self.lossless(stretches[k], x, y):
-                        spans.append(([k], x, y))
-                    else:
-                        bad.add(k)
+            if call and (size + len(t) > CALL or len(t) > LONG):
+                self._call(stretches, call, True, spans, bad)
+                call, size = [], 0
+            if len(t) > LONG:
+                self._call(stretches, [k], False, spans, bad)
+            else:
+                call.append(k)
+                size += len(t)
+        if call:
+            self._call(stretches, call, True, spans, bad)
         order = np.fromiter(chain.from_iterable(c for c, _, _ in spans), np.int64)
         ends = np.cumsum(np.fromiter((len(stretches[k].encode()) for k in order), np.int64, len(order)))
         out = []
@@ -128,11 +138,24 @@ class Pair:
             out.append([order[np.searchsorted(ends, e - lens[flat], side="right")].astype(np.int32), flat, e - lens[flat]])
         return out[0], out[1], bad
 
-    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[np.ndarray]]:
-        """doc and seg of every occurrence, the distinct stretches and their tables; texts that their stretches don't give back are encoded whole, and have no occurrence if even so they aren't."""
-        number: dict[str, int] = {}
-        found = [[number.setdefault(p, len(number)) for p in STRETCH.findall(" " + t)] if t else [] for t in texts]
-        names = list(number)
+    def _call(self, stretches: list[str], call: list[int], short: bool, spans: list, bad: set[int]) -> None:
+        """The tokens of some stretches laid end to end, or, where bytes are lost, of each by itself."""
+        text = "".join([stretches[k] for k in call])
+        (a,), (b,) = self.ids([text], short)
+        if self.lossless(text, a, b):
+            spans.append((call, a, b))
+        elif len(call) == 1:
+            bad.add(call[0])
+        else:
+            for k in call:
+                self._call(stretches, [k], short, spans, bad)
+
+    def stretches(self, texts: list[str]) -> tuple[list[list[int]], list[list[np.ndarray]]]:
+        """Each text's stretches by number, and the tables of their tokens; texts that their stretches don't give back are encoded whole, and have no stretch if even so they aren't."""
+        parts = [STRETCH.findall(" " + t) if t else [] for t in texts]
+        names = list(dict.fromkeys(chain.from_iterable(parts)))
+        number = {p: k for k, p in enumerate(names)}
+        found = [list(map(number.__getitem__, p)) for p in parts]
         a, b, bad = self.tables(names)
         if bad:
             whole = [k for k, segs in enumerate(found) if not bad.isdisjoint(segs)]
@@ -140,7 +163,7 @@ class Pair:
                 found[k] = []
             own = [" " + texts[k] for k in whole]
             base = max((int(x[2][-1]) for x in (a, b) if len(x[2])), default=0) + max(self.len_a.max(), self.len_b.max())
-            for k, t, x, y in zip(whole, own, *self.ids(own), strict=True):
+            for k, t, x, y in zip(whole, own, *self.ids(own, False), strict=True):
                 if self.lossless(t, x, y):
                     found[k] = [len(names)]
                     for table, ids, lens in ((a, x, self.len_a), (b, y, self.len_b)):
@@ -148,24 +171,30 @@ class Pair:
                         table[:] = [np.concatenate(z) for z in zip(table, (np.full(len(flat), len(names), np.int32), flat, base + np.cumsum(lens[flat]) - lens[flat]), strict=True)]
                     base += len(t.encode())
                     names.append(t)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
-        return doc, np.fromiter(chain.from_iterable(found), np.int32), names, [a, b]
+        return found, [a, b]
 
 
 def _aligned(pair: Pair, texts: list[str]) -> tuple[pa.Table, pa.Table]:
     """A row (doc, counts, digest, pair lists) of every text with tokens, and one row of partial pair counts."""
     import duckdb
 
-    doc, seg, _, (a, b) = pair.stretches(texts)
+    found, (a, b) = pair.stretches(texts)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
     with duckdb.connect(config={"threads": 1, "temp_directory": "", "autoload_known_extensions": False, "autoinstall_known_extensions": False}) as con:
         for name, cols in (("a", a), ("b", b)):
             con.register(f"{name}_arrow", pa.table(dict(zip(("seg", "id", "s"), map(pa.array, cols), strict=True))))
             con.execute(f"CREATE TEMP TABLE {name} AS FROM {name}_arrow")
-        con.register("occ_arrow", pa.table({"doc": doc, "seg": seg, "pos": np.arange(len(doc), dtype=np.int32)}))
+        con.register("occ_arrow", pa.table({"doc": doc, "seg": np.fromiter(chain.from_iterable(found), np.int32)}))
         con.execute("CREATE TEMP TABLE occ AS FROM occ_arrow")
         for name, sql in _SQL.items():
             con.execute(f"CREATE TEMP TABLE {name} AS {sql}")
-        return con.sql(_DOCS).to_arrow_table(), con.sql(_COUNTS).to_arrow_table()
+        docs, counts, shown = (con.sql(sql).to_arrow_table() for sql in (_DOCS, _COUNTS, _SHOWN))
+    seg, width = shown.column("seg").to_numpy(), len(pair.shown) // 3
+    tokens = list(map(pair.shown.__getitem__, (shown.column("kind").to_numpy() * width + shown.column("id").to_numpy()).tolist()))
+    bounds = [*np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]).tolist(), len(seg)] if len(seg) else [0]
+    groups = dict(zip(seg[bounds[:-1]].tolist(), ("".join(tokens[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)), strict=True))
+    digests = [hashlib.sha256("".join(map(groups.__getitem__, found[k]))[1:].encode()).hexdigest() for k in docs.column("doc").to_pylist()]
+    return docs.append_column("groups_sha256", pa.array(digests, pa.string())), counts
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
