@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import align, bpe, chat, embeddings, exact_dedup, html_extract, langid, line_dedup, media, mixing, simhash, warc
+from skein.llm import align, bpe, chat, embeddings, exact_dedup, html_extract, langid, line_dedup, media, mixing, simhash, spelling, warc
 from skein.plans.runtime import table
 
 
@@ -59,6 +59,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+#: op11 lets a word lose a character in every so many documents that hold it.
+SPOIL = 31
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), SPOIL))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
@@ -68,5 +76,5 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_simhash, op3_embeddings, op4_html, op5_warc, op6_line_dedup, op7_bpe, op8_chat, op9_language_id, op10_media, op12_alignment, op13_exact_dedup]
+    found = [op1_mixing, op2_simhash, op3_embeddings, op4_html, op5_warc, op6_line_dedup, op7_bpe, op8_chat, op9_language_id, op10_media, op11_spelling, op12_alignment, op13_exact_dedup]
     return {f.__name__: f for f in found}

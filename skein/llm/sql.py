@@ -109,6 +109,38 @@ FROM t GROUP BY conv_id
 """
 
 
+_SPELLING = """
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT w, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(ord(x) - 64 AS BIGINT)] END)) AS b
+  FROM runs WHERE length(w) >= 7),
+hashed AS (
+  SELECT w, c, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h FROM bytes, crc),
+spoilt AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.d = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.d = words.word),
+best AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs),
+formed AS (
+  SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * words.n THEN b END AS form, CASE WHEN best.n >= 10 * words.n THEN best.n END AS form_n
+  FROM words LEFT JOIN best ON a = word AND r = 1),
+follow AS (
+  SELECT word, word AS root, form AS ahead FROM formed
+  UNION ALL SELECT follow.word, formed.word, formed.form FROM follow JOIN formed ON formed.word = follow.ahead)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM follow WHERE ahead IS NULL) USING (word)
+"""
+
 _EXACT = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -118,4 +150,4 @@ FROM d WINDOW g AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op8_chat": _CHAT, "op13_exact_dedup": _EXACT}
+    return {"op1_mixing": _MIX, "op3_embeddings": _VECTORS, "op5_warc": _WARC, "op6_line_dedup": _LINES, "op8_chat": _CHAT, "op11_spelling": _SPELLING, "op13_exact_dedup": _EXACT}
