@@ -16,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from skein.plans.runtime import prepare, stage
 
 #: Bytes of texts that a task aligns at once (a longer text by itself), and of stretches in one call of a tokenizer.
-GATHER, CALL = 16 << 20, 1 << 15
+GATHER, CALL = 6 << 20, 1 << 15
 #: Stretches of more characters go to A's own library, others to one that merges short words faster.
 LONG = 500
 #: Fixed value: how A cuts a text before it merges.
@@ -45,8 +46,12 @@ _SQL = {
     "under": "SELECT b.seg, b.s, a.id AS x, b.id AS y, b.s = a.s AS cut FROM b ASOF JOIN a ON b.s >= a.s",
     # all overlaps: the first of these, and the B tokens that begin inside an A token
     "link": "SELECT seg, x, y, count(*) AS m FROM (SELECT seg, x, y FROM over UNION ALL SELECT seg, x, y FROM under WHERE NOT cut) GROUP BY ALL",
-    "ga": "SELECT seg, s, x AS id, cut, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM over",
-    "gb": "SELECT seg, s, y AS id, cut, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM under",
+    # the tokens group by group, A's before B's; kind: 0 inside a side of a group, 1 first of A's, 2 first of B's
+    "shown": """
+      SELECT seg, id, kind FROM (
+        SELECT seg, s, x AS id, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS g, 0 AS side, cut::INT AS kind FROM over
+        UNION ALL SELECT seg, s, y, sum(cut::INT) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING), 1, 2 * cut::INT FROM under)
+      ORDER BY g, side, s""",
     "per_seg": """
       SELECT a.seg, n_a, n_b, n_groups, n_links
       FROM (SELECT seg, count(*) AS n_a, sum(cut::INT)::BIGINT AS n_groups FROM over GROUP BY seg) a
@@ -54,11 +59,6 @@ _SQL = {
       JOIN (SELECT seg, sum(m)::BIGINT AS n_links FROM link GROUP BY seg) l ON a.seg = l.seg""",
     "pair": "SELECT doc, x, y, sum(m * c)::BIGINT AS m FROM (SELECT doc, seg, count(*) AS c FROM occ GROUP BY ALL) JOIN link USING (seg) GROUP BY ALL",
 }
-#: The tokens group by group, A's before B's; kind: 0 inside a side of a group, 1 first of A's, 2 first of B's.
-_SHOWN = """
-  SELECT seg, id, kind FROM (
-    SELECT seg, id, s, g, 0 AS side, cut::INT AS kind FROM ga UNION ALL SELECT seg, id, s, g, 1 AS side, 2 * cut::INT AS kind FROM gb)
-  ORDER BY g, side, s"""
 _DOCS = """
   SELECT p.doc, n_a, n_b, n_groups, n_links, x, y, m
   FROM (SELECT doc, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, sum(n_groups)::BIGINT AS n_groups, sum(n_links)::BIGINT AS n_links
@@ -133,7 +133,7 @@ class Pair:
         for lens, ids in ((self.len_a, [a for _, a, _ in spans]), (self.len_b, [b for _, _, b in spans])):
             flat = np.fromiter(chain.from_iterable(ids), np.int32)
             e = np.cumsum(lens[flat]) if len(flat) else np.zeros(0, np.int64)
-            if len(ends) and not np.isin(ends, e, assume_unique=True).all():
+            if len(ends) and not np.array_equal(e[np.minimum(np.searchsorted(e, ends), len(e) - 1)], ends):
                 raise ValueError("a token crosses the boundary of a stretch")
             out.append([order[np.searchsorted(ends, e - lens[flat], side="right")].astype(np.int32), flat, e - lens[flat]])
         return out[0], out[1], bad
@@ -150,22 +150,23 @@ class Pair:
             for k in call:
                 self._call(stretches, [k], short, spans, bad)
 
-    def stretches(self, texts: list[str]) -> tuple[list[list[int]], list[list[np.ndarray]]]:
+    def stretches(self, texts: list[str]) -> tuple[list[array], list[list[np.ndarray]]]:
         """Each text's stretches by number, and the tables of their tokens; texts that their stretches don't give back are encoded whole, and have no stretch if even so they aren't."""
         parts = [STRETCH.findall(" " + t) if t else [] for t in texts]
         names = list(dict.fromkeys(chain.from_iterable(parts)))
         number = {p: k for k, p in enumerate(names)}
-        found = [list(map(number.__getitem__, p)) for p in parts]
+        found = [array("i", map(number.__getitem__, p)) for p in parts]
+        del parts, number
         a, b, bad = self.tables(names)
         if bad:
             whole = [k for k, segs in enumerate(found) if not bad.isdisjoint(segs)]
             for k in whole:
-                found[k] = []
+                found[k] = array("i")
             own = [" " + texts[k] for k in whole]
             base = max((int(x[2][-1]) for x in (a, b) if len(x[2])), default=0) + max(self.len_a.max(), self.len_b.max())
             for k, t, x, y in zip(whole, own, *self.ids(own, False), strict=True):
                 if self.lossless(t, x, y):
-                    found[k] = [len(names)]
+                    found[k] = array("i", [len(names)])
                     for table, ids, lens in ((a, x, self.len_a), (b, y, self.len_b)):
                         flat = np.array(ids, np.int32)
                         table[:] = [np.concatenate(z) for z in zip(table, (np.full(len(flat), len(names), np.int32), flat, base + np.cumsum(lens[flat]) - lens[flat]), strict=True)]
@@ -178,23 +179,36 @@ def _aligned(pair: Pair, texts: list[str]) -> tuple[pa.Table, pa.Table]:
     """A row (doc, counts, digest, pair lists) of every text with tokens, and one row of partial pair counts."""
     import duckdb
 
-    found, (a, b) = pair.stretches(texts)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found])
+    found, tokens = pair.stretches(texts)
     with duckdb.connect(config={"threads": 1, "temp_directory": "", "autoload_known_extensions": False, "autoinstall_known_extensions": False}) as con:
-        for name, cols in (("a", a), ("b", b)):
-            con.register(f"{name}_arrow", pa.table(dict(zip(("seg", "id", "s"), map(pa.array, cols), strict=True))))
-            con.execute(f"CREATE TEMP TABLE {name} AS FROM {name}_arrow")
-        con.register("occ_arrow", pa.table({"doc": doc, "seg": np.fromiter(chain.from_iterable(found), np.int32)}))
-        con.execute("CREATE TEMP TABLE occ AS FROM occ_arrow")
-        for name, sql in _SQL.items():
-            con.execute(f"CREATE TEMP TABLE {name} AS {sql}")
-        docs, counts, shown = (con.sql(sql).to_arrow_table() for sql in (_DOCS, _COUNTS, _SHOWN))
+
+        def load(name: str, cols: dict[str, np.ndarray]) -> None:
+            con.register("arrow", pa.table(cols))
+            con.execute(f"CREATE TEMP TABLE {name} AS FROM arrow")
+            con.unregister("arrow")
+
+        for name in "ba":
+            load(name, dict(zip(("seg", "id", "s"), tokens.pop(), strict=True)))
+        for name in ("over", "under"):
+            con.execute(f"CREATE TEMP TABLE {name} AS {_SQL[name]}")
+        con.execute("DROP TABLE a; DROP TABLE b")
+        groups = _groups(pair, con.sql(_SQL["shown"]).to_arrow_table())
+        for name in ("link", "per_seg"):
+            con.execute(f"CREATE TEMP TABLE {name} AS {_SQL[name]}")
+        con.execute("DROP TABLE over; DROP TABLE under")
+        load("occ", {"doc": np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in found]), "seg": np.fromiter(chain.from_iterable(found), np.int32)})
+        con.execute(f"CREATE TEMP TABLE pair AS {_SQL['pair']}")
+        docs, counts = con.sql(_DOCS).to_arrow_table(), con.sql(_COUNTS).to_arrow_table()
+    digests = [hashlib.sha256("".join(map(groups.__getitem__, found[k]))[1:].encode()).hexdigest() for k in docs.column("doc").to_pylist()]
+    return docs.append_column("groups_sha256", pa.array(digests, pa.string())), counts
+
+
+def _groups(pair: Pair, shown: pa.Table) -> dict[int, str]:
+    """The groups of each stretch as text."""
     seg, width = shown.column("seg").to_numpy(), len(pair.shown) // 3
     tokens = list(map(pair.shown.__getitem__, (shown.column("kind").to_numpy() * width + shown.column("id").to_numpy()).tolist()))
     bounds = [*np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]).tolist(), len(seg)] if len(seg) else [0]
-    groups = dict(zip(seg[bounds[:-1]].tolist(), ("".join(tokens[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)), strict=True))
-    digests = [hashlib.sha256("".join(map(groups.__getitem__, found[k]))[1:].encode()).hexdigest() for k in docs.column("doc").to_pylist()]
-    return docs.append_column("groups_sha256", pa.array(digests, pa.string())), counts
+    return dict(zip(seg[bounds[:-1]].tolist(), ("".join(tokens[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)), strict=True))
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
