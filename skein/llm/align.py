@@ -117,11 +117,12 @@ class Pair:
         """seg, id, s of A's and of B's tokens over the stretches' bytes laid end to end; the stretches that don't come back from their tokens, which have none."""
         spans, bad, call, size = [], set(), [], 0
         for k, t in enumerate(stretches):
-            if call and (size + len(t) > CALL or len(t) > LONG):
+            alone = len(t) > LONG or t[-1].isspace()  # white space at a text's end is no place to go on from
+            if call and (alone or size + len(t) > CALL):
                 self._call(stretches, call, True, spans, bad)
                 call, size = [], 0
-            if len(t) > LONG:
-                self._call(stretches, [k], False, spans, bad)
+            if alone:
+                self._call(stretches, [k], len(t) <= LONG, spans, bad)
             else:
                 call.append(k)
                 size += len(t)
