@@ -224,27 +224,29 @@ def fit(samples: dict[str, list[str]], calibrate: dict[str, list[str]] | None =
 def train(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """A model of the labelled documents that are not held out; None where there are none.
 
-    The sample is the same for the same rows: the smallest hashes of doc_id, thinned before they are ranked, so that a
-    language with a third of all rows is no large window. A longer document is fitted on by a window of it, placed by a
-    hash; where that holds no letter, the window begins at the first one.
+    The sample is the same for the same rows: the smallest hashes of doc_id and text, thinned before they are ranked, so
+    that a language with a third of all rows is no large window. Rows equal in both are one, and are counted once; rows
+    that share a doc_id, or have none, are told apart by their texts. A longer document is fitted on by a window of it,
+    placed by a hash; where that holds no letter, the window begins at the first one.
     """
-    h = F.xxhash64(F.lit("langid"), F.col("doc_id"))
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", h.alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    h = F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("lang", "text", h.alias("h"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(min(1.0, 3 * sample / n)))])
     thin = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    start = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.length("text") - sample_chars + 1) + 1
+    thin = thin.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    start = F.pmod(F.xxhash64(F.lit("window"), "h"), F.length("text") - sample_chars + 1) + 1
     window = F.substring("text", start, F.lit(sample_chars))
     lettered = F.substring(F.regexp_substr("text", F.lit(r"(?s)\p{L}.*")), 1, sample_chars)
     long = F.length("text") > sample_chars
     thin = thin.withColumn("text", F.when(long & window.rlike(r"\p{L}"), window).when(long, lettered).otherwise(F.col("text")))
-    best = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= sample)
+    best = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample)
     fold: tuple[dict, dict] = ({}, {})
     for r in sorted(best.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
         fold[r["k"] % CALIBRATION == 0].setdefault(r["lang"], []).append(r["text"])
-    return fit(fold[0], fold[1])
+    return fit(fold[0], fold[1]) if fold[0] else None
 
 
 def held_out():

@@ -89,19 +89,19 @@ def runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
     return out
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text rid of later copies of repeated line runs, plus n_lines, n_removed and emptied (no non-blank line is left of some).
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_removed", "emptied")) -> DataFrame:
+    """docs with text rid of later copies of repeated line runs, plus n_lines, n_removed and emptied (no non-blank line is left of some), or as names has it.
 
     Order of copies: doc_id (null first), then the text's hash, then the line. Lines are what stands between \\n; blank
     lines are neither compared nor deleted. Null texts stay null with 0 lines; an empty text is one blank line; very long
     texts are split whole. Rows equal in doc_id and text are one document: they share its fate, and are no copies of each
     other; rows of different texts that share a doc_id, or have none, are told apart by their texts. No rows give no rows.
-    Further columns stay as they are, n_chars among them; columns named n_lines, n_removed or emptied are replaced.
+    Further columns stay as they are, n_chars among them; columns with one of the names, in upper or lower case, are replaced.
     """
     h, id_, th, found_runs, gone, all_, full, gaps = fresh(docs, "_h", "_id", "_th", "_runs", "_gone", "_all", "_full", "_gaps")
     found = runs(docs, min_lines, min_words).groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.collect_list(F.struct("first", "last")).alias(found_runs), F.sum("lines").alias(gone), F.first("n").alias(all_))
     found = found.hint("shuffle_hash")  # a few numbers a document: the texts needn't be sorted
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("text").alias(h)).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left")
     lines = F.split("text", "\n", -1)
     numbers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(BLACK), i)), lambda i: i.isNotNull())
@@ -111,4 +111,4 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     kept = F.filter(lines, lambda x, i: ~in_gap(i) | ~x.rlike(BLACK))
     text = F.when(F.col(gaps).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep], n_lines.alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col(gone) == F.col(all_), F.lit(False)).alias("emptied"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in keep], n_lines.alias(names[0]), F.coalesce(gone, F.lit(0)).cast("long").alias(names[1]), F.coalesce(F.col(gone) == F.col(all_), F.lit(False)).alias(names[2]))
