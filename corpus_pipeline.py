@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, langid, line_dedup, mixing, simhash
+from skein.llm.ordering import fresh
 from skein.plans.runtime import stage, table
 
 
@@ -31,9 +32,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and word-free texts that lost nothing stay as they are. The first copy is that of the smallest doc_id (null
     first), then by a hash of the text, then by line; rows equal in doc_id and text are no copies of each other.
     """
-    out = line_dedup.dedup_lines(docs).where("not emptied")  # a condition on the new text would have it computed again
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).select(*docs.columns)
+    names = fresh(docs, "n_lines", "n_removed", "emptied")
+    out = line_dedup.dedup_lines(docs, names=tuple(names)).where(~F.col(names[2]))  # a condition on the new text would have it computed again
+    size = F.when(F.col(names[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
