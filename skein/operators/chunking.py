@@ -241,7 +241,7 @@ def unmask_code(text: str, held: list[str]) -> str:
 
 
 def semantic_chunks(sentences: list[str], vectors: list[list[float]], threshold: float = 0.5, target_words: int = 375) -> list[str]:
-    """CHK5: neighbouring sentences stay together while they are like the cluster's mean, up to the target length."""
+    """A contiguous variant of CHK5: neighbouring sentences stay together while they are like the cluster's mean, up to the target length."""
     import numpy as np
 
     out, held, centre = [], [], None
@@ -258,6 +258,118 @@ def semantic_chunks(sentences: list[str], vectors: list[list[float]], threshold:
     return [*out, " ".join(held)] if held else out
 
 
+def sentence_spans(text: str) -> list[tuple[str, int, int]]:
+    """(sentence, start, end): cut after full stops that white space follows; code in fences or backticks isn't cut."""
+    masked = re.sub(r"```.*?```|`[^`\n]+`", lambda m: "\0" * len(m[0]), text, flags=re.S)
+    cuts = [0, *(m.end() for m in re.finditer(r"[.!?]+[\"')\]]*\s+", masked)), len(text)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        whole = text[a:b]
+        s = whole.strip()
+        if s:
+            start = a + whole.index(s)
+            out.append((s, start, start + len(s)))
+    return out
+
+
+def cluster_sentences(vectors, threshold: float = 0.5) -> list[list[int]]:
+    """CHK5: each vector in turn joins the cluster whose mean direction is the most similar of all, the first of equals, if by threshold or more; else it begins one.
+
+    A cluster is its running sum of unit vectors, so a step is one product with all sums, whatever the clusters hold.
+    """
+    import numpy as np
+
+    rows = np.asarray(vectors, float)
+    if not len(rows):
+        return []
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = rows / np.where(norm > 0, norm, 1)
+    sums, norms, out = np.zeros_like(rows), np.ones(len(rows)), []
+    for i, v in enumerate(rows):
+        n = len(out)
+        like = sums[:n] @ v / norms[:n]
+        at = int(like.round(9).argmax()) if n else 0
+        if not n or like[at] < threshold - 1e-9:
+            at = n
+            out.append([])
+        out[at].append(i)
+        sums[at] += v
+        norms[at] = np.linalg.norm(sums[at]) or 1.0
+    return out
+
+
+def pack_clusters(spans: list[tuple[str, int, int]], clusters: list[list[int]], target_words: int = 375, overlap_words: int = 90, most_words: int | None = None, least_words: int = 20) -> list[tuple[str, int, int, int]]:
+    """CHK5: (text, start, end, clusters) of chunks of whole clusters in order, up to target_words.
+
+    A chunk after another begins with the last overlap_words words of that one's last sentence. One of more than
+    most_words (half as many again as the target) is closed at once. Chunks of fewer than least_words words, or without a
+    letter or digit, are dropped. start is that of the chunk's first sentence, end that of its last, in the order of clusters.
+    """
+    most_words = most_words or target_words * 3 // 2
+    out: list[tuple[str, int, int, int]] = []
+    held: list[tuple[str, int, int]] = []  # text, first and last sentence
+    carried = words = 0
+
+    def close() -> None:
+        nonlocal held, carried, words
+        text = " ".join(t for t, _, _ in held).strip()
+        if len(text.split()) >= least_words and any(c.isalnum() for c in text):
+            out.append((text, spans[held[0][1]][1], spans[held[-1][2]][2], len(held) - carried))
+        held, carried, words = [], 0, 0
+
+    for own in clusters:
+        text = " ".join(spans[i][0] for i in own)
+        n = len(text.split())
+        if held and words + n > target_words:
+            last = held[-1][2]
+            close()
+            tail = spans[last][0].split()[-overlap_words:] if out and overlap_words else []
+            if tail:
+                held, carried, words = [(" ".join(tail), last, last)], 1, len(tail)
+        held.append((text, own[0], own[-1]))
+        words += n
+        if words > most_words:
+            close()
+    if held:
+        close()
+    return out
+
+
+def sentences(docs: DataFrame, key: str) -> DataFrame:
+    """key, sentences (array of sentence, start, end) of every text; null texts have none."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({key: pdf[key], "sentences": [[{"sentence": s, "start": a, "end": b} for s, a, b in sentence_spans(t or "")] for t in pdf["text"]]})
+
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, sentences array<struct<sentence: string, start: int, end: int>>")
+
+
+def with_vectors(split: DataFrame, dims: int = 64) -> DataFrame:
+    """sentences()'s rows with a vector of each sentence where no model gives one: hashed token counts (MDL1)."""
+    from skein.operators import models
+
+    return split.withColumn("vectors", F.transform("sentences", lambda s: models.hashed_vector(s["sentence"], dims)))
+
+
+def semantic_clusters(split: DataFrame, key: str, threshold: float = 0.5, target_words: int = 375, overlap_words: int = 90, least_words: int = 20) -> DataFrame:
+    """CHK5: key, chunk_index, total_chunks, start_offset, end_offset, n_clusters, text of rows with sentences and a vector of each (vectors)."""
+    kind = split.schema[key].dataType.simpleString()
+    names = ["chunk_index", "total_chunks", "start_offset", "end_offset", "n_clusters", "text"]
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, own, vectors in zip(pdf[key], pdf["sentences"], pdf["vectors"], strict=True):
+                spans = [(s["sentence"], s["start"], s["end"]) for s in own]
+                found = pack_clusters(spans, cluster_sentences([list(v) for v in vectors], threshold), target_words, overlap_words, least_words=least_words)
+                rows += [(k, i, len(found), a, b, n, t) for i, (t, a, b, n) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return split.select(key, "sentences", "vectors").mapInPandas(run, f"{key} {kind}, chunk_index int, total_chunks int, start_offset int, end_offset int, n_clusters int, text string")
+
+
 def split_documents(docs: DataFrame, key: str, how: str, budget: int = 256) -> DataFrame:
     """Chunks of every document by one of the Python splitters: header, sentence, budget, json or python.
 

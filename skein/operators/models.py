@@ -22,10 +22,11 @@ def hashed_vector(c: Column | str, dims: int = 64) -> Column:
     tokens = T.token_set(c)
     slot = lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")
     sign = lambda t: F.when(F.pmod(F.xxhash64(F.lit(1), t), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))  # noqa: E731, a value that lambdas use again and again is found once
     pairs = F.transform(tokens, lambda t: F.struct(slot(t).alias("d"), sign(t).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(pairs, lambda p: p["d"] == d), F.lit(0.0), lambda acc, p: acc + p["s"]))
-    n = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    sums = once(pairs, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(own, lambda p: p["d"] == d), F.lit(0.0), lambda acc, p: acc + p["s"])))
+    scaled = once(sums, lambda v: F.array(F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)).alias("n"))))
+    return once(F.get(scaled, F.lit(0)), lambda r: F.transform(r["v"], lambda x: F.when(r["n"] > 0, x / r["n"]).otherwise(F.lit(0.0))))
 
 
 def first_success(calls: DataFrame, key: str, order: str, ok: str, keep: list[str]) -> DataFrame:

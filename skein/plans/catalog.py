@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import vectors as V
-from skein.operators import answers, chunking, crawl, dedup, metrics, pages, ranking, search, series
+from skein.operators import answers, chunking, crawl, dedup, ivf, metrics, pages, ranking, search, series
 from skein.plans.registry import Query, query
 from skein.plans.runtime import prepare
 from skein.plans.runtime import spread_table as table
@@ -82,6 +82,22 @@ def dense_topk_cosine(spark, d):
     return search.dense_search(*_asked_vectors(spark, d), 10)
 
 
+@query()
+def ivf_topk(spark, d):
+    """TOP1, JN4: the nearest 0.4 of the cells of an inverted-file index, exact scores; scored is how many vectors a question met."""
+    v, qs = _asked_vectors(spark, d)
+    index = ivf.build(v)
+    return ivf.search(index, qs, 10, probes=max(1, int(0.4 * len(index.centres))))
+
+
+@query(f"WITH {_VEC}, {_dense_sql('hits', 10)} SELECT q_id, vec_id, confidence, rank FROM hits")
+def ivf_exact_topk(spark, d):
+    """TOP1, JN4: the same index, read on until no other cell can hold one of the ten best."""
+    v, qs = _asked_vectors(spark, d)
+    index = ivf.build(v)
+    return ivf.search(index, qs, 10, probes=max(1, len(index.centres) // 3), exact=True).select("q_id", "vec_id", "confidence", "rank")
+
+
 @query(
     f"""WITH {_VEC}, {_dense_sql('first', 40, 16)},
 full_ AS (SELECT f.q_id, f.vec_id, round(greatest(0.0, list_cosine_similarity(e, q)), 6) AS confidence FROM first f JOIN v USING (vec_id) JOIN qs USING (q_id))

@@ -9,6 +9,7 @@ import pytest
 
 from skein.plans import catalog as _catalog  # noqa: F401
 from skein.plans import registry as catalog
+from skein.plans import splits as _splits  # noqa: F401
 from skein.plans import steps as _steps  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
