@@ -1,4 +1,4 @@
-"""Registered queries of splitting by meaning and of how good a split is, over whole tables."""
+"""Registered queries of splitting by meaning, of how good a split is, and of late interaction, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, segmentation
+from skein.operators import chunking, late, segmentation
+from skein.plans import catalog
 from skein.plans.registry import query
 from skein.plans.runtime import prepare, table
 
@@ -76,3 +77,18 @@ def semantic_clusters(spark, d):
     """CHK5: sentences put to the most similar of all clusters of their text, then packed; no SQL, as each step depends on the last."""
     docs = table(prepare(spark), d, "documents")
     return chunking.semantic_clusters(chunking.with_vectors(chunking.sentences(docs, "doc_id")), "doc_id", threshold=0.35, target_words=60, overlap_words=10)
+
+
+@query()
+def late_interaction_topk(spark, d):
+    """TOP10: the ten best of all documents for each passage by late interaction; no SQL, as the token vectors are hashes of trigrams."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return late.late_search(docs, asked, 10).withColumnRenamed("q_id", "item_id")
+
+
+@query()
+def late_rerank(spark, d):
+    """TOP10: the lexical hits of each passage, reranked by late interaction."""
+    hits = catalog._hit_texts(spark, d).select("item_id", "doc_id", "rank", F.col("score").alias("confidence"), "question", "text")
+    return late.late_rerank(hits, "item_id", "question", "text", 5).select("item_id", "doc_id", "late_score", "confidence", F.col("position").cast("long").alias("position"))
