@@ -1,4 +1,4 @@
-"""Registered queries of splitting by meaning, of how good a split is, and of late interaction, over whole tables."""
+"""Registered queries of reStructuredText, splitting by meaning, how good a split is, and late interaction, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,11 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, late, segmentation
+from skein.operators import chunking, late, rst, segmentation
 from skein.plans import catalog
 from skein.plans.registry import query
 from skein.plans.runtime import prepare, table
 
+@query(
+    r"""WITH t AS (SELECT doc_id, coalesce(source, 'none') AS s, coalesce(lang, '?') AS l, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: array_to_string(regexp_extract_all(x, '[A-Za-z]+'), ' ')), lambda x: x <> ''), lambda x: x) AS w FROM documents)
+SELECT doc_id, 'Text of ' || s AS title, md5('# Text of ' || s || chr(10) || chr(10) || '**Language:** ' || l || CASE WHEN len(w) > 0 THEN chr(10) || chr(10) || '- ' || array_to_string(w, chr(10) || '- ') || chr(10) || chr(10)
+  || '| line | words |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(range(len(w)), lambda i: '| ' || (i + 1) || ' | ' || w[i + 1] || ' |'), chr(10)) || chr(10) || chr(10)
+  || '```text' || chr(10) || array_to_string(w, chr(10)) || chr(10) || '```' ELSE '' END) AS md5 FROM t"""
+)
+def rst_documents(spark, d):
+    """PRS6, PRS8: every text's lines as reStructuredText (title, field, bullets, list table, code directive), back as Markdown."""
+    line = lambda x: F.array_join(F.regexp_extract_all(x, F.lit("[A-Za-z]+"), F.lit(0)), " ")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), lambda x: x != "")
+    docs = table(prepare(spark), d, "documents").select("doc_id", F.concat(F.lit("Text of "), F.coalesce("source", F.lit("none"))).alias("title"), F.coalesce("lang", F.lit("?")).alias("lang"), lines.alias("w"))
+    every = lambda f: F.array_join(F.transform("w", f), "\n")
+    body = F.concat(
+        F.lit("\n\n"), every(lambda x: F.concat(F.lit("* "), x)), F.lit("\n\n.. list-table::\n   :header-rows: 1\n\n   * - line\n     - words\n"),
+        F.array_join(F.transform("w", lambda x, i: F.concat(F.lit("   * - "), i + 1, F.lit("\n     - "), x)), "\n"), F.lit("\n\n.. code-block:: text\n\n"), every(lambda x: F.concat(F.lit("   "), x)),
+    )
+    made = F.concat("title", F.lit("\n"), F.repeat(F.lit("="), F.length("title")), F.lit("\n\n:Language: "), "lang", F.when(F.size("w") > 0, body).otherwise(""))
+    out = rst.rst_to_markdown(docs.select("doc_id", made.alias("text")), "doc_id")
+    return out.select("doc_id", "title", F.md5(F.col("markdown").cast("binary")).alias("md5"))
+
+
 _CUTS = """n AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS n, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 gl AS (SELECT doc_id, n, list_transform(range(1, len(ls)), lambda i: list_sum(list_transform(ls[1:i], lambda x: length(x) + 1))) AS g FROM n),
 b AS (SELECT doc_id, n, list_filter(g, lambda x: x > 0 AND x < n) AS g, list_filter(range(400, n + 1, 400), lambda x: x < n) AS p FROM gl),
