@@ -47,30 +47,61 @@ def distribution(events: DataFrame, by: str, last: int = 10_000) -> DataFrame:
     return out.select(by, "n", "mean", F.round(F.element_at(a, 1), 4).alias("min"), F.round(F.element_at(a, -1), 4).alias("max"), pick(F.lit(0.5)).alias("p50"), pick(F.lit(0.95)).alias("p95"), pick(F.lit(0.99)).alias("p99"))
 
 
-def moving_average(events: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """AGG17/WIN14: the exponential moving average of value after each key's last event, as a sum of weighted values, so no list of a key is gathered."""
-    newest = W.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    rows = events.where("value is not null").select(key, "value", F.row_number().over(newest).alias("r"), F.count("*").over(W.partitionBy(key)).alias("n"))
-    weight = F.pow(F.lit(1 - alpha), F.col("r") - 1) * F.when(F.col("r") < F.col("n"), F.lit(alpha)).otherwise(F.lit(1.0))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(weight * F.col("value")), 6).alias("ema"))
-
-
-def failure_runs(events: DataFrame, key: str, failed) -> DataFrame:
-    """WIN15: runs of failures in a row, by gaps and islands; cooldown 10 * 2^(n - 1) seconds, at most 60."""
-    w = W.partitionBy(key).orderBy("ts", "event_id")
-    runs = events.withColumn("_f", failed).withColumn("island", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.where("_f").groupBy(key, "island").agg(F.count("*").alias("length"), F.min("event_id").alias("first_event"))
+def _stretch(seconds: int):
+    """The number of the stretch of time that an event is in: keys are dealt over (key, stretch), so a key with a third of all events is no single task."""
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
+
+
+def moving_average(events: DataFrame, key: str, alpha: float = 0.3, stretch: int = 86_400) -> DataFrame:
+    """AGG17/WIN14: the exponential moving average of value after each key's last event.
+
+    A stretch of events is an affine map of the average before it: n events scale it by (1 - alpha)^n and add their own
+    weighted values. The maps of a key's stretches are combined by a window of one row a stretch. The first value of all
+    counts whole, so it is added once more with the weight that is missing.
+    """
+    keep = 1 - alpha
+    rows = events.where("value is not null").select(key, "value", "ts", "event_id", _stretch(stretch).alias("_s"))
+    back = W.partitionBy(key, "_s").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    own = rows.withColumn("_r", F.row_number().over(back)).groupBy(key, "_s").agg(
+        F.count("*").alias("n"), F.sum(alpha * F.pow(F.lit(keep), F.col("_r") - 1) * F.col("value")).alias("added"), F.min_by("value", F.struct("ts", "event_id")).alias("first")
+    )
+    later = W.partitionBy(key).orderBy(F.col("_s").desc()).rowsBetween(W.unboundedPreceding, -1)
+    maps = own.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    whole = maps.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.pow(F.lit(keep), F.col("after")) * F.col("added")).alias("sum"), F.min_by("first", "_s").alias("first"))
+    return whole.select(key, "n", F.round(F.col("sum") + F.pow(F.lit(keep), F.col("n")) * F.col("first"), 6).alias("ema"))
+
+
+def failure_runs(events: DataFrame, key: str, failed, stretch: int = 86_400) -> DataFrame:
+    """WIN15: runs of failures in a row; cooldown 10 * 2^(n - 1) seconds, at most 60.
+
+    Runs are found by gaps and islands inside stretches of time. Those that touch an end of their stretch are joined to the
+    ones of the key's next stretch by a window of two rows a stretch at most: a run goes on where one stretch ends with
+    failures and the next begins with them.
+    """
+    rows = events.select(key, "ts", "event_id", failed.alias("_f"), _stretch(stretch).alias("_s"))
+    inside = W.partitionBy(key, "_s").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    marked = rows.withColumn("_i", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(inside))
+    islands = marked.groupBy(key, "_s", "_i").agg(F.count_if("_f").alias("length"), F.min(F.when(F.col("_f"), F.col("event_id"))).alias("first_event"))
+    last = F.max("_i").over(W.partitionBy(key, "_s"))
+    ends = islands.withColumn("opens", F.col("_i") == 0).withColumn("closes", F.col("_i") == last)
+    # a stretch without failures at an end leaves a row of length 0 there, which parts the runs beside it
+    whole = ends.where("length > 0 and not opens and not closes").select(key, "first_event", "length")
+    edge = ends.where("opens or closes")
+    by = W.partitionBy(key).orderBy("_s", "_i")
+    before = lambda c: F.lag(c).over(by)
+    goes_on = F.col("opens") & (F.col("length") > 0) & (before("_s") != F.col("_s")) & before("closes") & (before("length") > 0)
+    runs = edge.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    joined = runs.where("length > 0").groupBy(key, "_run").agg(F.sum("length").alias("length"), F.min("first_event").alias("first_event"))
+    out = whole.unionByName(joined.select(key, "first_event", "length"))
     return out.select(key, "first_event", "length", F.least(F.lit(60.0), 10 * F.pow(F.lit(2.0), F.least(F.col("length"), F.lit(10)) - 1)).alias("cooldown"))
 
 
 def progress(events: DataFrame, key: str, last: int = 15) -> DataFrame:
-    """AGG30/STR12: totals of a key, its newest event, and the ids of its last events, oldest first."""
-    w = W.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    rows = events.withColumn("_r", F.row_number().over(w))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= last, F.struct("ts", "event_id")))), lambda s: s["event_id"].cast("string")), ",").alias("recent"),
-    )
+    """AGG30/STR12: totals of a key, its newest event, and the ids of its last events, oldest first; tasks send on so many events a key."""
+    totals = events.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
+    newest = events.select(key, "ts", "event_id").withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.col("ts").desc(), F.col("event_id").desc()))).where(F.col("_r") <= last)
+    recent = newest.groupBy(F.col(key).alias("_k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id"))), lambda s: s["event_id"].cast("string")), ",").alias("recent"))
+    return totals.join(recent, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def sessions(events: DataFrame, key: str, gap_seconds: int = 1800) -> DataFrame:
