@@ -35,7 +35,7 @@ LEAST, BITS, MOST = 1024, 12, 32768
 BLOCK_BYTES, PACK_BYTES, RANGE_BYTES = 128 << 10, 64 << 20, 1 << 20
 WINDOW = 32
 #: Share of a pack's bytes that copies chosen elsewhere may take before it is written anew.
-WASTE = 0.1
+WASTE = 0.0
 #: Gear table: a fixed pseudo-random number for each byte.
 GEAR = np.random.default_rng(10).integers(0, 1 << 32, 256, np.uint32)
 
