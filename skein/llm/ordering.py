@@ -22,13 +22,13 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", distinct: lis
     placed = placed.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = stage(placed, "ranked")
     sizes = placed.groupBy(F.shiftrightunsigned("_at", 33).alias("p")).count().collect()  # one row a partition
-    before, total = {}, 0
+    before, total = [], 0
     for r in sorted(sizes):
-        before[r["p"]], total = total, total + r["count"]
-    offset = F.lit(0).cast("long")
-    if before:
-        offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])[F.shiftrightunsigned("_at", 33)]
-    return placed.withColumn(name, F.col("_at").bitwiseAND(F.lit(_ROW)) + offset).drop("_at")
+        before.append((r["p"], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_p long, _before long")
+    out = placed.join(F.broadcast(offsets), F.shiftrightunsigned("_at", 33) == F.col("_p"))
+    return out.withColumn(name, F.col("_at").bitwiseAND(F.lit(_ROW)) + F.col("_before")).drop("_at", "_p", "_before")
 
 
 def running_start(df: DataFrame, key: str, bucket: str, order: list, value: str, name: str) -> DataFrame:
