@@ -248,7 +248,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     comp = components(found.where("to >= 0").select("cls", "to")).withColumnRenamed("node", "cls")
     per = classes.select("cls", "key", "n", "least").join(counts, "cls", "left").join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     per = stage(per, "vec-per-class")
-    first = per.groupBy("root").agg(F.min("least").alias("component_id"))
+    first = stage(per.groupBy("root").agg(F.min("least").alias("component_id")), "vec-first")
     per = stage(per.join(first, "root").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "vec-label")
     out = rows.select("vec_id", "label", "key").join(per, "key", "left")
     comp_id = F.coalesce("component_id", "vec_id")

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds over an edge table.
 
-Every round is two keyed minima with map-side combine and two joins that adaptive
-execution may split, so a node with very many edges is no single task. Each round
-is written to the shared folder; the driver sees a row count and a checksum only.
+Every round is two keyed minima with map-side combine, each a table of its own, and
+two joins with these, whose partitions adaptive execution may split, so a node with
+very many edges is no single task. Each round is written to the shared folder; the driver sees a row count and a checksum only.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     spark, mark = cur.sparkSession, _mark(cur)
     while mark[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least, least_path = stage_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edge-minima")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_path = stage_at(large, "edges-large")
+        nearest, nearest_path = stage_at(large.groupBy("u").agg(F.min("v").alias("m")), "edge-minima")
         small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         nxt, nxt_path = stage_at(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        drop_path(spark, path)
+        for old in (path, least_path, large_path, nearest_path):
+            drop_path(spark, old)
         now = _mark(nxt)
         cur, path = nxt, nxt_path
         if now == mark:

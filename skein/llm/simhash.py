@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     least = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     comp = components(links(least.select("fp"), radius))
     linked = least.join(comp.withColumnRenamed("node", "fp"), "fp")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
     label = linked.join(smallest, "root").select("fp", "component_id")
     label = least.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     label = stage(label, "simhash-label")
