@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.quantiles import with_percentiles
 from skein.operators.search import small
 from skein.plans.runtime import prepare, stage
 
@@ -36,12 +37,13 @@ def ndcg(ranked: DataFrame, q: str, gain: str, k: int) -> DataFrame:
 
 def size_stats(chunks: DataFrame, by: str, n: str, text: str, most_chars: int = 6000, most_tokens: int = 3800, least_chars: int = 50) -> DataFrame:
     """AGG3/AGG4: sizes by group; exact, linearly interpolated percentiles, and counts of odd sizes."""
-    return chunks.groupBy(by).agg(
+    out = chunks.groupBy(by).agg(
         F.count("*").alias("n"), F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 1).alias("mean"),
-        *[F.round(F.percentile(n, p), 4).alias(name) for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))],
         F.count_if(T.strip(text) == "").alias("empty"), F.count_if(F.col(n) > most_chars).alias("oversized"),
         F.count_if(F.ceil(F.col(n) / 4) > most_tokens).alias("over_tokens"), F.count_if(F.col(n) < least_chars).alias("tiny"),
     )
+    names = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    return with_percentiles(out, chunks.select(by, n), [by], n, names).withColumns({c: F.round(c, 4) for c in names})
 
 
 def groundedness(claims: DataFrame, evidence: DataFrame, key: str, threshold: float = 0.3) -> DataFrame:

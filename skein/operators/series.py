@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import with_percentiles
+
 
 def sliding_limit(events: DataFrame, key: str, seconds: int = 60, limit: int = 5, stretch: int = 20) -> DataFrame:
     """STR1/STR2: events of the key in the window that ends with each event, itself included, and whether that is within the limit.
@@ -25,9 +27,9 @@ def sliding_limit(events: DataFrame, key: str, seconds: int = 60, limit: int = 5
 
 def daily(events: DataFrame, by: str) -> DataFrame:
     """AGG14: events, distinct users, total and 95th percentile of value by day and kind."""
-    return events.groupBy(F.date_trunc("day", "ts").cast("date").cast("string").alias("day"), by).agg(
-        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"), F.round(F.percentile("value", 0.95), 4).alias("p95")
-    )
+    dated = events.withColumn("day", F.date_trunc("day", "ts").cast("date").cast("string"))
+    out = dated.groupBy("day", by).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
+    return with_percentiles(out, dated, ["day", by], "value", {"p95": 0.95}).withColumn("p95", F.round("p95", 4))
 
 
 def drift(points: DataFrame, days: int = 7, threshold: float = 0.1) -> DataFrame:
@@ -117,6 +119,7 @@ def health(calls: DataFrame, key: str) -> DataFrame:
 
 def concurrency(stages: DataFrame) -> DataFrame:
     """AGG18: by stage throughput and the concurrency that Little's law asks for. stages: stage, seconds (of an item), finished_at."""
-    out = stages.groupBy("stage").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"), F.percentile("seconds", 0.95).alias("p95_s"), (F.max("finished_at") - F.min("finished_at")).alias("span"))
+    out = stages.groupBy("stage").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_s"), (F.max("finished_at") - F.min("finished_at")).alias("span"))
+    out = with_percentiles(out, stages, ["stage"], "seconds", {"p95_s": 0.95})
     rate = F.when(F.col("span") > 0, F.col("n") / F.col("span"))
     return out.select("stage", "n", F.round("mean_s", 6).alias("mean_s"), F.round("p95_s", 6).alias("p95_s"), F.round(rate, 6).alias("per_second"), F.ceil(rate * F.col("mean_s")).alias("concurrency"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.quantiles import with_percentiles
+
 CHUNK_SCHEMA = (
     "chunk_id string, source_name string, title string, url string, text string, start_offset int, end_offset int, content_hash string, section_header string, chunk_type string, "
     "word_count int, heading_path array<string>, chunk_index int, total_chunks int, crawled_at string, doc_type string, language string, spark_version string, module string, source_commit string, "
@@ -176,7 +178,7 @@ def trace_metrics(traces: DataFrame, view: str) -> DataFrame:
     """SRC15: one of the metrics views over traces (model, day, cost, latency, score_name, score)."""
     views = {
         "cost_by_model": lambda t: t.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost")),
-        "daily_volume_and_latency": lambda t: t.groupBy("day").agg(F.count("*").alias("n"), F.round(F.percentile("latency", 0.95), 4).alias("p95")),
+        "daily_volume_and_latency": lambda t: with_percentiles(t.groupBy("day").agg(F.count("*").alias("n")), t, ["day"], "latency", {"p95": 0.95}).withColumn("p95", F.round("p95", 4)),
         "score_summary": lambda t: t.where("score_name is not null").groupBy("score_name").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean")),
     }
     return views[view](traces)
