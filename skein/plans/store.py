@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.plans.runtime import drop_path, read_file, replace_file
+from skein.plans.runtime import drop_path
 
 STATE_VERSION = 1
 
@@ -41,13 +41,37 @@ def write_generation(chunks: DataFrame, root: str, generation: str) -> str:
     return path
 
 
-def activate(spark: SparkSession, root: str, generation: str) -> None:
-    """SNK5: point at a generation, in one step; activating an earlier one again is a rollback."""
-    replace_file(spark, f"{root}/_active", generation)
+def activate(spark: SparkSession, root: str, generation: str, seen: int | None = None) -> int:
+    """SNK5: point at a generation, in one step; activating an earlier one again is a rollback. Returns the number of the activation.
+
+    Every activation is a version of a log. seen: the number that the caller decided on, as activation() gave it; if another
+    writer has activated something since, that is a commits.Conflict and nothing changes.
+    """
+    from skein.plans import commits
+
+    log = commits.Log(spark, root)
+    while True:
+        base = log.read(seen) if seen is not None else log.read()
+        try:
+            return log.commit(base, {"active": generation}).number
+        except commits.Conflict:
+            if seen is not None:
+                raise
+
+
+def activation(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """Number and generation of the last activation; 0 and None before the first."""
+    from skein.plans import commits
+
+    version = commits.Log(spark, root).read()
+    return version.number, version.folders.get("active")
 
 
 def active(spark: SparkSession, root: str) -> str:
-    return read_file(spark, f"{root}/_active")
+    number, generation = activation(spark, root)
+    if generation is None:
+        raise ValueError("no generation is active")
+    return generation
 
 
 def read_active(spark: SparkSession, root: str) -> DataFrame:
