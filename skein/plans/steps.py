@@ -52,18 +52,6 @@ def crawl_reachable(spark, d):
     return crawl.reachable(p.where("page_id % 10 = 0"), links, 3)
 
 
-@query(
-    """WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 410 WHEN 2 THEN 429 WHEN 3 THEN 500 ELSE 200 END AS status, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Text/Plain' ELSE 'image/png' END AS kind, page_id % 8 AS redirects FROM pages)
-SELECT page_id, CASE WHEN redirects > 5 THEN 'FAILED' WHEN status = 410 THEN 'GONE' WHEN status = 429 THEN 'DISCOVERED' WHEN status <> 200 THEN 'FAILED' WHEN kind = 'image/png' THEN 'SKIPPED' ELSE 'PROCESSED' END AS state FROM r"""
-)
-def fetch_states(spark, d):
-    """SRC2."""
-    m, k = F.col("page_id") % 5, F.col("page_id") % 3
-    status = F.when(m == 1, 410).when(m == 2, 429).when(m == 3, 500).otherwise(200)
-    kind = F.when(k == 0, "text/html; charset=utf-8").when(k == 1, "Text/Plain").otherwise("image/png")
-    return table(spark, d, "pages").select("page_id", pages.fetch_state(status, kind, F.col("page_id") % 8).alias("state"))
-
-
 @query("SELECT url AS loc, CASE WHEN page_id % 3 > 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod FROM pages WHERE starts_with(url, 'https://')")
 def sitemap_entries(spark, d):
     """SRC3: every page's entry in a sitemap of its own, under a prefix."""
@@ -260,22 +248,6 @@ def front_matter_stripped(spark, d):
     return _docs(spark, d).where(~F.col("text").startswith("---")).select("doc_id", _md5(pages.strip_front_matter(made)).alias("md5")).unionByName(_docs(spark, d).where(F.col("text").startswith("---")).select("doc_id", _md5(F.col("text")).alias("md5")))
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'markdown' WHEN 2 THEN 'rst' ELSE 'html' END AS parser FROM pages")
-def parser_dispatch(spark, d):
-    """PRS16."""
-    m = F.col("page_id") % 4
-    url = F.concat(F.col("page_id").cast("string"), F.when(m == 0, ".json").when(m == 1, ".mdx").when(m == 2, ".rst").otherwise(".html"))
-    return table(spark, d, "pages").select("page_id", pages.parser_for(F.lit("Text/HTML; charset=utf-8"), url).alias("parser"))
-
-
-@query("SELECT doc_id, 'pyspark.m' || doc_id % 7 || '.f' || doc_id AS module, doc_id % 5 || '.' || doc_id % 3 || '.0' AS version FROM documents")
-def source_metadata(spark, d):
-    """PRS17."""
-    path = F.concat(F.lit("python/pyspark/m"), F.col("doc_id") % 7, F.lit("/f"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, "/__init__.py").otherwise(".py"))
-    ref = F.concat(F.when(F.col("doc_id") % 2 == 0, "v").otherwise("branch-"), F.col("doc_id") % 5, F.lit("."), F.col("doc_id") % 3, F.lit(".0"))
-    return _docs(spark, d).select("doc_id", pages.module_of(path).alias("module"), pages.doc_version(ref).alias("version"))
-
-
 @query(r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS collapsed FROM benchmark")
 def slugs(spark, d):
     """PRS18."""
@@ -368,14 +340,6 @@ def code_facts(spark, d):
     return chunking.code_facts(rows, "doc_id")
 
 
-@query("SELECT doc_id AS parent, CAST(s AS INT) AS segment, 1.0::DOUBLE AS first FROM documents, (VALUES (0), (1)) t(s)")
-def late_chunk_vectors(spark, d):
-    """CHK21: two segments of four token vectors each; their means have length one."""
-    t = _docs(spark, d).select(F.col("doc_id").alias("parent"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos"))
-    tokens = t.select("parent", F.floor(F.col("pos") / 4).cast("int").alias("segment"), (F.floor(F.col("pos") / 4) * 4).alias("start"), (F.floor(F.col("pos") / 4) * 4 + 4).alias("end"), "pos", F.array((F.col("pos") + 1).cast("double"), F.lit(0.0)).alias("vec"))
-    return chunking.late_chunks(tokens).select("parent", "segment", F.col("vec")[0].alias("first"))
-
-
 @query("SELECT conv_id, CAST(count(*) AS INT) AS n FROM conversations GROUP BY conv_id")
 def semantic_segments(spark, d):
     """CHK5: turns as sentences with vectors that are never alike: a chunk each."""
@@ -413,14 +377,6 @@ def cacheable_answers(spark, d):
     return _turns(spark, d).select("conv_id", "turn", T.cacheable(text, conf, (F.col("turn") % 3).cast("int")).alias("cacheable"))
 
 
-@query("SELECT conv_id, turn, turn % 4 <> 3 AS acceptable FROM conversations WHERE length(text) >= 40")
-def output_guardrail(spark, d):
-    """FLT17: answers as JSON, fenced code, a stated lack of context, or bare text."""
-    m = F.col("turn") % 4
-    raw = F.when(m == 0, F.to_json(F.struct(F.lit("a sound answer of some length in plain words").alias("answer")))).when(m == 1, F.lit("```python\nprint('a sound answer of letters')\n```")).when(m == 2, '{"status": "INSUFFICIENT_CONTEXT"}').otherwise(F.lit("bare text"))
-    return _turns(spark, d).where("length(text) >= 40").select("conv_id", "turn", answers.acceptable(raw, F.lit(1)).alias("acceptable"))
-
-
 @query(f"WITH {_BM25(5)} SELECT item_id, 'd' || doc_id AS source FROM hits WHERE doc_id % 2 = 0")
 def verified_citations(spark, d):
     """FLT18, FN26: citations of even documents are real ones."""
@@ -440,14 +396,6 @@ def parsed_answers(spark, d):
     return _turns(spark, d).select("conv_id", "turn", _md5(F.when(m == 2, F.concat(answers.without_sources(parsed), F.regexp_extract("text", r"(\s*)$", 1))).otherwise(parsed)).alias("md5"))
 
 
-@query("SELECT conv_id, turn, turn % 4 < 3 AS degenerate FROM conversations WHERE regexp_matches(text, '^[A-ZÀ-Þ]\\p{L}+ ')")
-def degenerate_rewrites(spark, d):
-    """FLT20: too short, a list and an echo, and the text itself."""
-    m = F.col("turn") % 4
-    made = F.when(m == 0, " x ").when(m == 1, F.concat(F.lit("1. "), "text")).when(m == 2, F.concat(F.lit("Here are the queries: "), "text")).otherwise(F.col("text"))
-    return _turns(spark, d).where(F.col("text").rlike(r"^[A-ZÀ-Þ]\p{L}+ ")).select("conv_id", "turn", answers.degenerate(made).alias("degenerate"))
-
-
 @query(
     """WITH c AS (SELECT doc_id, text, substr(text, 1, 500) AS cut FROM documents), p AS (SELECT *, CASE WHEN contains(cut, chr(10) || chr(10)) THEN 500 - instr(reverse(cut), chr(10) || chr(10)) - 1 ELSE -1 END AS para, CASE WHEN contains(cut, chr(10)) THEN 500 - instr(reverse(cut), chr(10)) ELSE -1 END AS line FROM c)
 SELECT doc_id, md5(CASE WHEN length(text) <= 500 THEN text WHEN para > 300 THEN substr(cut, 1, para) WHEN line > 250 THEN substr(cut, 1, line) ELSE cut END) AS md5 FROM p"""
@@ -457,14 +405,6 @@ def rerank_truncation(spark, d):
     return _docs(spark, d).select("doc_id", _md5(T.truncated(F.col("text"), 500)).alias("md5"))
 
 
-@query("SELECT doc_id, m AS mode, CASE m WHEN 'yarn' THEN 'fact y' ELSE 'fact k' END AS fact FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['yarn'] WHEN 1 THEN ['yarn', 'kubernetes'] ELSE [] END) AS m FROM documents)")
-def mode_facts(spark, d):
-    """FLT26, JN16."""
-    m = F.col("doc_id") % 3
-    q = _docs(spark, d).select("doc_id", F.when(m == 0, "does YARN work").when(m == 1, "K8s or yarn").otherwise("neither").alias("question"))
-    return answers.with_mode_facts(q, "doc_id", "question", spark.createDataFrame([("yarn", "fact y"), ("kubernetes", "fact k")], "mode string, fact string"))
-
-
 @query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3')")
 def permitted_sources(spark, d):
     """FLT28."""
@@ -544,14 +484,6 @@ def open_parents(spark, d):
     return crawl.parent_edges(f.select(F.col("page_id").alias("child_hash"), F.floor(F.col("page_id") / 10).alias("parent_hash")), f)
 
 
-@query("SELECT url FROM pages WHERE page_id % 9 = 4")
-def stale_claims(spark, d):
-    """STR9: claims of every ninth page are too old."""
-    old = F.col("page_id") % 9 == 4
-    f = table(spark, d, "pages").select("url", F.lit(crawl.FETCHING).alias("state"), F.when(old, 0.0).otherwise(9000.0).alias("updated_at"))
-    return crawl.reset_stale_claims(f, 10_000.0).where(F.col("state") == crawl.DISCOVERED).select("url")
-
-
 @query("SELECT user_id AS task_id, CASE WHEN max(event_id) % 3 = 0 THEN 'alive' WHEN max(event_id) % 3 = 1 AND user_id % 2 = 0 THEN 'waiting' ELSE 'orphaned' END AS status FROM events GROUP BY user_id")
 def task_leases(spark, d):
     """STR4: heartbeats by the newest event of a user."""
@@ -561,21 +493,6 @@ def task_leases(spark, d):
     return crawl.orphans(tasks, beats, 1000.0)
 
 
-@query(
-    """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 403 WHEN 3 THEN 503 WHEN 4 THEN 422 ELSE NULL END AS s FROM events)
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'authentication_error' WHEN 2 THEN 'invalid_request' WHEN 3 THEN 'temporary_unavailable' WHEN 4 THEN 'invalid_request' ELSE 'quota_exceeded' END AS category,
-CAST(CASE event_id % 6 WHEN 0 THEN 7.5 WHEN 3 THEN 10.0 ELSE 60.0 END AS DOUBLE) AS cooldown FROM e"""
-)
-def provider_errors(spark, d):
-    """FN22, FN23."""
-    m = F.col("event_id") % 6
-    status = F.when(m == 0, 429).when(m == 1, 401).when(m == 2, 403).when(m == 3, 503).when(m == 4, 422)
-    category = crawl.provider_error(status, F.when(m == 2, "Model X is not supported"), F.lit("Quota used up"))
-    wait = F.when(m == 0, crawl.retry_after(F.lit("7.5")))
-    rest = {"retryable": 10.0, "temporary_unavailable": 10.0, "rate_limited": 60.0}
-    return table(spark, d, "events").select("event_id", category.alias("category"), crawl.cooldown(category, wait, rest, 60.0).alias("cooldown"))
-
-
 @query(r"SELECT page_id, regexp_replace(url, '/+$', '') AS url FROM pages")
 def normal_urls(spark, d):
     """FN25: with blanks and slashes around."""
@@ -768,13 +685,6 @@ def hashed_vectors(spark, d):
     return b.select("item_id", F.round(F.sqrt(F.aggregate(models.hashed_vector("text"), F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a' ELSE 'b' END AS provider, doc_id % 3 > 0 AS degraded FROM documents WHERE doc_id % 3 < 2")
-def provider_chain(spark, d):
-    """MDL2: three providers in order, of which the first, the second or none succeeds."""
-    tries = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(p).alias("provider"), (F.col("doc_id") % 3 == k).alias("ok")) for k, p in enumerate("ab")], F.struct(F.lit(2).alias("place"), F.lit("c").alias("provider"), F.lit(False).alias("ok")))
-    return models.first_success(_docs(spark, d).select("doc_id", F.explode(tries).alias("x")).select("doc_id", "x.*"), "doc_id", "place", "ok", ["provider"])
-
-
 @query(f"SELECT conv_id, turn, {catalog._INTENT_SQL} AS intent FROM conversations")
 def rule_rewrites(spark, d):
     """MDL3, MDL9."""
@@ -802,22 +712,6 @@ def scope_verdicts(spark, d):
     return _docs(spark, d).select("doc_id", models.covered(raw).alias("covered"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 ELSE 0.9 END::DOUBLE AS score, doc_id % 3 <> 1 AS supported, CASE doc_id % 3 WHEN 0 THEN 'b' ELSE '' END AS unsupported FROM documents")
-def claim_verdicts(spark, d):
-    """MDL6: judged claims, no claims, and the lexical overlap where the judge said nothing."""
-    m = F.col("doc_id") % 3
-    raw = F.when(m == 0, '```\n[{"claim": "a", "supported": true}, {"claim": "b ", "supported": false}]\n```').when(m == 1, "[]").otherwise("unsure")
-    s = models.claim_support(raw, F.lit(0.9))
-    return _docs(spark, d).select("doc_id", s["score"].alias("score"), s["supported"].alias("supported"), F.array_join(s["unsupported"], ",").alias("unsupported"))
-
-
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.25 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
-def judge_scores(spark, d):
-    """MDL7."""
-    m = F.col("doc_id") % 4
-    return _docs(spark, d).select("doc_id", models.judged(F.when(m == 0, '{"score": 0.25}').when(m == 1, '{"score": 7}').when(m == 2, "none").otherwise('{"score": "-1"}')).alias("score"))
-
-
 @query("SELECT doc_id, 'd' || doc_id AS source, 'is in' AS relation_type, lower(lang) AS target FROM documents WHERE lang IS NOT NULL")
 def graph_triplets(spark, d):
     """MDL8: triplets from JSON, one of them twice and one incomplete."""
@@ -826,22 +720,13 @@ def graph_triplets(spark, d):
     return models.triplets(_docs(spark, d).where("lang is not null").select("doc_id", said.alias("raw")), "doc_id", "raw")
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a|b|c' WHEN 1 THEN 'x|y|z' ELSE 'r|s|t' END AS suggestions FROM documents")
-def model_suggestions(spark, d):
-    """MDL11, TOP15: listed as JSON, as lines, or too few."""
-    m = F.col("doc_id") % 3
-    said = _docs(spark, d).select("doc_id", F.when(m == 0, '["a", "b", "c", "d"]').when(m == 1, "1. x\n- y\n\n* z").otherwise("only one").alias("raw"))
-    rules = _docs(spark, d).select("doc_id", F.array(F.lit("r"), F.lit("s"), F.lit("t")).alias("suggestions"))
-    return models.suggestions_or(said, rules, "doc_id", "raw").select("doc_id", F.array_join("suggestions", "|").alias("suggestions"))
-
-
-@query(f"""WITH {catalog._VEC}, c AS (SELECT vec_id, e FROM v WHERE vec_id % 20 = 10), p AS (SELECT q_id, vec_id, round(list_cosine_similarity(e, q), 6) AS s FROM c, qs), o AS (SELECT q_id, vec_id AS cache_id, s AS similarity, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM p WHERE s >= 0.2)
+@query(f"""WITH {catalog._VEC}, p AS (SELECT q_id, vec_id, round(list_cosine_similarity(e, q), 6) AS s FROM v, qs), o AS (SELECT q_id, vec_id AS cache_id, s AS similarity, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM p WHERE s >= 0.2)
 SELECT q_id, cache_id, similarity, CAST(rank AS INT) AS rank FROM o WHERE rank <= 3""")
 def cache_hits(spark, d):
     """TOP14, STR3: vectors as cached questions, all fresh."""
     v = table(spark, d, "embeddings")
     qs = v.where("vec_id % 20 = 0").select(F.lit("s").alias("scope"), F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
-    cache = v.where("vec_id % 20 = 10").select(F.lit("s").alias("scope"), F.col("vec_id").alias("cache_id"), F.col("embedding").alias("vec"), F.lit(90.0).alias("created_at"))
+    cache = v.select(F.lit("s").alias("scope"), F.col("vec_id").alias("cache_id"), F.col("embedding").alias("vec"), F.lit(90.0).alias("created_at"))
     return answers.cache_hits(qs, cache, 0.2, 3, 100.0, 60.0).select("q_id", "cache_id", "similarity", "rank")
 
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from skein.plans import catalog as _catalog  # noqa: F401
+from skein.plans import derived as _derived  # noqa: F401
 from skein.plans import live as _live  # noqa: F401
 from skein.plans import registry as catalog
 from skein.plans import splits as _splits  # noqa: F401
