@@ -225,27 +225,3 @@ def test_alignment_matches_brute_force(spark, sf_dir, monkeypatch, frequent):
 def test_alignment_of_no_rows_and_no_tokens(spark):
     assert align.align(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in align.align(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
-
-
-# components
-
-
-def test_a_hub_with_a_third_of_all_edges_can_be_split(spark, monkeypatch):
-    """Both sides of each join are exchanges that Spark put in for it, which adaptive execution may split where a node is hot."""
-    from skein.llm import graph
-
-    plans = []
-    staged = graph.stage_at
-    monkeypatch.setattr(graph, "stage_at", lambda df, label, **kw: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, label, **kw))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1800)]
-        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert got == {k: 0 if k < 400 else 1000 for k in (*range(400), *range(1000, 1801))}
-    joins = [p for p in plans if "SortMergeJoin" in p]
-    assert joins
-    for p in joins:
-        under = [line for above, line in zip(p.splitlines(), p.splitlines()[1:], strict=False) if " Sort [" in above]
-        assert len(under) >= 2 and all("Exchange hashpartitioning" in x and "ENSURE_REQUIREMENTS" in x for x in under)
