@@ -34,9 +34,9 @@ def _winners(found: DataFrame) -> DataFrame:
 
 def heavy_hitters(found: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Winners of the digests with more than a share support of all rows, exact, and maybe of others of HEAVY rows; at most 1 / support rows."""
-    likely = found.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    likely = stage(likely, "exact-likely")
-    return stage(_winners(found.join(F.broadcast(likely), "digest", "left_semi")).where(F.col("n") >= HEAVY), "exact-heavy")
+    name = F.xxhash64("digest")  # counters compare numbers; Spark's don't compare byte arrays by value
+    likely = stage(found.select(name.alias("name")).freqItems(["name"], support).select(F.explode("name_freqItems").alias("name")), "exact-likely")
+    return stage(_winners(found.join(F.broadcast(likely), name == F.col("name"), "left_semi")).where(F.col("n") >= HEAVY), "exact-heavy")
 
 
 def classes(found: DataFrame, support: float = SUPPORT) -> DataFrame:

@@ -73,7 +73,7 @@ def test_stage_names_and_queries():
     import __spark_entry__ as e
 
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if re.match(r"op\d+_", q)}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if re.match(r"op\d+_", q)}
     assert "pipeline" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
 
 
