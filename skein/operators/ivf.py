@@ -25,6 +25,8 @@ from skein.plans.runtime import new_path, prepare, stage
 
 #: Rows that the centres are fitted on (the smallest hashes of all rows), cells at most, rounds of k-means.
 SAMPLE, CELLS, ROUNDS = 65_536, 4096, 12
+#: Rows of the sample whose likeness to all centres is held at once.
+BLOCK = 1024
 #: Vectors and questions of a tile.
 VECTORS, QUESTIONS = 4096, 1024
 #: Scores are rounded to six digits, so a bound within this of the k-th score may tie with it.
@@ -53,16 +55,18 @@ class Index:
 
 
 def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Spherical k-means: centres of norm 1 of a sample of unit rows; a centre that loses all its rows moves to the row that fits worst."""
+    """Spherical k-means: centres of norm 1 of a sample of unit rows; a centre that loses all its rows moves to the row that fits worst. BLOCK rows meet all centres at once."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        like = sample @ centres.T
-        own = like.argmax(axis=1)
+        own, most = np.zeros(len(sample), np.int64), np.zeros(len(sample))
+        for lo in range(0, len(sample), BLOCK):
+            like = sample[lo : lo + BLOCK] @ centres.T
+            own[lo : lo + BLOCK], most[lo : lo + BLOCK] = like.argmax(axis=1), like.max(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         empty = np.flatnonzero(np.bincount(own, minlength=len(centres)) == 0)
-        worst = np.argsort(like.max(axis=1))[: len(empty)]
+        worst = np.argsort(most)[: len(empty)]
         sums[empty] = sample[worst]
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)

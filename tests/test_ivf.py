@@ -1,5 +1,7 @@
 """The inverted-file index against the full scan."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,14 @@ def test_centres_are_of_norm_one_and_none_is_empty():
     centres = ivf.fit(rows, 30)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1)
     assert len(np.unique((rows @ centres.T).argmax(axis=1))) == 30
+
+
+def test_fitting_holds_a_block_of_likenesses():
+    r = np.random.default_rng(1)
+    rows = r.normal(size=(8192, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    tracemalloc.start()
+    ivf.fit(rows, 1024, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8192 * 1024 * 8 / 3  # all rows by all centres are 67 MB
