@@ -1,9 +1,9 @@
 """TOP10: late interaction. Texts are matrices of token vectors; a question scores the sum of its tokens' best likeness in a text.
 
 A search is one scan: a task groups the token vectors of a batch of texts around centres and knows the widest angle in each
-group, so it can bound a text's score from the groups that its tokens are in, without its vectors. Texts are scored exactly in
-blocks, the highest bounds first, until no bound reaches the k-th score of the task: the result is that of scoring all.
-Tasks send on k rows a question. Vectors are a function's of the tokens (a model's, or hashed character trigrams). Bounds
+group, so it can bound a text's score from the groups that its tokens are in, without its vectors. The texts with the highest
+bounds are scored exactly, then all whose bound reaches the k-th score of the task: the result is that of scoring all. A token
+that several questions have meets each text once. Tasks send on k rows a question. Vectors are a function's of the tokens (a model's, or hashed character trigrams). Bounds
 spare texts where vectors gather around meanings, as learned ones do; hashed trigrams hardly do, so they are all scored.
 """
 
@@ -23,8 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from skein.operators import ivf, ranking, search
 from skein.plans.runtime import prepare, stage
 
-#: Tokens of a question that count; questions of one scan; centres; texts scored at once.
+#: Tokens of a question that count; questions of one scan; centres; texts scored at once for one question.
 QUESTION_TOKENS, QUESTIONS, CENTRES, BLOCK = 32, 2000, 64, 16
+#: Different tokens of the questions that are asked together; tokens of a text that they meet at once; questions score their
+#: texts one by one if fewer than one in so many pairs are wanted.
+WORDS, ROWS, SPARSE = 1024, 256, 16
 #: Rounding of scores, and what bounds are widened by against errors of the last digits.
 DIGITS, SLACK = 6, 1e-5
 
@@ -37,10 +40,11 @@ def tokens(text: str | None) -> list[str]:
 
 def trigram_vectors(words: list[str]) -> np.ndarray:
     """32 components and norm 1 a token: the sum of a sign pattern by each of its character trigrams' hashes, so that words alike in spelling are alike."""
-    grams = [[zlib.crc32(f"<{w}>"[i : i + 3].encode()) for i in range(len(w))] for w in words]
-    flat = np.array([h for g in grams for h in g], np.uint32)
-    signs = np.unpackbits(flat.view(np.uint8).reshape(-1, 4), axis=1).astype(np.float32) * 2 - 1
-    sums = np.add.reduceat(signs, np.cumsum([0, *map(len, grams)])[:-1], axis=0) if words else np.zeros((0, 32), np.float32)
+    at: dict[str, int] = {}
+    flat = [at.setdefault(p[i : i + 3], len(at)) for p in (f"<{w}>" for w in words) for i in range(len(p) - 2)]
+    hashes = np.array([zlib.crc32(g.encode()) for g in at], np.uint32)
+    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 4), axis=1).astype(np.float32) * 2 - 1
+    sums = np.add.reduceat(signs[flat], np.cumsum([0, *map(len, words)])[:-1], axis=0) if words else np.zeros((0, 32), np.float32)
     norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return sums / np.where(norm > 0, norm, 1)
 
@@ -76,34 +80,94 @@ class _Batch:
             np.maximum.at(self.radius, group, np.arccos(np.clip(like.max(axis=1), -1, 1)))
             self.groups = [np.unique(group[r]) for r in self.rows]
 
-    def bounds(self, question: np.ndarray) -> np.ndarray:
-        """What no text's score passes."""
-        out = np.zeros(len(self.rows))
-        full = [k for k, g in enumerate(self.groups) if len(g)]
-        if full and len(question):
-            most = np.cos(np.maximum(0, np.arccos(np.clip(question @ self.centres.T, -1, 1)) - self.radius))
-            starts = np.cumsum([0, *(len(self.groups[k]) for k in full)])[:-1]
-            out[full] = np.maximum.reduceat(most[:, np.concatenate([self.groups[k] for k in full])], starts, axis=1).sum(axis=0) + SLACK
-        return out
-
+    def bound(self, words: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """What no text's score passes, texts by questions: words are vectors of their tokens, times how often each question has them."""
+        if not len(self.vectors) or not len(words):
+            return np.zeros((len(self.rows), times.shape[1]))
+        most = np.cos(np.maximum(0, np.arccos(np.clip(self.centres @ words.T, -1, 1)) - self.radius[:, None]))
+        return np.array([most[g].max(axis=0) if len(g) else np.zeros(len(words)) for g in self.groups]) @ times + SLACK
 
-def _scan(asked: list[tuple[int, np.ndarray]], k: int, encode: Encoder, kinds: tuple[pa.DataType, pa.DataType]):
+    def bounds(self, question: np.ndarray) -> np.ndarray:
+        """bound() of one question."""
+        return self.bound(question, np.ones((len(question), 1)))[:, 0]
+
+    def scores(self, words: np.ndarray, times: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Scores of some texts, texts by questions: a token of several questions meets each text once, ROWS of its tokens at a time."""
+        out, turned = np.zeros((len(some), len(words)), np.float32), np.ascontiguousarray(words.T)
+        for k, i in enumerate(some):
+            own = self.vectors[self.rows[i]]
+            parts = [(own[lo : lo + ROWS] @ turned).max(axis=0) for lo in range(0, len(own), ROWS)]
+            if parts:
+                out[k] = np.max(parts, axis=0) if len(parts) > 1 else parts[0]
+        return out.astype(np.float64) @ times
+
+
+def grouped(asked: list[tuple[int, list[str]]], encode: Encoder) -> list[tuple[list[int], np.ndarray, list[list[int]]]]:
+    """Questions (id, tokens) in groups of at most WORDS different tokens: ids, these tokens' vectors, and each question's tokens by their place."""
+    out: list[tuple[list[int], dict[str, int], list[list[int]]]] = []
+    for q, words in asked:
+        if not out or len(out[-1][1].keys() | words) > WORDS:
+            out.append(([], {}, []))
+        ids, at, own = out[-1]
+        ids.append(q)
+        own.append([at.setdefault(w, len(at)) for w in words])
+    return [(ids, encode(list(at)), own) for ids, at, own in out]
+
+
+class _Found:
+    """The k best (-score, id) of a question so far, and how many texts were scored."""
+
+    def __init__(self, k: int):
+        self.k, self.best, self.scored = k, [], 0
+
+    def least(self) -> float:
+        """What a score or bound must reach."""
+        return -self.best[-1][0] - 10.0**-DIGITS if len(self.best) == self.k else -np.inf
+
+    def add(self, score: np.ndarray, ids: np.ndarray):
+        self.scored += len(score)
+        at = np.flatnonzero(score >= self.least())
+        self.best = sorted([*self.best, *zip((-score[at]).tolist(), ids[at].tolist(), strict=True)])[: self.k]
+
+
+def _meet(batch: _Batch, ids: np.ndarray, words: np.ndarray, own: list[list[int]], found: list[_Found]) -> None:
+    """Score a batch's texts for a group of questions: first the texts with the highest bounds of a question that has no k yet, then all whose bound reaches its k-th score."""
+    times = np.zeros((len(words), len(own)))
+    for j, tokens_ in enumerate(own):
+        np.add.at(times[:, j], tokens_, 1)
+    bound = batch.bound(words, times)
+    open_ = np.ones(bound.shape, bool)
+
+    def one(j: int, some: np.ndarray) -> None:
+        found[j].add(maxsim(words[own[j]], [batch.vectors[batch.rows[i]] for i in some]).round(DIGITS), ids[some])
+        open_[some, j] = False
+
+    for j, f in enumerate(found):
+        order, lo = np.argsort(-bound[:, j], kind="stable"), 0
+        while len(f.best) < f.k and lo < len(order):
+            one(j, order[lo : lo + BLOCK])
+            lo += BLOCK
+    open_ &= bound >= np.array([f.least() for f in found])
+    texts, asked = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if open_.sum() < len(texts) * len(asked) / SPARSE:
+        for j in asked:
+            one(j, np.flatnonzero(open_[:, j]))
+        return
+    used = np.flatnonzero(times[:, asked].any(axis=1))
+    score = batch.scores(words[used], times[np.ix_(used, asked)], texts).round(DIGITS)
+    for c, j in enumerate(asked):
+        some = open_[texts, j]
+        found[j].add(score[some, c], ids[texts[some]])
+
+
+def _scan(groups: list[tuple[list[int], np.ndarray, list[list[int]]]], k: int, encode: Encoder, kinds: tuple[pa.DataType, pa.DataType]):
     def run(batches):
-        best: list[list[tuple[float, int]]] = [[] for _ in asked]  # (-score, id), k at most
-        scored = [0] * len(asked)
+        found = [[_Found(k) for _ in ids] for ids, _, _ in groups]
         for b in batches:
-            batch, ids = _Batch(b.column(1).to_pylist(), encode), b.column(0).to_pylist()
-            for j, (_, question) in enumerate(asked):
-                bound = batch.bounds(question)
-                order = np.argsort(-bound, kind="stable")
-                for lo in range(0, len(order), BLOCK):
-                    if len(best[j]) == k and bound[order[lo]] < -best[j][-1][0] - 10.0**-DIGITS:
-                        break
-                    some = order[lo : lo + BLOCK]
-                    score = maxsim(question, [batch.vectors[batch.rows[i]] for i in some]).round(DIGITS)
-                    scored[j] += len(some)
-                    best[j] = sorted([*best[j], *zip((-score).tolist(), [ids[i] for i in some], strict=True)])[:k]
-        rows = [(q, i, -s, n if not at else 0) for (q, _), found, n in zip(asked, best, scored, strict=True) for at, (s, i) in enumerate(found)]
+            batch, ids = _Batch(b.column(1).to_pylist(), encode), np.array(b.column(0).to_pylist())
+            for (_, words, own), best in zip(groups, found, strict=True):
+                _meet(batch, ids, words, own, best)
+        rows = [(q, i, -s, f.scored if not at else 0) for (ids, _, _), best in zip(groups, found, strict=True) for q, f in zip(ids, best, strict=True) for at, (s, i) in enumerate(f.best)]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((*kinds, pa.float64(), pa.int64()))], ["q_id", "doc_id", "score", "scored"])
 
     return run
@@ -122,8 +186,8 @@ def late_search(docs: DataFrame, questions: DataFrame, k: int, encode: Encoder =
     out = None
     for part in range(parts):
         rows = questions.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == part).select("q_id", "text").toArrow()
-        asked = [(q, encode(tokens(t)[:QUESTION_TOKENS])) for q, t in zip(rows["q_id"].to_pylist(), rows["text"].to_pylist(), strict=True)]
-        shared = spark.sparkContext.broadcast(asked)
+        asked = [(q, tokens(t)[:QUESTION_TOKENS]) for q, t in zip(rows["q_id"].to_pylist(), rows["text"].to_pylist(), strict=True)]
+        shared = spark.sparkContext.broadcast(grouped(asked, encode))
         run = lambda batches, shared=shared, types=(rows.schema.field("q_id").type, id_type): _scan(shared.value, k, encode, types)(batches)
         found = docs.select("doc_id", "text").mapInArrow(run, f"q_id {kinds[0]}, doc_id {kinds[1]}, score double, scored long")
         out = found if out is None else out.unionByName(found)

@@ -77,3 +77,24 @@ def test_rerank_scales_within_the_pool(spark):
     assert got[1, 2] == (1, 1.0) and got[1, 3][0] == 2 and (1, 1) not in got
     assert got[2, 1] == (1, 0.4)  # a pool of one row
     assert got[3, 5][0] == 1 and got[3, 6][0] == 2
+
+
+def test_questions_share_their_tokens(monkeypatch):
+    """A token of many questions meets a text once, and groups of questions or parts of a text change no score."""
+    r = random.Random(4)
+    words = [f"w{k}x{k % 7}" for k in range(40)]
+    asked = [(q, [r.choice(words) for _ in range(r.randint(0, 9))]) for q in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(50)] + [None, ""]
+    groups = late.grouped(asked, late.trigram_vectors)
+    assert len(groups) == 1 and len(groups[0][1]) == len({w for _, own in asked for w in own}) < sum(len(own) for _, own in asked) / 5
+    monkeypatch.setattr(late, "WORDS", 12)
+    monkeypatch.setattr(late, "ROWS", 4)
+    batch, ids = late._Batch(texts, late.trigram_vectors), np.arange(len(texts))
+    parts = late.grouped(asked, late.trigram_vectors)
+    assert len(parts) > 3 and [q for p in parts for q in p[0]] == [q for q, _ in asked]
+    for qs, vectors, own in parts:
+        found = [late._Found(5) for _ in qs]
+        late._meet(batch, ids, vectors, own, found)
+        for q, f in zip(qs, found, strict=True):
+            scores = sorted((-brute(" ".join(asked[q][1]), t), i) for i, t in enumerate(texts))[:5]
+            assert np.allclose([s for s, _ in f.best], [s for s, _ in scores], atol=3e-6)
