@@ -33,6 +33,20 @@ def test_bm25_weights_count_twice_over(spark):
     assert got[0].score == pytest.approx(weight(2 / 3, 3) * weight(1, 1), abs=1e-6)
 
 
+def test_bm25_parts_are_bounded_and_hits_are_found_once(spark, sf_dir, monkeypatch):
+    """Parts of texts and of pairs change no score; what uses the hits twice reads a table of them."""
+    docs, asked = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    whole = search.bm25_search(docs, asked)
+    assert whole.inputFiles() and all("bm25-hits" in f for f in whole.inputFiles())
+    parts = []
+    monkeypatch.setattr(search, "dealt", lambda df, key, n, dealt=search.dealt: parts.append(n) or dealt(df, key, n))
+    monkeypatch.setattr(search, "COUNTED", 30)
+    monkeypatch.setattr(search, "PAIRS", 500)
+    again = search.bm25_search(docs, asked)
+    assert parts[0] == -(-docs.count() // 30) and parts[1] > 5
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in whole.collect()}
+
+
 def test_fusions(spark):
     dense = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "q_id long, doc_id long, rank int")
     sparse = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "q_id long, doc_id long, rank int")
