@@ -47,21 +47,32 @@ def snapshot_status(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float, block: list[Column]) -> DataFrame:
     """DDP4's pairs within blocks: a, b, jaccard of token sets at or over the threshold.
 
-    Prefix filtering: sets that reach the threshold share one of the first tokens of each, rare tokens first. So pairs meet
-    on rare tokens only and are verified once, whole.
+    Rows of one block and equal sets are a class, named by its smallest key, and only classes are compared. Prefix filtering: sets that reach the
+    threshold share one of the first tokens of each, rare tokens first. So classes meet on rare tokens only and are verified
+    once, whole. What a class's rows have in common with another's is written out in ids at the very end.
     """
-    sets = docs.select(F.col(key), *[b.alias(f"_b{k}") for k, b in enumerate(block)], T.token_set(text).alias("t")).where(F.size("t") > 0)
-    tokens = sets.select(key, *[f"_b{k}" for k in range(len(block))], F.size("t").alias("n"), F.explode("t").alias("h"))
+    blocks = [f"_b{k}" for k in range(len(block))]
+    rows = docs.select(F.col(key), *[b.alias(f"_b{k}") for k, b in enumerate(block)], F.sort_array(T.token_set(text)).alias("t")).where(F.size("t") > 0)
+    rows = rows.where(F.concat(*[F.col(b).cast("string") for b in blocks]).isNotNull()) if blocks else rows  # a null block equals none
+    rows = rows.withColumn("same", F.sha2(F.to_json(F.struct(*blocks, "t")), 256))
+    sets = stage(rows.groupBy("same").agg(F.min(key).alias("c"), *[F.first(b).alias(b) for b in blocks], F.first("t").alias("t")), "jaccard-classes")
+    members = stage(rows.select(F.col(key), "same").join(sets.select("same", "c"), "same").drop("same"), "jaccard-members")
+    tokens = sets.select("c", *blocks, F.size("t").alias("n"), F.explode("t").alias("h"))
     seen = tokens.groupBy("h").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy(key).orderBy("df", "h"))
+    place = F.row_number().over(W.partitionBy("c").orderBy("df", "h"))
     keys = tokens.join(seen, "h").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1)
-    blocks = [f"_b{k}" for k in range(len(block))]
-    a = keys.select(F.col(key).alias("a"), F.col("n").alias("na"), "h", *blocks)
-    b = keys.select(F.col(key).alias("b"), F.col("n").alias("nb"), "h", *blocks)
-    found = a.join(b, ["h", *blocks]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))).select("a", "b").distinct()
-    ta, tb = sets.select(F.col(key).alias("a"), F.col("t").alias("ta")), sets.select(F.col(key).alias("b"), F.col("t").alias("tb"))
-    exact = found.join(ta, "a").join(tb, "b").select("a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
-    return exact.where(F.col("jaccard") >= threshold)
+    a = keys.select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("p").alias("pa"), "h", *blocks)
+    b = keys.select(F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("p").alias("pb"), "h", *blocks)
+    # tokens after the one they meet on, it included, and at most one before it, are all that two sets can share
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    enough = rest >= F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    found = a.join(b, ["h", *blocks]).where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & enough).select("ca", "cb").distinct()
+    ta, tb = sets.select(F.col("c").alias("ca"), F.col("t").alias("ta")), sets.select(F.col("c").alias("cb"), F.col("t").alias("tb"))
+    exact = found.join(ta, "ca").join(tb, "cb").select("ca", "cb", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    own = members.groupBy("c").count().where("count > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.lit(1.0).alias("jaccard"))
+    linked = stage(exact.unionByName(own), "jaccard-links")
+    pairs = linked.join(members.select(F.col(key).alias("x"), F.col("c").alias("ca")), "ca").join(members.select(F.col(key).alias("y"), F.col("c").alias("cb")), "cb")
+    return pairs.where((F.col("ca") != F.col("cb")) | (F.col("x") < F.col("y"))).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def embedding_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: str, rows: int = 2048) -> DataFrame:

@@ -148,6 +148,17 @@ def test_dedup(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
 
 
+def test_jaccard_pairs_compares_copies_once(spark, monkeypatch):
+    """Copies of a set are one class; their pairs, within it and with others, all come out, and no block is crossed."""
+    texts = [(k, " ".join(f"t{i}" for i in range(20)), "b") for k in range(30)] + [(k, " ".join(f"t{i}" for i in range(19, 0, -1)), "b") for k in range(30, 40)]
+    texts += [(40, "t1 t2", "b"), (41, texts[0][1], "c"), (42, texts[0][1], None), (43, texts[0][1], None), (44, "", "b"), (45, None, "b")]
+    sizes = {}
+    monkeypatch.setattr(dedup, "stage", lambda df, label, stage=dedup.stage: sizes.setdefault(label, stage(df, label)))
+    got = sorted((p.a, p.b, p.jaccard) for p in dedup.jaccard_pairs(spark.createDataFrame(texts, "id long, text string, b string"), "id", "text", 0.8, [F.col("b")]).collect())
+    assert got == [(a, b, 1.0 if (a < 30) == (b < 30) else 0.95) for a in range(40) for b in range(a + 1, 40)]
+    assert sizes["jaccard-classes"].count() == 4 and sizes["jaccard-links"].count() == 3
+
+
 def test_siblings(spark):
     hits = spark.createDataFrame([(1, "p", 11, 1, "b", 0.5, 3), (1, "p", 10, 0, "a", 0.9, 2), (1, "", 12, 0, "alone", 0.99, 1)], "q long, parent string, chunk_id long, segment int, text string, confidence double, rank int")
     got = sorted(dedup.sibling_merge(hits, "q").collect(), key=lambda r: r.position)
