@@ -47,21 +47,23 @@ class InOrder(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            if len(pdf):
-                self.waiting.appendList(list(pdf[self.names].itertuples(index=False, name=None)))
-        yield from self.release(key, timerValues)
+        yield from self.release(key, timerValues, [x for pdf in rows for x in pdf[self.names].itertuples(index=False, name=None)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.release(key, timerValues)
 
-    def release(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def release(self, key, timerValues, new: list[tuple] = ()) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        before = list(self.waiting.get()) if self.waiting.exists() else []
+        held = sorted([*before, *new])
         due = [x for x in held if x[0] < until]
         rest = held[len(due) :]
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest and (due or not before):
+            self.waiting.put(rest)
+        elif rest and new:
+            self.waiting.appendList(list(new))
+        elif before and not rest:
+            self.waiting.clear()
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         wake = [rest[0][0] // 1000 + 1] if rest else []
@@ -121,6 +123,43 @@ def limited(calls: DataFrame, limit: int, seconds: int = 60, count_rejected: boo
     return rows.groupBy("path", "client").transformWithStateInPandas(Limiter(limit, seconds, count_rejected), "path string, client long, event_id long, allowed boolean", "Append", "EventTime")
 
 
+class BothLimits(InOrder):
+    """Limiter in both variants over one stream, so that events wait and timers go off once for both."""
+
+    def __init__(self, limit: int, seconds: int):
+        super().__init__()
+        self.limit, self.span = limit, seconds * 1_000_000
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.calls = handle.getListState("calls", "at long, allowed boolean")
+
+    def take(self, key, events, until) -> pd.DataFrame:
+        kept = [tuple(x) for x in self.calls.get()] if self.calls.exists() else []  # every call, and whether it takes up room if rejected ones don't
+        had, out = bool(kept), []
+        for at, id_ in events:
+            kept = [x for x in kept if x[0] > at - self.span]
+            ok, ok_of_all = sum(x[1] for x in kept) < self.limit, len(kept) < self.limit
+            kept.append((at, ok))
+            out.append((*key, id_, ok, ok_of_all))
+        kept = [x for x in kept if x[0] > until - self.span]
+        if kept and (out or had):
+            self.calls.put(kept)
+        elif had:
+            self.calls.clear()
+        self.last = kept[-1][0] if kept else None
+        return pd.DataFrame(out, columns=["path", "client", "event_id", "allowed", "allowed_of_all"])
+
+    def wake(self) -> int | None:
+        return self.last + self.span if self.last is not None else None
+
+
+def limited_both(calls: DataFrame, limit: int, seconds: int = 60, late: str = LATE) -> DataFrame:
+    """path, client, event_id, allowed, allowed_of_all: limited() without and with rejected calls counted, of one reading of the stream."""
+    with_store(calls.sparkSession)
+    rows = calls.withWatermark("ts", late).select("path", "client", "ts", micros().alias("at"), F.col("event_id").alias("id"))
+    return rows.groupBy("path", "client").transformWithStateInPandas(BothLimits(limit, seconds), "path string, client long, event_id long, allowed boolean, allowed_of_all boolean", "Append", "EventTime")
+
+
 class Leases(InOrder):
     """STR4/STR9: a lease begins with an event of kind begin, each beat (or begin) renews it, an end closes it; one not renewed within ttl seconds is lost, and a timer says so."""
 

@@ -49,6 +49,20 @@ def test_limits_by_event_time_and_drop_late_calls(fed, tmp_path, count_rejected)
     assert got == {1: True, 2: True, 3: False, 4: not count_rejected, 5: not count_rejected, 7: True, 9: True, 10: True, 11: True}
 
 
+def test_both_limits_in_one_stream(spark, fed, sf_dir, tmp_path):
+    """As by two streams; the query reads its events as one."""
+    calls = fed([(1, 0, 1, "a", 0.0), (3, 20, 1, "a", 0.0), (2, 10, 1, "a", 0.0)], [(4, 65, 1, "a", 0.0), (5, 75, 1, "a", 0.0), (11, 2000, 3, "c", 0.0)], END)
+    out = stateful.limited_both(calls.select(F.col("event_type").alias("path"), F.col("user_id").alias("client"), "event_id", "ts"), 2, 60)
+    got = {r.event_id: (r.allowed, r.allowed_of_all) for r in run(out, tmp_path)}
+    assert got == {1: (True, True), 2: (True, True), 3: (False, False), 4: (True, False), 5: (True, False), 11: (True, True)}
+
+
+def test_the_limits_query_runs_one_stream(spark, sf_dir, monkeypatch):
+    runs = []
+    monkeypatch.setattr(live, "_run", lambda out, run=live._run: runs.append(1) or run(out))
+    assert live.stream_limited(spark, sf_dir).columns and len(runs) == 1
+
+
 def test_leases_are_lost_by_a_timer_without_input(fed, tmp_path):
     stream = fed([(1, 0, 1, "begin", 0.0), (2, 100, 1, "beat", 0.0), (3, 0, 2, "begin", 0.0), (4, 300, 2, "end", 0.0), (5, 50, 3, "beat", 0.0)], [(6, 250, 2, "beat", 0.0), (7, 5000, 4, "begin", 0.0)], END)
     rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("kind"))
