@@ -360,3 +360,11 @@ def test_medoid_of_large_groups(spark):
     for g, turn, score in plain:
         sums = {t: round(sum(len(bag[t] & bag[o]) / len(bag[t] | bag[o]) for h, o, _ in rows if h == g and o != t and bag[t] and bag[o]), 6) for h, t, _ in rows if h == g}
         assert score == pytest.approx(max(sums.values())) and turn == min(t for t, v in sums.items() if v == pytest.approx(score))
+
+
+def test_chunk_hits_cut_only_texts_with_a_hit_again(spark, sf_dir, monkeypatch):
+    cut = []
+    monkeypatch.setattr(chunking, "windows", lambda docs, key, windows=chunking.windows: cut.append(docs) or windows(docs, key))
+    hits = catalog._chunk_hits(spark, sf_dir)[1].collect()
+    assert {str(r.doc_id) for r in cut[-1].collect()} == {r.parent for r in hits} and cut[-1].count() < cut[0].count()
+    assert all(int(r.parent) * 100_000 + r.segment == r.chunk_id for r in hits)
