@@ -83,3 +83,14 @@ def test_arrival_is_out_of_order_and_whole(spark, sf_dir):
     assert len(rows) == 1 + spark.read.parquet(f"{sf_dir}/events.parquet").count()
     late = [a for a in rows for b in rows[:50] if a.f != b.f]
     assert late
+
+
+def test_keys_of_one_bucket_stay_apart(fed, tmp_path, monkeypatch):
+    """Keys share a piece of state, and a null key is one of them; each has its own events, lease and timer."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    stream = fed([(1, 0, 1, "begin", 0.0), (2, 5, None, "begin", 0.0), (3, 200, 1, "beat", 0.0), (4, 0, 2**60 + 1, "begin", 0.0)], [(5, 100, None, "end", 0.0), (6, 5000, 3, "begin", 0.0)], END)
+    rows = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("kind"))
+    out = stateful.leases(rows, 300)
+    assert "bucket" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r.key, (r.ended_us - r.began_us) // 1_000_000, r.status) for r in run(out, tmp_path)}
+    assert got == {(1, 500, "orphaned"), (None, 95, "done"), (2**60 + 1, 300, "orphaned"), (3, 300, "orphaned")}
