@@ -368,3 +368,11 @@ def test_chunk_hits_cut_only_texts_with_a_hit_again(spark, sf_dir, monkeypatch):
     hits = catalog._chunk_hits(spark, sf_dir)[1].collect()
     assert {str(r.doc_id) for r in cut[-1].collect()} == {r.parent for r in hits} and cut[-1].count() < cut[0].count()
     assert all(int(r.parent) * 100_000 + r.segment == r.chunk_id for r in hits)
+
+
+def test_mirror_and_configurations_grow_with_the_tables(spark, sf_dir):
+    """Made of documents and pages, all of them; tasks write the files."""
+    q = registry.queries()
+    docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
+    assert q["mirror_manifest"](spark, sf_dir).count() == docs.select(F.expr("doc_id div 100")).distinct().count()
+    assert q["source_configs"](spark, sf_dir).count() == pages.count()
