@@ -376,3 +376,25 @@ def test_mirror_and_configurations_grow_with_the_tables(spark, sf_dir):
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     assert q["mirror_manifest"](spark, sf_dir).count() == docs.select(F.expr("doc_id div 100")).distinct().count()
     assert q["source_configs"](spark, sf_dir).count() == pages.count()
+
+
+#: Queries on lexical search, and how many hits a question they take.
+SEARCHES = {
+    "hybrid_rrf": 40,
+}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_queries_on_search_send_on_k_rows_a_question(spark, sf_dir, monkeypatch, name):
+    """They deal texts out by a bound and search once, and k rows a question leave a task."""
+    n_docs, asked = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    parts, sent = [], []
+    monkeypatch.setattr(search, "COUNTED", 30)
+    monkeypatch.setattr(search, "PAIRS", 10_000)
+    monkeypatch.setattr(search, "dealt", lambda df, key, n: parts.append(n) or df.repartition(n, key))
+    monkeypatch.setattr(search, "top_k", lambda df, k, q, *a, top_k=search.top_k: sent.append((df, k, q)) or top_k(df, k, q, *a))
+    registry.queries()[name](spark, sf_dir).collect()
+    found = [(df, k) for df, k, q in sent if q == "item_id"]
+    assert parts == [-(-n_docs // 30), -(-n_docs * asked // 10_000)]
+    assert len(found) == 1 and found[0][1] == SEARCHES[name]
+    assert found[0][0].count() <= SEARCHES[name] * asked * parts[1]
