@@ -381,6 +381,7 @@ def test_mirror_and_configurations_grow_with_the_tables(spark, sf_dir):
 #: Queries on lexical search, and how many hits a question they take.
 SEARCHES = {
     "hybrid_rrf": 40,
+    "pool_minmax_gate": 10,
 }
 
 
