@@ -382,6 +382,7 @@ def test_mirror_and_configurations_grow_with_the_tables(spark, sf_dir):
 SEARCHES = {
     "hybrid_rrf": 40,
     "pool_minmax_gate": 10,
+    "per_source_cap": 10,
 }
 
 
