@@ -383,6 +383,7 @@ SEARCHES = {
     "hybrid_rrf": 40,
     "pool_minmax_gate": 10,
     "per_source_cap": 10,
+    "lost_in_middle_order": 10,
 }
 
 
