@@ -384,6 +384,7 @@ SEARCHES = {
     "pool_minmax_gate": 10,
     "per_source_cap": 10,
     "lost_in_middle_order": 10,
+    "near_dup_greedy": 10,
 }
 
 
