@@ -385,6 +385,7 @@ SEARCHES = {
     "per_source_cap": 10,
     "lost_in_middle_order": 10,
     "near_dup_greedy": 10,
+    "trigram_maxsim": 10,
 }
 
 
