@@ -386,6 +386,7 @@ SEARCHES = {
     "lost_in_middle_order": 10,
     "near_dup_greedy": 10,
     "trigram_maxsim": 10,
+    "context_selection": 10,
 }
 
 
