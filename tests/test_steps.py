@@ -387,6 +387,7 @@ SEARCHES = {
     "near_dup_greedy": 10,
     "trigram_maxsim": 10,
     "context_selection": 10,
+    "proxy_retrieval_metrics": 10,
 }
 
 
