@@ -388,6 +388,7 @@ SEARCHES = {
     "trigram_maxsim": 10,
     "context_selection": 10,
     "proxy_retrieval_metrics": 10,
+    "domain_mismatch": 10,
 }
 
 
