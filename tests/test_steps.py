@@ -389,6 +389,7 @@ SEARCHES = {
     "context_selection": 10,
     "proxy_retrieval_metrics": 10,
     "domain_mismatch": 10,
+    "verified_citations": 5,
 }
 
 
