@@ -1,6 +1,7 @@
 """Functions and operators on small cases: semantics that are easy to get wrong, greedy steps, lossless splitters, streams."""
 
 import math
+import os
 import random
 import re
 import uuid
@@ -174,6 +175,37 @@ def test_jaccard_pairs_compares_copies_once(spark, monkeypatch):
     assert sizes["jaccard-classes"].count() == 4 and sizes["jaccard-links"].count() == 3
 
 
+def test_jaccard_pairs_match_brute_force_in_blocks(spark, monkeypatch):
+    """Groups of near copies of all sizes, dealt to blocks of a few sets; each pair comes out once."""
+    monkeypatch.setattr(dedup, "SIDE", 4)
+    r = random.Random(5)
+    words, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(40):
+        base = r.sample(words, r.randint(1, 90))
+        for _ in range(12):
+            texts.append((len(texts), " ".join([w for w in base if r.random() > 0.06] + r.sample(words, r.randint(0, 3))), r.choice("ab")))
+    sets = {k: set(t.split()) for k, t, _ in texts}
+    lang = {k: b for k, _, b in texts}
+    df = spark.createDataFrame(texts, "id long, text string, b string")
+    for threshold, block in ((0.6, []), (0.85, [F.col("b")])):
+        got = sorted((p.a, p.b, p.jaccard) for p in dedup.jaccard_pairs(df, "id", "text", threshold, block).collect())
+        shared = ((a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and sets[a] and sets[b] and (not block or lang[a] == lang[b]))
+        assert got == [x for x in shared if x[2] >= threshold] and len(got) > 100
+
+
+def test_jaccard_pairs_shuffle_little(spark):
+    """Less than three times the table's bytes: no row for each token of a text, no set for each pair."""
+    sc, path = spark.sparkContext._jsc.sc(), "/root/testdata/sf0.01/documents.parquet"
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert dedup.jaccard_pairs(spark.read.parquet(path), "doc_id", "text", 0.85, [F.col("lang")]).count() == 184
+    assert written() - before < 3 * os.path.getsize(path)
+
+
 def test_siblings(spark):
     hits = spark.createDataFrame([(1, "p", 11, 1, "b", 0.5, 3), (1, "p", 10, 0, "a", 0.9, 2), (1, "", 12, 0, "alone", 0.99, 1)], "q long, parent string, chunk_id long, segment int, text string, confidence double, rank int")
     got = sorted(dedup.sibling_merge(hits, "q").collect(), key=lambda r: r.position)
