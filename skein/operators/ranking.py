@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,17 +99,27 @@ def greedy_dedup(df: DataFrame, q: str, doc: str, rank: str, text: str, threshol
     return df.select(q, doc, rank, text).groupBy(q).applyInPandas(run, f"{q} {kinds[q]}, {doc} {kinds[doc]}, {rank} {kinds[rank]}")
 
 
-def trigram_maxsim(question: str | None, text: str | None, most_q: int = 32, most_d: int = 256) -> float:
-    """TOP9: mean over the question's words of the best share of character trigrams that a word of the text has in common."""
+def trigram_maxsim(question: str | None, text: str | None) -> float:
+    """TOP9: mean over the question's words of the best share of character trigrams that a word of the text has in common; of all words of both."""
 
     def grams(word: str) -> frozenset[str]:
         return frozenset(word[i : i + 3] for i in range(max(1, len(word) - 2)))
 
-    qs = [grams(w) for w in re.findall(r"\w+", (question or "").lower())[:most_q]]
-    ds = set(map(grams, re.findall(r"\w+", (text or "").lower())[:most_d]))
+    qs = [grams(w) for w in re.findall(r"\w+", (question or "").lower())]
+    ds = list(set(map(grams, set(re.findall(r"\w+", (text or "").lower())))))
     if not qs or not ds:
         return 0.0
-    return sum(max(len(a & b) / max(len(a), len(b)) for b in ds) for a in qs) / len(qs)
+    having = defaultdict(list)
+    for i, d in enumerate(ds):
+        for g in d:
+            having[g].append(i)
+
+    def best(q: frozenset[str]) -> float:
+        shared = Counter(i for g in q for i in having.get(g, ()))
+        return max((n / max(len(q), len(ds[i])) for i, n in shared.items()), default=0.0)
+
+    like = {q: best(q) for q in set(qs)}
+    return sum(like[q] for q in qs) / len(qs)
 
 
 def maxsim_rerank(df: DataFrame, q: str, question: str, text: str, k: int) -> DataFrame:

@@ -206,6 +206,21 @@ def test_jaccard_pairs_shuffle_little(spark):
     assert written() - before < 3 * os.path.getsize(path)
 
 
+def test_trigram_maxsim_takes_whole_texts():
+    """Against plain pairs of words, over questions and texts of any length; what comes last counts."""
+    assert ranking.trigram_maxsim("shuffle join", "other words " * 2000 + "shuffle join") == 1.0
+    assert ranking.trigram_maxsim("x " * 100 + "shuffle " * 300, "shuffle") == pytest.approx(0.75)
+
+    def grams(w):
+        return {w[i : i + 3] for i in range(max(1, len(w) - 2))}
+
+    r = random.Random(3)
+    for _ in range(20):
+        q, t = (["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, n))] for n in (80, 600))
+        want = sum(max(len(grams(a) & grams(b)) / max(len(grams(a)), len(grams(b))) for b in t) for a in q) / len(q)
+        assert ranking.trigram_maxsim(" ".join(q), " ".join(t)) == want
+
+
 def test_siblings(spark):
     hits = spark.createDataFrame([(1, "p", 11, 1, "b", 0.5, 3), (1, "p", 10, 0, "a", 0.9, 2), (1, "", 12, 0, "alone", 0.99, 1)], "q long, parent string, chunk_id long, segment int, text string, confidence double, rank int")
     got = sorted(dedup.sibling_merge(hits, "q").collect(), key=lambda r: r.position)

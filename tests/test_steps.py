@@ -175,6 +175,19 @@ def test_greedy_lists_match_brute_force(spark, sf_dir):
     assert {q: sorted(map(str, map(tuple, x))) for q, x in got.items()} == {q: sorted(map(str, x)) for q, x in context.items()}
 
 
+def test_trigram_maxsim_scores_whole_texts(spark, sf_dir):
+    """Every word of a question and of its hits counts."""
+    grams = lambda w: {w[i : i + 3] for i in range(max(1, len(w) - 2))}
+    want, words = {}, 0
+    for q, rows in hit_texts(spark, sf_dir).items():
+        for x in rows:
+            qs, ds = re.findall(r"\w+", x.question.lower()), set(re.findall(r"\w+", x.text.lower()))
+            want[q, x.doc_id] = sum(max((len(grams(a) & grams(b)) / max(len(grams(a)), len(grams(b))) for b in ds), default=0) for a in qs) / len(qs) if qs and ds else 0.0
+            words = max(words, len(re.findall(r"\w+", x.text)))
+    got = registry.queries()["trigram_maxsim"](spark, sf_dir).collect()
+    assert words > 256 and got and all(r.likeness == pytest.approx(want[r.item_id, r.doc_id], abs=2e-6) for r in got)
+
+
 def _groups(df, *cols):
     out = defaultdict(list)
     for r in df.select("item_id", *cols).collect():
