@@ -222,7 +222,7 @@ def jaccard_pairs(docs: DataFrame, key: str, text: str, threshold: float, block:
     in blocks of SIDE sets a side: sets that share their least neighbour are together, so one is sent once a block, not once
     a pair. What a class's rows have in common with another's is written out in keys at the very end.
 
-    Texts are read again where their sets are needed, which takes no disk. 64 bits stand for a token and for a class: with
+    Texts are read again where their sets are needed; no table of sets is kept. 64 bits stand for a token and for a class: with
     ten million of either, the chance that any two are the same is under one in 100,000.
     """
     prepare(docs.sparkSession)
